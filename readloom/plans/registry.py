@@ -1,4 +1,308 @@
-"""Queries over the provided tables, with oracle SQL."""
+"""Queries over the provided tables, with oracle SQL. Each names the inventory ids it covers."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from readloom.config import TagConfig
+from readloom.functions import bins, cigar, md
+from readloom.functions.hashing import ambiguous_count, mask_ambiguous
+from readloom.operators import decode, refget, stats, tags
+from readloom.plans import synth
+from readloom.plans.synth import mapping, reads_from_events, reads_from_orders, reads_sql, table
+from readloom.streaming.tagging import windowed_counts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def structured(spark: SparkSession, sf_dir: str, config: TagConfig = TagConfig()) -> DataFrame:
+    return tags.with_structure(reads_from_orders(spark, sf_dir), mapping(spark), config)
+
+
+def serials(spark: SparkSession, sf_dir: str, config: TagConfig = TagConfig()) -> DataFrame:
+    return tags.with_serials(structured(spark, sf_dir, config), config).filter("tagged")
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = tags.tag_reads(reads_from_orders(spark, sf_dir), mapping(spark))
+    return tagged.select("qname", "rname", "pos", "strand", *[t for t in tags.TAGS if t != "xv"])
+
+
+# operations
+@query("cigar_ops", reads_sql("SELECT ord, k, n, o FROM ops"))
+def cigar_ops(spark, sf_dir):
+    ops = structured(spark, sf_dir).select("ord", F.posexplode("ops").alias("k", "x"))
+    return ops.select("ord", (F.col("k") + 1).cast("long").alias("k"), F.col("x.n").alias("n"), F.col("x.o").alias("o"))
+
+
+# F2, B1, B3
+@query("exons", reads_sql('SELECT ord, i, s AS "start", e AS "end" FROM exi'))
+def exons(spark, sf_dir):
+    rows = structured(spark, sf_dir).select("ord", F.posexplode("exons").alias("k", "x"))
+    return rows.select("ord", (F.col("k") + 1).cast("long").alias("i"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+
+
+# F7, D7
+@query("transcript_metrics", reads_sql('SELECT ord, left_ AS "start", right_ AS "end", exon_total, right_ - left_ AS span FROM tagged'))
+def transcript_metrics(spark, sf_dir):
+    e = F.col("exons")
+    start, end = cigar.first_start(e), cigar.last_end(e)
+    return structured(spark, sf_dir).filter("tagged").select("ord", start.alias("start"), end.alias("end"), cigar.total_length(e).alias("exon_total"), (end - start).alias("span"))
+
+
+# G9
+@query("xi_serial", reads_sql("SELECT ord, chr32 || '|' || strand || '|' || exon_text AS xi_serial FROM tagged"))
+def xi_serial(spark, sf_dir):
+    return serials(spark, sf_dir).select("ord", "xi_serial")
+
+
+# G10, G11, C1-C3, B4, B7
+@query("xb_xs", reads_sql("SELECT ord, chr8 || pm || '.' || lower(to_hex(left_)) || '.' || lower(to_hex(right_)) AS xb, coalesce(chr8 || pm || '.' || junction_hex, 'single') AS xs FROM tagged"))
+def xb_xs(spark, sf_dir):
+    return serials(spark, sf_dir).select("ord", "xb", "xs")
+
+
+# G12, G8, G5, G6
+_POSITION = {
+    "middle": "CAST(round_even(CAST((left_ + right_) // 2 AS DOUBLE) / 10000, 0) AS BIGINT) * 10000",
+    "5prime": "CASE WHEN strand = '+' THEN left_ // 10000 * 10000 ELSE (right_ + 9999) // 10000 * 10000 END",
+    "3prime": "CASE WHEN strand = '+' THEN (right_ + 9999) // 10000 * 10000 ELSE left_ // 10000 * 10000 END",
+}
+for _mode, _at in _POSITION.items():
+    _near = lambda x: f"CAST(round_even(CAST({x} AS DOUBLE) / 1000, 0) AS BIGINT) * 1000"
+
+    @query(f"xt_serial_{_mode}", reads_sql(f"SELECT ord, chr32 || '|' || strand || '|' || ({_at}) || '|' || ({_near('exon_total')}) || '|' || ({_near('right_ - left_')}) || coalesce('|' || junction_text, '') AS xt_serial FROM tagged"))
+    def _xt(spark, sf_dir, mode=_mode):
+        return serials(spark, sf_dir, TagConfig(clustermode=mode)).select("ord", "xt_serial")
+
+
+# G13, G7
+@query("xc_serial", reads_sql("SELECT ord, chr32 || '|' || strand || '|' || ((left_ + right_) // 2 // 1000) || '|' || len_text AS xc_serial FROM tagged"))
+def xc_serial(spark, sf_dir):
+    return serials(spark, sf_dir).select("ord", "xc_serial")
+
+
+@query("xc_midpoint_only", reads_sql("SELECT ord, chr32 || '|' || strand || '|' || ((left_ + right_) // 2 // 1000) AS xc_serial FROM tagged"))
+def xc_midpoint_only(spark, sf_dir):
+    return serials(spark, sf_dir, TagConfig(xc_midpoint_only=True)).select("ord", "xc_serial")
+
+
+# G14
+@query("x5_x3_serials", reads_sql("SELECT ord, chr32 || '|' || strand || '|' || ((CASE WHEN strand = '+' THEN left_ ELSE right_ END) // 200) AS x5_serial, chr32 || '|' || strand || '|' || ((CASE WHEN strand = '+' THEN right_ ELSE left_ END) // 200) AS x3_serial FROM tagged"))
+def x5_x3_serials(spark, sf_dir):
+    return serials(spark, sf_dir).select("ord", "x5_serial", "x3_serial")
+
+
+# G5-G7 on values of both signs
+@query("bin_rounding", """
+SELECT DISTINCT v, v - ((v % 200) + 200) % 200 AS down_, (v + 199) - (((v + 199) % 200) + 200) % 200 AS up_,
+  CAST(round_even(CAST(v AS DOUBLE) / 1000, 0) AS BIGINT) * 1000 AS nearest_, (v - ((v % 10) + 10) % 10) // 10 AS floor_
+FROM (SELECT CAST(o_custkey * 37 % 9001 - 4500 AS BIGINT) AS v FROM orders UNION ALL SELECT CAST(o_orderkey % 21 * 500 - 5000 AS BIGINT) FROM orders)""")
+def bin_rounding(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    v = o.select((F.col("o_custkey") * 37 % 9001 - 4500).cast("long").alias("v")).union(o.select((F.col("o_orderkey") % 21 * 500 - 5000).cast("long"))).distinct()
+    x = F.col("v")
+    return v.select("v", bins.down(x, 200).alias("down_"), bins.up(x, 200).alias("up_"), bins.nearest(x, 1000).alias("nearest_"), bins.floor_div(x, 10).alias("floor_"))
+
+
+# G15, G16, F8, F9, C4, H6
+_SPLIT = "SELECT ord, chr8, strand, left_ AS \"left\", right_ AS \"right\", n_exons - 1 AS n_junctions, exon_total AS total_exon_length, right_ - left_ + 1 AS span, CASE WHEN n_exons > 1 THEN right_ - left_ + 1 - exon_total END AS intron_length, true AS tags_consistent, CASE WHEN EXISTS (SELECT 1 FROM chrom WHERE chrom.chr32 = tagged.chr32) THEN rname ELSE '<chr_hash:' || chr8 || '>' END AS chr_name FROM tagged"
+
+
+@query("decode_xb_xs", reads_sql(_SPLIT))
+def decode_xb_xs(spark, sf_dir):
+    out = decode.decode_tags(serials(spark, sf_dir).select("ord", "xb", "xs"), mapping(spark))
+    return out.select("ord", "chr8", "strand", "left", "right", "n_junctions", "total_exon_length", "span", "intron_length", "tags_consistent", F.array_join("chr_names", ",").alias("chr_name"))
+
+
+@query("reconstruct_exons", reads_sql('SELECT ord, i, s AS "start", e AS "end" FROM exi'))
+def reconstruct_exons(spark, sf_dir):
+    out = decode.decode_tags(serials(spark, sf_dir).select("ord", "xb", "xs")).select("ord", F.posexplode("exons").alias("k", "x"))
+    return out.select("ord", (F.col("k") + 1).cast("long").alias("i"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+
+
+@query("roundtrip_check", reads_sql("SELECT count(*) AS n_reads, count(*) AS n_same FROM tagged"))
+def roundtrip_check(spark, sf_dir):
+    out = decode.decode_tags(serials(spark, sf_dir).select("xb", "xs", F.col("exons").alias("was")))
+    return out.agg(F.count("*").alias("n_reads"), F.count_if(F.col("exons") == F.col("was")).alias("n_same"))
+
+
+# C1-C4
+_FALLBACK = synth.digest("19")
+
+
+@query("chrom_lookup", reads_sql("SELECT rname, chr32, chr8, count(*) AS n_reads FROM (SELECT r.rname, coalesce(chr32, '" + _FALLBACK + "') AS chr32, substr(coalesce(chr32, '" + _FALLBACK + "'), 1, 8) AS chr8 FROM reads r LEFT JOIN chrom ON r.rname = chrom.name) GROUP BY ALL"))
+def chrom_lookup(spark, sf_dir):
+    return tags.with_chromosome(reads_from_orders(spark, sf_dir), mapping(spark)).groupBy("rname", "chr32", "chr8").agg(F.count("*").alias("n_reads"))
+
+
+# Spellings of supplier-made names; the later entry counts
+_NAMES_SQL = "SELECT CASE s_suppkey % 5 WHEN 0 THEN 'chr' || s_suppkey WHEN 1 THEN CAST(s_suppkey AS VARCHAR) WHEN 2 THEN 'NC_' || s_suppkey || '.1' WHEN 3 THEN 'chrUn_' || s_suppkey ELSE 'Chr' || (s_suppkey - 4) END AS name, 'SQ.' || s_nationkey AS refget_id, s_suppkey AS ord FROM supplier"
+_SPELL_SQL = """CASE WHEN lower(name) LIKE 'chr%' THEN [name, substr(name, 4), 'chr' || substr(name, 4), 'Chr' || substr(name, 4), 'CHR' || substr(name, 4)]
+  WHEN regexp_full_match(name, '[0-9A-Za-z]+') THEN [name, 'chr' || name, 'Chr' || name, 'CHR' || name] ELSE [name] END"""
+
+
+def names_from_suppliers(spark, sf_dir):
+    k = F.col("s_suppkey")
+    text = k.cast("string")
+    name = F.when(k % 5 == 0, F.concat(F.lit("chr"), text)).when(k % 5 == 1, text).when(k % 5 == 2, F.concat(F.lit("NC_"), text, F.lit(".1"))).when(k % 5 == 3, F.concat(F.lit("chrUn_"), text)).otherwise(F.concat(F.lit("Chr"), (k - 4).cast("string")))
+    return table(spark, sf_dir, "supplier").select(name.alias("name"), F.concat(F.lit("SQ."), F.col("s_nationkey").cast("string")).alias("refget_id"), k.alias("ord"))
+
+
+@query("alias_variants", f"WITH n AS ({_NAMES_SQL}), v AS (SELECT ord, refget_id, unnest({_SPELL_SQL}) AS name FROM n) SELECT name, max_by(refget_id, ord) AS refget_id FROM v GROUP BY name")
+def alias_variants(spark, sf_dir):
+    return refget.with_variants(names_from_suppliers(spark, sf_dir))
+
+
+# Two tables of names, of which the second contradicts the first here and there
+_TWO_SQL = f"WITH n AS ({_NAMES_SQL}), m AS (SELECT name, refget_id, 0 AS file_ord, ord AS key_ord FROM n WHERE ord % 3 <> 0 UNION ALL SELECT name, CASE WHEN ord % 4 = 0 THEN 'SQ.other' ELSE refget_id END, 1, ord FROM n WHERE ord % 2 = 0)"
+_FIRST_SQL = "f AS (SELECT name, arg_min(refget_id, file_ord * 1000000 + key_ord) AS refget_id, min(file_ord * 1000000 + key_ord) AS seen_at FROM m GROUP BY name)"
+
+
+def two_mappings(spark, sf_dir):
+    n = names_from_suppliers(spark, sf_dir)
+    other = F.when(F.col("ord") % 4 == 0, "SQ.other").otherwise(F.col("refget_id"))
+    a = n.filter("ord % 3 <> 0").select("name", "refget_id", F.lit(0).alias("file_ord"), F.col("ord").alias("key_ord"))
+    return a.union(n.filter("ord % 2 = 0").select("name", other, F.lit(1), "ord"))
+
+
+@query("mapping_merge", f"""{_TWO_SQL}, {_FIRST_SQL},
+b AS (SELECT * FROM f WHERE NOT (regexp_full_match(name, '(chr|Chr|CHR)?[0-9]+') AND CAST(regexp_extract(name, '[0-9]+$') AS BIGINT) > 30)),
+s AS (SELECT refget_id, min(seen_at) AS seen FROM b GROUP BY 1),
+v AS (SELECT b.refget_id, seen, unnest({_SPELL_SQL}) AS name FROM b JOIN s ON b.refget_id = s.refget_id)
+SELECT name, max_by(refget_id, seen) AS refget_id FROM v GROUP BY name""")
+def mapping_merge(spark, sf_dir):
+    return refget.merge(two_mappings(spark, sf_dir))
+
+
+@query("mapping_conflicts", f"{_TWO_SQL} SELECT name, count(DISTINCT refget_id) AS n_ids, arg_min(refget_id, file_ord * 1000000 + key_ord) AS kept FROM m GROUP BY name HAVING count(DISTINCT refget_id) > 1")
+def mapping_conflicts(spark, sf_dir):
+    return refget.conflicts(two_mappings(spark, sf_dir)).select("name", "n_ids", "kept")
+
+
+# E3
+@query("bogus_alias", "SELECT p_partkey, p || k AS name, k > 30 AS bogus FROM (SELECT p_partkey, unnest(['', 'chr', 'Chr', 'CHR', 'chrX', 'NC_']) AS p, p_partkey AS k FROM part) WHERE p NOT IN ('chrX', 'NC_') UNION ALL SELECT p_partkey, p || p_partkey, false FROM (SELECT p_partkey, unnest(['chrX', 'NC_']) AS p FROM part)")
+def bogus_alias(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[F.lit(x) for x in ("", "chr", "Chr", "CHR", "chrX", "NC_")])).alias("p"))
+    name = F.concat("p", F.col("p_partkey").cast("string"))
+    return rows.select("p_partkey", name.alias("name"), refget.is_bogus(name).alias("bogus"))
+
+
+# G2, D6, D5 with texts in the place of sequences
+@query("mask_counts", "SELECT doc_id, length(text) AS n_all, length(regexp_replace(upper(text), '[ACGTN]', '', 'g')) AS n_ambiguous, length(regexp_replace(regexp_replace(upper(text), '[^ACGTN]', 'N', 'g'), '[^N]', '', 'g')) AS n_masked FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+def mask_counts(spark, sf_dir):
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").filter(t.rlike("^[\\x00-\\x7F]*$")).select("doc_id", F.length(t).cast("long").alias("n_all"), ambiguous_count(t).alias("n_ambiguous"), F.length(F.regexp_replace(mask_ambiguous(t), "[^N]", "")).cast("long").alias("n_masked"))
+
+
+# F4
+@query("md_events", reads_sql("""SELECT ord, off, kind, base FROM (
+  SELECT ord, matched // 2 + CASE WHEN ord % 10 = 4 THEN 14 ELSE 0 END AS off, 'X' AS kind, substr('ACGT', CAST(ord % 4 AS INTEGER) + 1, 1) AS base FROM reads WHERE md IS NOT NULL
+  UNION ALL SELECT ord, 12 + unnest([0, 1]), 'D', unnest(['G', 'T']) FROM reads WHERE md IS NOT NULL AND ord % 10 = 4)"""))
+def md_events(spark, sf_dir):
+    rows = reads_from_orders(spark, sf_dir).select("ord", F.explode(md.md_events(F.col("md"))).alias("x"))
+    return rows.select("ord", "x.off", "x.kind", "x.base")
+
+
+# F3, F3a, G22 (candidates), D4
+_SNV_SQL = """,
+c AS (SELECT m.*, matched // 2 + CASE WHEN ord % 10 = 4 THEN 14 ELSE 0 END AS off, substr('ACGT', CAST(ord % 4 AS INTEGER) + 1, 1) AS ref FROM mapped m WHERE md IS NOT NULL),
+seg AS (SELECT ord, o, n, coalesce(sum(CASE WHEN o IN ('M', 'D', 'N') THEN n ELSE 0 END) OVER w, 0)::BIGINT AS r, coalesce(sum(CASE WHEN o IN ('M', 'I', 'S') THEN n ELSE 0 END) OVER w, 0)::BIGINT AS q,
+  coalesce(sum(CASE WHEN o IN ('M', 'D') THEN n ELSE 0 END) OVER w, 0)::BIGINT AS m FROM ops WINDOW w AS (PARTITION BY ord ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+snv AS (SELECT c.ord, c.pos - 1 + seg.r + c.off - seg.m AS "start", ref, substr('ACGT', CAST((seg.q + c.off - seg.m) % 4 AS INTEGER) + 1, 1) AS alt FROM c JOIN seg ON c.ord = seg.ord AND seg.o = 'M' AND c.off >= seg.m AND c.off < seg.m + seg.n),
+cand AS (SELECT * FROM snv WHERE ref <> alt
+  UNION ALL SELECT c.ord, c.pos - 1 + seg.r, '', substr(repeat('ACGT', CAST((seg.q + seg.n) // 4 + 1 AS INTEGER)), CAST(seg.q AS INTEGER) + 1, CAST(seg.n AS INTEGER)) FROM c JOIN seg ON c.ord = seg.ord AND seg.o = 'I'
+  UNION ALL SELECT c.ord, c.pos - 1 + seg.r, 'GT', '' FROM c JOIN seg ON c.ord = seg.ord AND seg.o = 'D')
+"""
+
+
+@query("variant_candidates", reads_sql(_SNV_SQL + 'SELECT ord, "start", ref, alt FROM cand'))
+def variant_candidates(spark, sf_dir):
+    s = structured(spark, sf_dir).filter("tagged")
+    rows = s.select("ord", F.explode(md.candidates(F.col("ops"), F.col("pos"), F.col("seq"), F.col("md"))).alias("v"))
+    return rows.select("ord", "v.start", "v.ref", "v.alt")
+
+
+def known_reads(spark, sf_dir):
+    """Reads on chromosomes with an accession: the others may have no variants."""
+    return tags.tag_reads(reads_from_orders(spark, sf_dir).filter("rname <> 'chr19'"), mapping(spark), variants=True)
+
+
+@query("variant_counts", reads_sql(_SNV_SQL + """, k AS (SELECT cand.* FROM cand JOIN reads USING (ord) WHERE rname <> 'chr19')
+SELECT count(*) AS variant_candidates, count(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 1 END) AS variants_emitted, count(*) - count(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 1 END) AS variants_skipped,
+  count(DISTINCT CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN ord END) AS reads_with_variants FROM k"""))
+def variant_counts(spark, sf_dir):
+    return stats.tag_stats(known_reads(spark, sf_dir), None).select("variant_candidates", "variants_emitted", "variants_skipped", "reads_with_variants")
+
+
+# D1-D3
+_STAT_SQL = ", ".join(f"(SELECT count(*) FROM tagged) AS tagged_{t}, (SELECT count(DISTINCT {x}) FROM tagged) AS unique_{t}" for t, x in (
+    ("xi", "chr32 || strand || exon_text"), ("xb", "chr8 || pm || left_ || '.' || right_"), ("xs", "coalesce(chr8 || pm || junction_hex, 'single')"), ("xc", "chr32 || strand || ((left_ + right_) // 2 // 1000) || '|' || len_text"),
+    ("x5", "chr32 || strand || ((CASE WHEN strand = '+' THEN left_ ELSE right_ END) // 200)"), ("x3", "chr32 || strand || ((CASE WHEN strand = '+' THEN right_ ELSE left_ END) // 200)")))
+
+
+@query("tag_stats", reads_sql(f"SELECT (SELECT count(*) FROM reads) AS total_reads, (SELECT count(*) FROM tagged) AS processed_reads, (SELECT count(*) FROM tagged WHERE n_exons = 1) AS single_exon_reads, {_STAT_SQL}, (SELECT arg_min(coalesce(chr8 || pm || '.' || junction_hex, 'single'), ord) FROM tagged) AS example_xs"))
+def tag_stats(spark, sf_dir):
+    out = stats.tag_stats(tags.tag_reads(reads_from_orders(spark, sf_dir), mapping(spark)))
+    return out.select("total_reads", "processed_reads", "single_exon_reads", *[f"{k}_{t}" for t in ("xi", "xb", "xs", "xc", "x5", "x3") for k in ("tagged", "unique")], "example_xs")
+
+
+# The hashed tag groups as its serial does
+def _counts(name, tag, serial):
+    @query(name, reads_sql(f"SELECT n_reads, count(*) AS n_values FROM (SELECT count(*) AS n_reads FROM tagged GROUP BY {serial}) GROUP BY n_reads"))
+    def counts(spark, sf_dir):
+        tagged = tags.tag_reads(reads_from_orders(spark, sf_dir), mapping(spark))
+        return stats.count_by(tagged, tag).groupBy("n_reads").agg(F.count("*").alias("n_values"))
+
+
+_counts("isoform_counts", "xi", "chr32, strand, exon_text")
+_counts("locus_counts", "xc", "chr32, strand, (left_ + right_) // 2 // 1000, len_text")
+_counts("tss_counts", "x5", "chr32, strand, (CASE WHEN strand = '+' THEN left_ ELSE right_ END) // 200")
+_counts("polya_counts", "x3", "chr32, strand, (CASE WHEN strand = '+' THEN right_ ELSE left_ END) // 200")
+
+
+# D9
+@query("md_rate", reads_sql("SELECT count(*) AS n_sampled, count(md) AS n_md, count(md) > 0 AND count(md) * 10 >= count(*) AS has_md FROM (SELECT md FROM reads WHERE flag & 4 = 0 ORDER BY ord LIMIT 100)"))
+def md_rate(spark, sf_dir):
+    return stats.md_rate(reads_from_orders(spark, sf_dir))
+
+
+# What isn't tagged is there all the same
+@query("unmapped_passthrough", reads_sql("SELECT reads.ord, reads.qname, tagged.ord IS NOT NULL AS tagged FROM reads LEFT JOIN tagged ON reads.ord = tagged.ord"))
+def unmapped_passthrough(spark, sf_dir):
+    return structured(spark, sf_dir).select("ord", "qname", "tagged")
+
+
+# streaming: tags by window of event time
+@query("tss_windows", """WITH e AS (SELECT date_trunc('hour', ts) AS window_start, CASE WHEN event_id % 2 = 1 THEN '-' ELSE '+' END AS strand, 1 + user_id % 19 AS c, 1 + user_id * 5000 + event_id % 700 AS pos,
+  50 + event_id % 9 * 10 + 100 + event_id % 3 * 50 + 80 AS size FROM events),
+b AS (SELECT window_start, c, strand, (CASE WHEN strand = '+' THEN pos ELSE pos + size - 1 END) // 200 AS bin FROM e)
+SELECT window_start, n_reads, count(*) AS n_values FROM (SELECT window_start, count(*) AS n_reads FROM b GROUP BY window_start, c, strand, bin) GROUP BY ALL""")
+def tss_windows(spark, sf_dir):
+    tagged = tags.tag_reads(reads_from_events(table(spark, sf_dir, "events")), mapping(spark))
+    return windowed_counts(tagged, "x5").groupBy("window_start", "n_reads").agg(F.count("*").alias("n_values"))
+
+
+# hashed values; golden vectors stand in the tests, as SQL has no SHA-512
+@query("tags_hashed")
+def tags_hashed(spark, sf_dir):
+    return tags.tag_reads(reads_from_orders(spark, sf_dir), mapping(spark)).select("ord", "xi", "xb", "xs", "xt", "xc", "x5", "x3")
+
+
+@query("vrs_ids")
+def vrs_ids(spark, sf_dir):
+    return known_reads(spark, sf_dir).filter("xv is not null").select("ord", "xv", "variant_emitted_count")
