@@ -1,7 +1,11 @@
-"""A SentencePiece vocabulary as a unigram model: streaming Viterbi encoding, decoding, and the lattice of all segmentations.
-
-The model file's scores are used as they are if it holds log probabilities. A BPE file holds merge ranks 0, -1, -2, …;
-they become log probabilities of Zipf's law, -log(rank + 2.7), normalised. Blanks are written as U+2581, one is put in
+"""A SentencePiece vocabulary: streaming Viterbi encoding, decoding, and the lattice of all segmentations.
+
+A unigram file's scores are log probabilities: a path through the pieces of a text is as good as the sum of its scores.
+A BPE file's are merge ranks 0, -1, -2, …: its one right path is that on which every two neighbouring pieces stay
+two when they are merged by rank on their own (a merge across a boundary would show between the two pieces beside it
+first, and what goes on elsewhere doesn't change it). So of all paths into a boundary the best, or the one right one, survives,
+and both kinds of file go through the same lattice. Where likelihoods are asked of a BPE file (the lattice), its ranks become
+log probabilities of Zipf's law, -log(rank + 2.7), normalised. Blanks are written as U+2581, one is put in
 front of a non-empty text, and a character that no piece covers (a U+2581 of the text itself included) is written in
 byte pieces, so decoding gives back any text exactly.
 
@@ -26,12 +30,16 @@ BLANK = "\u2581"
 #: Stands for a U+2581 of the text itself: a lone surrogate, which no text holds.
 FOREIGN = "\ud800"
 WINDOW = 256
+#: Pairs of pieces that a worker remembers whether they may be neighbours.
+PAIRS = 400_000
 
 
 class Vocabulary:
     """Pieces with their ids and natural log probabilities; picklable and free of the library that read them."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: dict[int, int], size: int):
+    def __init__(self, pieces: list[tuple[str, float, int]], byte_ids: dict[int, int], size: int, ranks: dict[str, float] | None = None):
+        """ranks: of a BPE file, the higher the earlier merged."""
+        self.ranks, self.pairs = ranks, {}
         self.size, self.byte_ids = size, byte_ids
         self.text = {i: p for p, _, i in pieces}
         self.longest = max((len(p) for p, _, _ in pieces), default=1)
@@ -42,7 +50,37 @@ class Vocabulary:
         self.trie = None
 
     def __getstate__(self):
-        return self.__dict__ | {"trie": None}
+        return self.__dict__ | {"trie": None, "pairs": {}}
+
+    def merged(self, spelled: str) -> list[str]:
+        """A short text's pieces by merging, best rank first, of equal ones the leftmost."""
+        ranks, parts = self.ranks, list(spelled)
+        while len(parts) > 1:
+            best, at = -math.inf, -1
+            for k in range(len(parts) - 1):
+                r = ranks.get(parts[k] + parts[k + 1])
+                if r is not None and r > best:
+                    best, at = r, k
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def spelling(self, code: int) -> str:
+        """Of a code: a piece's id, ``size`` for a text's begin, and beyond that a character without a piece."""
+        return self.text[code] if code < self.size else chr(code - self.size - 1) if code > self.size else ""
+
+    def neighbours(self, left: int, right: int) -> bool:
+        """Whether the piece of one code may follow that of another."""
+        key = left << 22 | right
+        found = self.pairs.get(key)
+        if found is None:
+            a, b = self.spelling(left), self.spelling(right)
+            found = self.merged(a + b) == ([a, b] if a else [b])
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            self.pairs[key] = found
+        return found
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -57,13 +95,15 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 raw.append((piece, sp.get_score(i), i))
         scores = [s for _, s, _ in raw if s > -1e8]
-        least = min(scores, default=0.0)
+        least, ranks = min(scores, default=0.0), None
+        bpe = {p: s for p, s, _ in raw}
         raw = [(p, s if s > -1e8 else least - 1, i) for p, s, i in raw]  # pieces outside of the merges rank last
         if scores and all(s == round(s) for s in scores) and least < -1000:
+            ranks = bpe
             weight = {i: 1.0 / (2.7 - s) for _, s, i in raw}
             total = sum(weight.values())
             raw = [(p, math.log(weight[i] / total), i) for p, _, i in raw]
-        return cls(raw, byte_ids, sp.vocab_size())
+        return cls(raw, byte_ids, sp.vocab_size(), ranks)
 
     def root(self) -> dict:
         """Nested dictionaries by character; the key '' holds (id, log probability)."""
@@ -93,8 +133,9 @@ class Stream:
     def __init__(self, vocabulary: Vocabulary):
         self.v, self.root = vocabulary, vocabulary.root()
         self.held, self.at, self.reach, self.widest = "", 0, 0, 0
+        self.before = vocabulary.size  # code of the last piece of what is committed
         self.best: list[float] = [0.0]
-        self.back: list[tuple[int, tuple[int, ...]] | None] = [None]
+        self.back: list[tuple[int, tuple[int, ...], int] | None] = [None]  # from where, ids, code
 
     def feed(self, text: str, last: bool = False) -> list[int]:
         self.held += text
@@ -106,6 +147,7 @@ class Stream:
         stop = size if last else size - longest
         check = WINDOW
         base = 0
+        may = self.v.neighbours if self.v.ranks is not None else None
         while i < stop:
             here = best[i]
             if here == -math.inf:
@@ -119,6 +161,7 @@ class Stream:
                 else:
                     check *= 2
             node, single = root, False
+            left = back[i][2] if i else self.before
             for j in range(i, min(i + longest, size)):
                 node = node.get(held[j])
                 if node is None:
@@ -126,15 +169,18 @@ class Stream:
                 found = node.get("")
                 if found:
                     single = single or j == i
+                    if may and (best[j + 1] > -math.inf or not may(left, found[0])):
+                        continue
                     score = here + found[1]
                     if score > best[j + 1]:
-                        best[j + 1], back[j + 1] = score, (i, (found[0],))
+                        best[j + 1], back[j + 1] = score, (i, (found[0],), found[0])
                         if j >= reach:
                             reach = j + 1
             if not single:
                 ids, score = self.v.foreign(held[i])
-                if here + score > best[i + 1]:
-                    best[i + 1], back[i + 1] = here + score, (i, ids)
+                code = self.v.size + 1 + ord(held[i])
+                if here + score > best[i + 1] and (not may or may(left, code)):
+                    best[i + 1], back[i + 1] = here + score, (i, ids, code)
                     reach = max(reach, i + 1)
             i += 1
         if last:
@@ -143,8 +189,10 @@ class Stream:
         self.widest = max(self.widest, size - base)
         # Only what follows the last committed boundary is kept; scores are counted from there.
         zero = best[base]
+        if base:
+            self.before = back[base][2]
         self.held, self.best = held[base:], [x - zero for x in best[base:]]
-        self.back = [None, *((b[0] - base, b[1]) if b else None for b in back[base + 1 :])]
+        self.back = [None, *((b[0] - base, *b[1:]) if b else None for b in back[base + 1 :])]
         self.at, self.reach = max(i - base, 0), max(reach - base, 0)
         return out
 
@@ -155,7 +203,7 @@ class Stream:
     def _ids(back, base, to) -> list[int]:
         out = []
         while to > base:
-            to, ids = back[to]
+            to, ids, _ = back[to]
             out += reversed(ids)
         return out[::-1]
 
@@ -177,10 +225,11 @@ _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 class Encoder:
     """Encodes texts; stretches between blanks are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 300_000):
-        self.v, self.root, self.limit, self.memory = vocabulary, vocabulary.root(), remember, {}
+    def __init__(self, vocabulary: Vocabulary, remember: int = 400_000):
+        self.v, self.root, self.limit, self.young, self.old = vocabulary, vocabulary.root(), max(1, remember // 2), {}, {}
+        self.short = self.scored if vocabulary.ranks is None else self.ranked
 
-    def short(self, spelled: str) -> bytes:
+    def scored(self, spelled: str) -> list[int]:
         """What Stream gives for a text within one window, without its bookkeeping."""
         size, root, longest = len(spelled), self.root, self.v.longest
         best, back = [0.0] + [-math.inf] * size, [None] * (size + 1)
@@ -198,21 +247,54 @@ class Encoder:
                 if found:
                     single = single or j == i + 1
                     if here + found[1] > best[j]:
-                        best[j], back[j] = here + found[1], (i, (found[0],))
+                        best[j], back[j] = here + found[1], (i, (found[0],), 0)
             if not single:
                 ids, score = self.v.foreign(spelled[i])
                 if here + score > best[i + 1]:
-                    best[i + 1], back[i + 1] = here + score, (i, ids)
-        out = Stream._ids(back, 0, size)
-        return struct.pack(f"<{len(out)}I", *out)
+                    best[i + 1], back[i + 1] = here + score, (i, ids, 0)
+        return Stream._ids(back, 0, size)
+
+    def ranked(self, spelled: str) -> list[int]:
+        """The same for a BPE file: the one right path into each boundary survives."""
+        size, root, longest, pairs, may = len(spelled), self.root, self.v.longest, self.v.pairs, self.v.neighbours
+        code, come = [-1] * (size + 1), [0] * (size + 1)
+        code[0] = self.v.size
+        for i in range(size):
+            left, node, j = code[i], root, i
+            for c in spelled[i : i + longest]:
+                node = node.get(c)
+                if node is None:
+                    break
+                j += 1
+                if code[j] < 0:
+                    found = node.get("")
+                    if found:
+                        right = found[0]
+                        fits = pairs.get(left << 22 | right)
+                        if fits or fits is None and may(left, right):
+                            code[j], come[j] = right, i
+            if code[i + 1] < 0:  # no piece covers the character, or the right one starts before it
+                c = spelled[i]
+                if not root.get(c, {}).get("") and may(left, self.v.size + 1 + ord(c)):
+                    code[i + 1], come[i + 1] = self.v.size + 1 + ord(c), i
+        out, at = [], size
+        while at:
+            if code[at] < self.v.size:
+                out.append(code[at])
+            else:
+                out += reversed(self.v.foreign(chr(code[at] - self.v.size - 1))[0])
+            at = come[at]
+        return out[::-1]
 
     def stretch(self, spelled: str) -> bytes:
         if len(spelled) <= 64:
-            return self.short(spelled)
-        s, out = Stream(self.v), []
-        for k in range(0, len(spelled), 4096):
-            out += s.feed(spelled[k : k + 4096])
-        return np.array(out + s.finish(), dtype="<u4").tobytes()
+            out = self.short(spelled)
+        else:
+            s, out = Stream(self.v), []
+            for k in range(0, len(spelled), 4096):
+                out += s.feed(spelled[k : k + 4096])
+            out += s.finish()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -223,17 +305,19 @@ class Encoder:
             text = text.replace(BLANK, FOREIGN)
         plain = "  " not in text and text[0] != " " and text[-1] != " "
         parts = text.split(" ") if plain else _STRETCH.findall(BLANK + text.replace(" ", BLANK))
-        found = list(map(self.memory.get, parts))
+        # Two generations: the older one goes when the younger is full, so what is asked for often stays.
+        found = list(map(self.young.get, parts))
         if None in found:
             for k, part in enumerate(parts):
                 if found[k] is None:
-                    found[k] = self.memory.get(part)
-                if found[k] is None:
-                    found[k] = self.stretch(BLANK + part if plain else part)
+                    ids = self.young.get(part) or self.old.get(part)
+                    if ids is None:
+                        ids = self.stretch(BLANK + part if plain else part)
+                    found[k] = ids
                     if len(part) <= 64:
-                        if len(self.memory) >= self.limit:
-                            self.memory.clear()
-                        self.memory[part] = found[k]
+                        if len(self.young) >= self.limit:
+                            self.old, self.young = self.young, {}
+                        self.young[part] = ids
         return np.frombuffer(b"".join(found), dtype="<u4")
 
 
