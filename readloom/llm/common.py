@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
@@ -85,22 +86,25 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package to the executors once for a context, so that a cluster needs no prior install."""
+    """Sends the package to the executors once for a context, by way of the shared folder, so that a cluster needs no prior install."""
     sc = spark.sparkContext
     if getattr(sc, "_readloom_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if os.path.isdir(root):
-        folder = tempfile.mkdtemp(prefix="readloom-code-")
-        atexit.register(shutil.rmtree, folder, True)
-        target = os.path.join(folder, "readloom_code.zip")
-        with zipfile.ZipFile(target, "w") as z:
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
             for top, _, names in os.walk(root):
                 for name in names:
                     if name.endswith(".py"):
                         full = os.path.join(top, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        sc.addPyFile(target)
+        path = f"{new_path(spark, 'code')}/readloom_code.zip"
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(held.getvalue())
+        out.close()
+        sc.addPyFile(path)
     sc._readloom_shipped = True
 
 
