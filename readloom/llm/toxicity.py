@@ -1,14 +1,16 @@
-"""Toxicity: subword-bag embeddings, averaged, into a linear softmax.
+"""Toxicity: subword-bag embeddings, averaged over windows, into a linear softmax.
 
-A text is the set of its words in lower case; a word is the bag of itself and its character n-grams of 3 to 5 with
-marks at its ends, hashed into ``BUCKETS``. The text's vector is the mean over its words of the mean of their bags'
-embeddings; a linear layer and a softmax give the chance of each class. Embeddings and layer are trained together by
-gradient descent (Adagrad) in numpy on a sample: about ``per_class`` labelled rows of each class, drawn by a hash of
-id and text. Misspelt words share n-grams with known ones, and so their vectors.
+A word (letters, in lower case) is the bag of itself and its character n-grams of 3 to 5 with marks at its ends, hashed
+into ``BUCKETS``; its vector is the mean of their embeddings. A window is ``WINDOW`` words in a row, one every ``STEP``
+words and one at the text's end; its vector is the mean over its words. A linear layer and a softmax give a window's
+chance of each class, and a text is as toxic as its most toxic window: so one insult counts as much in a long text as in
+a short one. Embeddings and layer are trained together by gradient descent (Adagrad) in numpy on a sample: about
+``per_class`` labelled rows of each class, drawn by a hash of id and text. Training starts with the mean of all windows
+and sharpens to the most toxic one. Misspelt words share n-grams with known ones, and so their vectors.
 
 As the layer is linear, a word adds one number to the difference of the two classes; scoring adds these up, a map
 over whole texts with a bounded memory of words and no shuffle. Only training joins the labels to their texts; the
-sample's features (one row for each drawn text) are all that reaches the driver.
+words of the sample are all that reaches the driver.
 
 Defined cases: a null text, or one without a word, gets the chance of the bias alone, never above 0.5. Labels that
 are null, or whose document is missing, are not learned from. With rows of one class or none all scores are 0. Repeated rows are
@@ -27,21 +29,30 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import fold, id_text, map_slices, table
 
-BUCKETS, DIMENSION, PER_CLASS, EPOCHS, CUT = 1 << 16, 8, 1_500, 60, 0.7
+BUCKETS, DIMENSION, WINDOW, STEP = 1 << 18, 4, 6, 3
+PER_CLASS, EPOCHS, CUT = 1_500, 30, 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def words(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
 
 
 def bag(word: str) -> list[int]:
-    """Buckets of a word and its n-grams; of a very long word every one, too."""
+    """Buckets of a word and its n-grams."""
     padded = f"<{word}>"
-    out = [zlib.crc32(padded.encode()) % BUCKETS]
+    out = {zlib.crc32(padded.encode()) % BUCKETS}
     for n in (3, 4, 5):
-        out += [zlib.crc32(padded[i : i + n].encode()) % BUCKETS for i in range(len(padded) - n + 1)]
-    return out
+        out.update(zlib.crc32(padded[i : i + n].encode()) % BUCKETS for i in range(len(padded) - n + 1))
+    return sorted(out)
+
+
+def windows(n: int) -> tuple[np.ndarray, int]:
+    """Where the windows of n words start, and how many words each has."""
+    if n <= WINDOW:
+        return np.zeros(1, dtype=np.int64), n
+    at = np.arange(0, n - WINDOW + 1, STEP)
+    return (at if at[-1] == n - WINDOW else np.append(at, n - WINDOW)), WINDOW
 
 
 class Model:
@@ -54,7 +65,7 @@ class Model:
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return 0.0
-        own = sorted(words(text))
+        own = words(text)
         if not own:
             return 1 / (1 + np.exp(-min(self.bias, 0.0)))
         found = list(map(self.known.get, own))
@@ -66,38 +77,71 @@ class Model:
                         if len(self.known) >= 500_000:
                             self.known.clear()
                         self.known[w] = found[k]
-        return float(1 / (1 + np.exp(-np.clip(sum(found) / len(found) + self.bias, -500, 500))))
+        at, size = windows(len(own))
+        sums = np.concatenate([[0.0], np.cumsum(found)])
+        return float(1 / (1 + np.exp(-np.clip(((sums[at + size] - sums[at]) / size).max() + self.bias, -500, 500))))
+
+
+def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, … of size[0] numbers, then those from at[1] on."""
+    return np.repeat(at - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2) -> Model:
-    """rows: buckets and weights of each text."""
+def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(groups, column, n) for column in values.T], axis=1).astype(np.float32)
+
+
+def fit(texts: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2) -> Model:
+    """texts: the words of each, one at least."""
     if len(set(labels.tolist())) < 2:
         return Model(None)
+    number: dict[str, int] = {}
+    docs = [np.array([number.setdefault(w, len(number)) for w in t], dtype=np.int64) for t in texts]
+    bags = [bag(w) for w in number]
+    size = np.array([len(b) for b in bags])
+    flat, begin = np.array([b for x in bags for b in x]), np.cumsum(size) - size
+    places = [windows(len(d)) for d in docs]
     rng = np.random.default_rng(3)
     table = (rng.random((BUCKETS, DIMENSION), dtype=np.float32) - 0.5) / DIMENSION
     layer, bias = (rng.random((DIMENSION, 2), dtype=np.float32) - 0.5), np.zeros(2, dtype=np.float32)
     seen = [np.full(BUCKETS, 1e-8, dtype=np.float32), np.full_like(layer, 1e-8), np.full_like(bias, 1e-8)]
     share = np.array([0.5 / max(1, (labels == k).sum()) for k in (0, 1)], dtype=np.float32)
     for epoch in range(epochs):
-        order = rng.permutation(len(rows))
+        # A quarter of the epochs with the mean of all windows, a quarter ever sharper, then the most toxic one.
+        sharp = np.clip(32.0 * (epoch / epochs - 0.25), 0, None) if epoch < epochs / 2 else np.inf
+        order = rng.permutation(len(docs))
         for k in range(0, len(order), 64):
             some = order[k : k + 64]
-            at = np.concatenate([rows[i][0] for i in some])
-            by = np.concatenate([rows[i][1] for i in some])
-            owner = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
-            hidden = np.stack([np.bincount(owner, by * table[at, d], len(some)) for d in range(DIMENSION)], axis=1).astype(np.float32)
+            own = [docs[i] for i in some]
+            known, inside = np.unique(np.concatenate(own), return_inverse=True)
+            vectors = np.add.reduceat(table[flat[_ranges(begin[known], size[known])]], np.cumsum(size[known]) - size[known], axis=0) / size[known, None]
+            counts = np.array([len(places[i][0]) for i in some])
+            owner, first = np.repeat(np.arange(len(some)), counts), np.cumsum(counts) - counts
+            before = np.cumsum([len(d) for d in own]) - [len(d) for d in own]
+            at, length = np.concatenate([places[i][0] + b for i, b in zip(some, before)]), np.repeat([places[i][1] for i in some], counts)
+            means = np.add.reduceat(vectors[inside[_ranges(at, length)]], np.cumsum(length) - length, axis=0) / length[:, None]
+            z = means @ (layer[:, 1] - layer[:, 0])
+            over = z - np.maximum.reduceat(z, first)[owner]
+            pull = (over == 0).astype(float) if sharp == np.inf else np.exp(sharp * over)
+            pull = (pull / np.add.reduceat(pull, first)[owner]).astype(np.float32)
+            hidden = np.add.reduceat(means * pull[:, None], first, axis=0)
             logit = hidden @ layer + bias
             chance = np.exp(logit - logit.max(axis=1, keepdims=True))
             chance /= chance.sum(axis=1, keepdims=True)
-            gap = (chance - np.eye(2, dtype=np.float32)[labels[some]]) * (share[labels[some]] * len(rows) / len(some))[:, None]
+            gap = (chance - np.eye(2, dtype=np.float32)[labels[some]]) * (share[labels[some]] * len(docs) / len(some))[:, None]
             down = gap @ layer.T
             for parameter, g, s in ((layer, hidden.T @ gap, seen[1]), (bias, gap.sum(axis=0), seen[2])):
                 s += g * g
                 parameter -= rate * g / np.sqrt(s)
-            places, back = np.unique(at, return_inverse=True)
-            g = np.stack([np.bincount(back, by * down[owner, d], len(places)) for d in range(DIMENSION)], axis=1).astype(np.float32)
-            seen[0][places] += (g * g).mean(axis=1)
-            table[places] -= rate * g / np.sqrt(seen[0][places])[:, None]
+            # Back through the windows that count, to their words, to the words' buckets.
+            used = np.flatnonzero(pull > 1e-3)
+            to_windows = down[owner[used]] * (pull[used] / length[used])[:, None]
+            word, back = np.unique(inside[_ranges(at[used], length[used])], return_inverse=True)
+            to_words = _sums(np.repeat(to_windows, length[used], axis=0), back, len(word)) / size[known[word], None]
+            bucket, back = np.unique(flat[_ranges(begin[known[word]], size[known[word]])], return_inverse=True)
+            g = _sums(np.repeat(to_words, size[known[word]], axis=0), back, len(bucket))
+            seen[0][bucket] += (g * g).mean(axis=1)
+            table[bucket] -= rate * g / np.sqrt(seen[0][bucket])[:, None]
     return Model((table @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
@@ -112,25 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = id_text(docs, id_col, text_col).join(drawn, "doc_id").select("doc_id", "y", "text")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, by = [], []
-        for t in batch.column(2).to_pylist():
-            own = sorted(words(t))
-            bags = [bag(w) for w in own]
-            all_at = np.array([b for x in bags for b in x], dtype=np.int64)
-            all_by = np.repeat([1.0 / len(x) / len(own) for x in bags], [len(x) for x in bags])
-            places, back = np.unique(all_at, return_inverse=True)
-            at.append(places.astype(np.int32))
-            by.append(np.bincount(back, all_by, len(places)).astype(np.float32))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(by, pa.list_(pa.float32()))], names=["doc_id", "y", "at", "w"])
-
-    found = map_slices(texts, step, "doc_id bigint, y int, at array<int>, w array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    rows, columns = [], [found.column(k).combine_chunks() for k in range(4)]
-    for k in range(found.num_rows):
-        at, w = columns[2][k].values, columns[3][k].values
-        if len(at):
-            rows.append((k, np.asarray(at), np.asarray(w)))
-    y = columns[1].to_numpy(zero_copy_only=False).astype(int) if found.num_rows else np.empty(0, dtype=int)
-    return fit([(a, b) for _, a, b in rows], y[[k for k, _, _ in rows]])
+        return batch.set_column(2, batch.schema.field(2), pa.array([" ".join(words(t)) for t in batch.column(2).to_pylist()], pa.string()))
+
+    found = map_slices(texts, step, "doc_id bigint, y int, text string").filter("text <> ''").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("y", "ascending")])
+    return fit([x.split(" ") for x in found.column("text").to_pylist()], np.array(found.column("y").to_pylist(), dtype=int))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
