@@ -66,7 +66,8 @@ def counts(rows: DataFrame) -> np.ndarray:
 def ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     """log p_target - log p_raw of each bucket; docs (doc_id, text), target_ids (doc_id)."""
     raw = counts(docs)
-    target = counts(docs.join(target_ids, "doc_id", "left_semi"))
+    # As many ids as there are labels: no broadcast, whatever their number.
+    target = counts(docs.join(target_ids.hint("merge"), "doc_id", "left_semi"))
     if not target.any():
         return np.zeros(BUCKETS)
     return np.log((target + ALPHA) / (target.sum() + ALPHA * BUCKETS)) - np.log((raw + ALPHA) / (raw.sum() + ALPHA * BUCKETS))
