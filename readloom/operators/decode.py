@@ -21,6 +21,10 @@ def is_single(xs: Column) -> Column:
     return xs.isNull() | xs.isin("", "None", "single")
 
 
+def is_single_text(xs: str | None) -> bool:
+    return xs in (None, "", "None", "single")
+
+
 def boundary(xb: Column) -> Column:
     """struct(chr8, strand, left, right)."""
     part = F.split(F.substring(xb, 11, 1 << 30), "[.]")
@@ -48,7 +52,8 @@ def exons(bounds: Column, spliced: Column) -> Column:
 
 def chromosome_names(mapping: DataFrame) -> DataFrame:
     """chr8 and the names (sorted) whose digest starts with it."""
-    return mapping.filter(F.col("refget_id").startswith("SQ.")).groupBy(F.substring("refget_id", 4, 8).alias("chr8")).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    bare = F.regexp_replace("refget_id", "^ga4gh:", "")
+    return mapping.filter(bare.startswith("SQ.")).groupBy(F.substring(bare, 4, 8).alias("chr8")).agg(F.sort_array(F.collect_list("name")).alias("names"))
 
 
 def decode_tags(rows: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
@@ -62,6 +67,17 @@ def decode_tags(rows: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
         "tags_consistent": F.col("__s").isNull() | ((F.col("__s")["chr8"] == F.col("__b")["chr8"]) & (F.col("__s")["strand"] == F.col("__b")["strand"])),
     })
     out = out.withColumns({"n_junctions": (F.size("junction_coords") / 2).cast("long"), "intron_length": F.when(F.size("exons") > 1, F.col("span") - F.col("total_exon_length")), "exon_lengths": F.transform("exons", lambda e: e["end"] - e["start"] + 1)}).drop("__b", "__s")
+    return _named(out, mapping)
+
+
+def decode_splice(rows: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """rows (xs) with chr8, strand, junction_coords, n_junctions and chr_names, for tags that come without their boundary; null for a read of one exon."""
+    out = rows.withColumn("__s", splice(F.col("xs")))
+    out = out.withColumns({"chr8": F.col("__s")["chr8"], "strand": F.col("__s")["strand"], "junction_coords": F.col("__s")["coords"]}).drop("__s")
+    return _named(out.withColumn("n_junctions", F.when(F.col("chr8").isNotNull(), (F.size("junction_coords") / 2).cast("long"))), mapping)
+
+
+def _named(out: DataFrame, mapping: DataFrame | None) -> DataFrame:
     unknown = F.array(F.concat(F.lit("<chr_hash:"), F.col("chr8"), F.lit(">")))
     if mapping is None:
         return out.withColumn("chr_names", unknown)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from readloom.config import TagConfig
 from readloom.functions import bins, cigar, md
-from readloom.functions.hashing import ambiguous_count, mask_ambiguous
-from readloom.operators import decode, refget, stats, tags
+from readloom.functions.hashing import ambiguous_count, mask_ambiguous, normalize_substitution
+from readloom.operators import decode, reference, refget, sites, stats, tags
 from readloom.plans import synth
 from readloom.plans.synth import mapping, reads_from_events, reads_from_orders, reads_sql, table
+from readloom.sources.sam import parse_lines
 from readloom.streaming.tagging import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -297,6 +298,65 @@ def tss_windows(spark, sf_dir):
     return windowed_counts(tagged, "x5").groupBy("window_start", "n_reads").agg(F.count("*").alias("n_values"))
 
 
+# Records out of text lines, short lines and headers among them
+@query("sam_fields", reads_sql("SELECT ord, qname, CAST(flag AS INTEGER) AS flag, rname, pos, cigar, md FROM reads"))
+def sam_fields(spark, sf_dir):
+    r = reads_from_orders(spark, sf_dir)
+    text = [F.col(c).cast("string") for c in ("qname", "flag", "rname", "pos")] + [F.lit("60"), F.col("cigar"), F.lit("*"), F.lit("0"), F.lit("0"), F.col("seq"), F.lit("*"), F.lit("NM:i:1"), F.concat(F.lit("MD:Z:"), F.col("md"))]
+    lines = r.select("ord", F.concat_ws("\t", *text).alias("value"))
+    lines = lines.union(r.select("ord", F.concat_ws("\t", "qname", "rname"))).union(r.select("ord", F.concat(F.lit("@CO\t"), F.concat_ws("\t", *text))))
+    return parse_lines(lines).select("ord", "qname", "flag", "rname", "pos", "cigar", F.col("tags")["MD"]["value"].alias("md"))
+
+
+# MD tags from the reference, for reads of one stretch on contigs of one repeated word
+_MD_READS = "SELECT p_partkey AS ord, 'c' || (p_partkey % 3) AS rname, 1 + p_partkey * 7 % 3000 AS pos, 10 + p_partkey % 90 AS n FROM part"
+
+
+@query("md_from_reference", f"""WITH r AS ({_MD_READS}),
+b AS (SELECT ord, n, i, substr('ACGGT', CAST((pos - 1 + i + p) % 5 AS INTEGER) + 1, 1) AS ref, substr('ACGT', CAST(i % 4 AS INTEGER) + 1, 1) AS own
+  FROM (SELECT *, CAST(substr(rname, 2) AS BIGINT) AS p, unnest(generate_series(0, n - 1)) AS i FROM r)),
+m AS (SELECT *, lag(i, 1, -1) OVER (PARTITION BY ord ORDER BY i) AS before FROM b WHERE ref <> own)
+SELECT r.ord, coalesce(string_agg((i - before - 1) || ref, '' ORDER BY i), '') || (r.n - 1 - coalesce(max(i), -1)) AS md FROM r LEFT JOIN m ON r.ord = m.ord GROUP BY r.ord, r.n""")
+def md_from_reference(spark, sf_dir):
+    k = F.col("p_partkey")
+    n = 10 + k % 90
+    reads = table(spark, sf_dir, "part").select(k.alias("ord"), F.lit(0).alias("flag"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("rname"), (1 + k * 7 % 3000).alias("pos"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.repeat(F.lit("ACGT"), F.lit(25)).substr(F.lit(1), n.cast("int")).alias("seq"))
+    contigs = spark.createDataFrame([(f"c{p}", ("ACGGT" * 700)[p : p + 3200]) for p in range(3)], "name string, seq string")
+    return reference.with_md(reads, contigs, 256).select("ord", "md")
+
+
+# Substitutions without what both sides share
+@query("normalized_substitutions", """WITH v AS (SELECT p_partkey AS ord, p_partkey * 3 AS spot, repeat('A', CAST(p_partkey % 3 AS INTEGER)) || ['C', 'CA', 'g'][p_partkey % 3 + 1] || repeat('G', CAST(p_partkey % 4 AS INTEGER)) AS r,
+  repeat('A', CAST(p_partkey % 3 AS INTEGER)) || ['T', 'TT', 'GA', 'c'][p_partkey % 4 + 1] || repeat('G', CAST(p_partkey % 4 AS INTEGER)) AS a FROM part),
+u AS (SELECT ord, spot, upper(r) AS r, upper(a) AS a FROM v WHERE upper(r) <> upper(a)),
+t AS (SELECT ord, spot, left(r, CAST(length(r) - k AS BIGINT)) AS r, left(a, CAST(length(a) - k AS BIGINT)) AS a FROM (SELECT *, list_max([x FOR x IN generate_series(0, least(length(r), length(a))) IF right(r, x) = right(a, x)]) AS k FROM u)),
+h AS (SELECT *, list_max([x FOR x IN generate_series(0, least(length(r), length(a))) IF left(r, x) = left(a, x)]) AS k FROM t)
+SELECT ord, CAST(spot + k AS BIGINT) AS "start", substr(r, CAST(k AS BIGINT) + 1) AS ref, substr(a, CAST(k AS BIGINT) + 1) AS alt FROM h WHERE length(r) > k AND length(a) > k""")
+def normalized_substitutions(spark, sf_dir):
+    k = F.col("p_partkey")
+    pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), (k % len(xs)).cast("int"))
+    lead, tail = F.repeat(F.lit("A"), (k % 3).cast("int")), F.repeat(F.lit("G"), (k % 4).cast("int"))
+    v = table(spark, sf_dir, "part").select(k.alias("ord"), (k * 3).alias("at"), F.concat(lead, pick(["C", "CA", "g"]), tail).alias("r"), F.concat(lead, pick(["T", "TT", "GA", "c"]), tail).alias("a"))
+    # The others have no identifier: with one side empty they are no substitutions, and asking for them is an error.
+    both = lambda x, y: F.least(F.length(x), F.length(y))
+    r, a = F.upper("r"), F.upper("a")
+    shared = F.aggregate(F.sequence(F.lit(1), both(r, a)), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.right(r, i) == F.right(a, i)), i).otherwise(n))
+    v = v.filter(r != a).withColumn("k", shared)
+    left = lambda x: x.substr(F.lit(1), F.length(x) - F.col("k"))
+    v = v.filter(~left(r).startswith(left(a)) & ~left(a).startswith(left(r)))
+    return v.select("ord", normalize_substitution(F.col("at"), F.col("r"), F.col("a")).alias("n")).select("ord", "n.start", "n.ref", "n.alt")
+
+
+# range join: 5' ends within 100 bases of a known site
+@query("site_overlap", reads_sql(""", s AS (SELECT ord, rname, strand, CASE WHEN strand = '+' THEN left_ ELSE right_ END AS site FROM tagged),
+k AS (SELECT rname, strand, site + ord % 300 - 150 AS at FROM s WHERE ord % 10 = 0)
+SELECT ord, site, EXISTS (SELECT 1 FROM k WHERE k.rname = s.rname AND k.strand = s.strand AND k.at BETWEEN s.site - 100 AND s.site + 100) AS hit FROM s"""))
+def site_overlap(spark, sf_dir):
+    s = sites.ends(structured(spark, sf_dir), True).select("ord", "rname", "strand", "site")
+    known = s.filter("ord % 10 = 0").select("rname", "strand", (F.col("site") + F.col("ord") % 300 - 150).alias("at"))
+    return sites.near_sites(s, known).select("ord", "site", "hit")
+
+
 # hashed values; golden vectors stand in the tests, as SQL has no SHA-512
 @query("tags_hashed")
 def tags_hashed(spark, sf_dir):

@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mapping(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(CHROMOSOMES.items()), "name string, refget_id string")
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in CHROMOSOMES.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(name, refget_id)")
 
 
 def reads_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +65,12 @@ def reads_from_events(events: DataFrame) -> DataFrame:
 
 READS_SQL = """
 l AS (SELECT *, 40 + 5 * CAST(l_quantity AS BIGINT) AS m, 60 + l_suppkey * 13 + l_partkey % 500 AS n,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k, count(*) OVER (PARTITION BY l_orderkey) AS of_k FROM lineitem),
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k, count(*) OVER (PARTITION BY l_orderkey) AS of_k FROM lineitem),
 per AS (SELECT l_orderkey, sum(m)::BIGINT AS matched, string_agg(m || 'M' || CASE WHEN k < of_k THEN n || 'N' ELSE '' END, '' ORDER BY k) AS core FROM l GROUP BY 1),
 reads AS (SELECT 'r' || o_orderkey AS qname, (CASE WHEN o_orderkey % 2 = 1 THEN 16 ELSE 0 END) + (CASE WHEN o_orderkey % 50 = 8 THEN 4 ELSE 0 END) AS flag,
   'chr' || (1 + o_custkey % 19) AS rname, 1 + (o_custkey * 100003 + o_orderkey * 37) % 100000000 AS pos,
   CASE WHEN o_orderkey % 50 = 7 THEN '*' ELSE (CASE o_orderkey % 10 WHEN 3 THEN '5S' WHEN 4 THEN '12M3I2D' ELSE '' END) || core || (CASE WHEN o_orderkey % 10 = 5 THEN '7S4H' ELSE '' END) END AS cigar,
-  matched + (CASE o_orderkey % 10 WHEN 3 THEN 5 WHEN 4 THEN 15 WHEN 5 THEN 7 ELSE 0 END) AS size,
+  matched, matched + (CASE o_orderkey % 10 WHEN 3 THEN 5 WHEN 4 THEN 15 WHEN 5 THEN 7 ELSE 0 END) AS size,
   CASE WHEN o_orderkey % 7 <> 0 THEN (CASE WHEN o_orderkey % 10 = 4 THEN '12^GT' ELSE '' END) || (matched // 2) || substr('ACGT', CAST(o_orderkey % 4 AS INTEGER) + 1, 1) || (matched - matched // 2 - 1) END AS md,
   o_orderkey AS ord FROM per JOIN orders ON l_orderkey = o_orderkey),
 mapped AS (SELECT *, CASE WHEN flag & 16 <> 0 THEN '-' ELSE '+' END AS strand FROM reads WHERE flag & 4 = 0 AND cigar <> '*'),
