@@ -91,16 +91,13 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float:
     left = k
     while low < high:
         width = (high - low) / (1 << 16)
-        if width == 0 or low + width == low:
-            break
-        part = F.least(F.floor((x - low) / width), F.lit((1 << 16) - 1))
+        # Where a bin is narrower than the numbers are dense there are fewer numbers than bins: each is its own.
+        part = x if width == 0 or low + width == low else F.least(F.floor((x - low) / width), F.lit((1 << 16) - 1))
         found = sorted(keys.filter((x >= low) & (x <= high)).groupBy(part.alias("bin")).agg(F.count("*").alias("n"), F.min(x).alias("least"), F.max(x).alias("most")).collect(), reverse=True)
         for r in found:
             if left <= r.n:
                 break
             left -= r.n
-        if (low, high) == (r.least, r.most) and len(found) == 1:
-            break
         low, high = r.least, r.most
     return low
 
