@@ -58,7 +58,7 @@ _own_scratch: dict[str, str] = {}
 
 def scratch(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir. Only a local session without one gets its own."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return f"{conf.rstrip('/')}/readloom"
     if not spark.sparkContext.master.startswith("local"):
@@ -134,23 +134,3 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
                 yield function(part)
 
     return df.mapInArrow(run, schema)
-
-
-class Memo:
-    """A bounded dictionary: two generations, the older one dropped when the younger is full. Keeps what is asked for often."""
-
-    def __init__(self, size: int):
-        self.half, self.young, self.old = max(1, size // 2), {}, {}
-
-    def get(self, key):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
-        return found
-
-    def put(self, key, value) -> None:
-        if len(self.young) >= self.half:
-            self.old, self.young = self.young, {}
-        self.young[key] = value

@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import Memo, fold, fresh, map_slices, table
+from readloom.llm.common import fold, fresh, map_slices, table
 
 ORDER, PENALTY = 6, 7.0
 PER_LANGUAGE, MAX_LANGUAGES, MAX_ENTRIES, MIN_COUNT = 2_000, 200, 200_000, 3
 UNKNOWN = "und"
+#: Words that a worker remembers, in each of two generations.
+REMEMBER = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -62,17 +64,34 @@ class Model:
         self.table = np.full((len(self.rows), len(at)), -PENALTY)
         for language, entry, n in counts:
             self.table[self.rows[entry], at[language]] = max(-PENALTY, math.log10(n / totals[entry[0]][at[language]]))
-        self.cached = None
+        self.young = self.old = self.by_length = None
 
     def __getstate__(self):
-        return self.__dict__ | {"cached": None}
-
-    def unseen(self, word: str) -> np.ndarray:
-        for n in range(ORDER, 0, -1):
-            known = [r for g in grams(word, n) if (r := self.rows.get(g)) is not None]
+        return self.__dict__ | {"young": None, "old": None, "by_length": None}
+
+    def entries(self, word: str) -> tuple[int, ...]:
+        """Rows whose mean stands for a word: its own, or those of its known n-grams of the longest n that has any."""
+        own = self.by_length[0].get(word)
+        if own is not None:
+            return (own,)
+        padded = f" {word} "
+        for n in range(min(ORDER, len(padded)), 0, -1):
+            get = self.by_length[n].get
+            known = [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]
             if known:
-                return self.table[known].mean(axis=0)
-        return np.zeros(len(self.languages))
+                return tuple(known)
+        return ()
+
+    def remembered(self, word: str) -> tuple[int, ...]:
+        """In two generations: the older one goes when the younger is full, so what is asked for often stays."""
+        found = self.old.get(word)
+        if found is None:
+            found = self.entries(word)
+        if len(word) < 64:
+            if len(self.young) >= REMEMBER:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
+        return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.languages:
@@ -80,23 +99,21 @@ class Model:
         counted = words(text)
         if not any(c.isalpha() for w in counted for c in w):
             return UNKNOWN, 0.0
-        if self.cached is None:
-            self.cached = Memo(100_000)
-        score, rows, times = self.prior.copy(), [], []
-        for w, n in counted.items():
-            r = self.rows.get("0" + w)
-            if r is not None:
-                rows.append(r)
-                times.append(n)
-                continue
-            v = self.cached.get(w)
-            if v is None:
-                v = self.unseen(w)
-                if len(w) < 64:
-                    self.cached.put(w, v)
-            score += n * v
-        if rows:
-            score += np.array(times, dtype=float) @ self.table[rows]
+        if self.by_length is None:
+            self.young, self.old, self.by_length = {}, {}, [{} for _ in range(ORDER + 1)]
+            for entry, r in self.rows.items():
+                self.by_length[int(entry[0])][entry[1:]] = r
+        rows, weights = [], []
+        for (w, n), found in zip(counted.items(), list(map(self.young.get, counted))):
+            if found is None:
+                found = self.remembered(w)
+            if len(found) == 1:
+                rows.append(found[0])
+                weights.append(n)
+            elif found:
+                rows += found
+                weights += [n / len(found)] * len(found)
+        score = self.prior + np.array(weights, dtype=float) @ self.table[rows] if rows else self.prior
         best = int(np.argmax(score))
         return self.languages[best], float(1 / (10.0 ** np.clip(score - score[best], -300, 0)).sum())
 
