@@ -13,7 +13,7 @@ over whole texts with a bounded memory of words and no shuffle. Only training jo
 words of the sample are all that reaches the driver.
 
 Defined cases: a null text, or one without a word, gets the chance of the bias alone, never above 0.5. Labels that
-are null, or whose document is missing, are not learned from. With rows of one class or none all scores are 0. Repeated rows are
+are null, or whose document is missing, are not learned from; repeated ones are learned from once. With rows of one class or none all scores are 0. Repeated rows are
 scored one by one. Empty tables give empty results. Extra columns are not read.
 """
 
@@ -147,13 +147,17 @@ def fit(texts: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, rate:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
     """Learns from labelled rows; ``docs`` and ``labels`` hold those only that may be learned from."""
-    marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
+    marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null").distinct()
     counts = dict(marks.groupBy("y").count().collect())
     if len(counts) < 2:
         return Model(None)
     share = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
     drawn = marks.filter(F.xxhash64("doc_id", F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1)) < share * float(1 << 53))
-    texts = id_text(docs, id_col, text_col).join(drawn, "doc_id").select("doc_id", "y", "text")
+    # About per_class ids of each class, each once: small enough to go to the texts, which stay where they are.
+    texts = id_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
+    # Where ids repeat, their rows are thinned out by text; equal rows are learned from once.
+    thin = min(1.0, 4 * per_class / max(1, texts.count()))
+    texts = texts.filter(F.xxhash64("text", F.lit(19)).bitwiseAND(F.lit((1 << 53) - 1)) < thin * float(1 << 53)).distinct()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.set_column(2, batch.schema.field(2), pa.array([" ".join(words(t)) for t in batch.column(2).to_pylist()], pa.string()))
