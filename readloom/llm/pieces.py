@@ -47,10 +47,10 @@ class Vocabulary:
         self.floor = min((s for _, s, _ in pieces), default=0.0) - 10.0
         self.pieces = pieces
         self.cut = not any(BLANK in p.lstrip(BLANK) for p, _, _ in pieces)
-        self.trie = None
+        self.trie = self.raw = None
 
     def __getstate__(self):
-        return self.__dict__ | {"trie": None, "pairs": {}}
+        return self.__dict__ | {"trie": None, "raw": None, "pairs": {}}
 
     def merged(self, spelled: str) -> list[str]:
         """A short text's pieces by merging, best rank first, of equal ones the leftmost."""
@@ -117,6 +117,12 @@ class Vocabulary:
             self.trie = root
         return self.trie
 
+    def spelled(self) -> dict[int, bytes]:
+        """What each id stands for."""
+        if self.raw is None:
+            self.raw = {i: p.replace(BLANK, " ").encode("utf-8") for i, p in self.text.items()} | {i: bytes([b]) for b, i in self.byte_ids.items()}
+        return self.raw
+
     def foreign(self, c: str) -> tuple[tuple[int, ...], float]:
         raw = (BLANK if c == FOREIGN else c).encode("utf-8")
         return tuple(self.byte_ids[b] for b in raw), self.floor * len(raw)
@@ -225,7 +231,7 @@ _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 class Encoder:
     """Encodes texts; stretches between blanks are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 800_000):
         self.v, self.root, self.limit, self.young, self.old = vocabulary, vocabulary.root(), max(1, remember // 2), {}, {}
         self.short = self.scored if vocabulary.ranks is None else self.ranked
 
@@ -322,19 +328,8 @@ class Encoder:
 
 
 def decode(vocabulary: Vocabulary, ids) -> str:
-    values = {i: b for b, i in vocabulary.byte_ids.items()}
-    out, raw = [], bytearray()
-    for i in map(int, ids):
-        if i in values:
-            raw.append(values[i])
-            continue
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-            raw.clear()
-        out.append(vocabulary.text[i].replace(BLANK, " "))
-    if raw:
-        out.append(raw.decode("utf-8", "replace"))
-    whole = "".join(out)
+    """The text that ids spell; bytes that are no UTF-8 give U+FFFD."""
+    whole = b"".join(map(vocabulary.spelled().__getitem__, ids)).decode("utf-8", "replace")
     return whole[1:] if whole[:1] == " " else whole
 
 
