@@ -55,3 +55,10 @@ def test_empty_tables(spark):
     assert {r.n_hit for r in D.report(docs, items).collect()} == {0}
     assert D.report(docs.limit(0), items).collect() == []
     assert D.drop_documents(docs, items).count() == len(DOCS)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_is_its_sql(spark, sf):
+    from tests.oracle import compare
+
+    assert compare(D.query(spark, f"/root/testdata/{sf}"), D.SQL, f"/root/testdata/{sf}") > 0

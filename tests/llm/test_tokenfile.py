@@ -30,8 +30,8 @@ def brute(rows, made):
 
 def test_cut_encoding_is_whole_encoding(made):
     rng, tokenizer, own = random.Random(3), Tokenizer.from_str(made), T.Encoder(made, remember=500)
-    parts = [" ", " ", "  ", "\n", "\n ", "\t", "a", "word", "'s", "It's", "12", ".", "?!", "é", "語", " ", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "don't", "x" * 70]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    parts = [" ", " ", "  ", "\n", "\n ", "\t", "a", "word", "'s", "It's", "12", ".", "?!", "é", "語", " ", " ", "\x1c", "\x85", "😀", "<|endoftext|>", "don't", "x" * 70, ", ", ". ", ".\n", "_", "\x01", "\x00", "ß", "²", "'", "\xa0", "ǅ", "Б", "e\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
     for k in range(0, len(texts), 500):
         some = texts[k : k + 500]
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encode(some)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
