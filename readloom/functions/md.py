@@ -42,21 +42,32 @@ def segments(ops: Column, pos: Column) -> Column:
 def candidates(ops: Column, pos: Column, seq: Column, md: Column) -> Column:
     """Substitutions, insertions and deletions of a read, in its order. None without MD or SEQ.
 
-    A read base past the end of SEQ is no variant; ``seq_too_short`` counts such reads."""
-    events = md_events(md)
+    Operations and MD events are sorted together by where they stand in the MD and folded once, so a read's cost grows
+    with its operations and events, not with their product. A read base past the end of SEQ is no variant;
+    ``seq_too_short`` counts such reads."""
     is_base = lambda c: c.isin("A", "C", "G", "T")
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    item = lambda at, kind, k, o, n, r, q, base: F.struct(at.alias("at"), F.lit(kind).alias("kind"), k.alias("k"), o.alias("o"), n.alias("n"), r.alias("r"), q.alias("q"), base.alias("base"))
+    steps = F.transform(F.filter(segments(ops, pos), lambda g: g["o"].isin("M", "=", "X", "I", "D")), lambda g, k: item(g["m"], 0, k, g["o"], g["n"], g["r"], g["q"], none))
+    events = F.transform(md_events(md), lambda e: item(e["off"], 1, F.lit(0), e["kind"], zero, zero, zero, e["base"]))
+    variant = lambda start, ref, alt: F.array(F.struct(start.alias("start"), ref.alias("ref"), alt.alias("alt")))
 
-    def of(g: Column, ev: Column) -> Column:
-        inside = F.filter(ev, lambda e: (e["off"] >= g["m"]) & (e["off"] < g["m"] + g["n"]))
-        changes = F.transform(F.filter(inside, lambda e: e["kind"] == "X"), lambda e: F.struct((g["r"] + e["off"] - g["m"]).alias("start"), e["base"].alias("ref"), F.upper(seq.substr((g["q"] + e["off"] - g["m"] + 1).cast("int"), F.lit(1))).alias("alt")))
-        changes = F.filter(changes, lambda v: is_base(v["ref"]) & is_base(v["alt"]) & (v["ref"] != v["alt"]))
-        added = F.array(F.struct(g["r"].alias("start"), F.lit("").alias("ref"), F.upper(seq.substr((g["q"] + 1).cast("int"), g["n"].cast("int"))).alias("alt")))
-        # A deleted base that the MD doesn't name is N.
-        gone = F.aggregate(F.filter(inside, lambda e: e["kind"] == "D"), F.repeat(F.lit("N"), g["n"].cast("int")), lambda s, e: F.overlay(s, e["base"], (e["off"] - g["m"] + 1).cast("int")))
-        lost = F.array(F.struct(g["r"].alias("start"), gone.alias("ref"), F.lit("").alias("alt")))
-        return F.when(g["o"].isin("M", "=", "X"), changes).when(g["o"] == "I", added).when(g["o"] == "D", lost).otherwise(F.array().cast(VARIANTS))
-
-    walked = F.flatten(F.transform(segments(ops, pos), lambda g: of(g, events)))
+    def closed(a: Column) -> Column:
+        """A deletion is complete when the next operation comes; a base of it that the MD doesn't name is N."""
+        return F.when(a["o"] == "D", F.concat(a["out"], variant(a["r"], F.rpad(a["text"], a["n"].cast("int"), "N"), none))).otherwise(a["out"])
+
+    def step(a: Column, x: Column) -> Column:
+        inside = x["at"] < a["m"] + a["n"]
+        alt = F.upper(seq.substr((a["q"] + x["at"] - a["m"] + 1).cast("int"), F.lit(1)))
+        change = a["o"].isin("M", "=", "X") & (x["o"] == "X") & inside & is_base(x["base"]) & is_base(alt) & (x["base"] != alt)
+        added = variant(x["r"], none, F.upper(seq.substr((x["q"] + 1).cast("int"), x["n"].cast("int"))))
+        began = F.struct(F.when(x["o"] == "I", none).otherwise(x["o"]).alias("o"), x["at"].alias("m"), x["n"].alias("n"), x["r"].alias("r"), x["q"].alias("q"), none.alias("text"), F.when(x["o"] == "I", F.concat(closed(a), added)).otherwise(closed(a)).alias("out"))
+        text = F.when((a["o"] == "D") & (x["o"] == "D") & inside, F.concat(F.rpad(a["text"], (x["at"] - a["m"]).cast("int"), "N"), x["base"])).otherwise(a["text"])
+        met = F.struct(a["o"].alias("o"), a["m"].alias("m"), a["n"].alias("n"), a["r"].alias("r"), a["q"].alias("q"), text.alias("text"), F.when(change, F.concat(a["out"], variant(a["r"] + x["at"] - a["m"], x["base"], alt))).otherwise(a["out"]).alias("out"))
+        return F.when(x["kind"] == 0, began).otherwise(met)
+
+    begin = F.struct(none.alias("o"), zero.alias("m"), zero.alias("n"), zero.alias("r"), zero.alias("q"), none.alias("text"), F.array().cast(VARIANTS).alias("out"))
+    walked = F.aggregate(F.sort_array(F.concat(steps, events)), begin, step, closed)
     there = (F.coalesce(md, F.lit("")) != "") & ~F.coalesce(seq, F.lit("")).isin("", "*")
     return F.when(there, walked).otherwise(F.array().cast(VARIANTS))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from readloom.operators.tags import TAGS
@@ -36,3 +36,10 @@ def md_rate(reads: DataFrame, sample: int = 100, least: float = 0.1) -> DataFram
         mapped = mapped.orderBy("ord")
     n, k = F.count("*"), F.count_if("has")
     return mapped.select(text.isNotNull().alias("has")).limit(sample).agg(n.alias("n_sampled"), k.alias("n_md"), ((k > 0) & (k / F.greatest(n, F.lit(1)) >= least)).alias("has_md"))
+
+
+def observed(tagged: DataFrame, observation: Observation | str = "tagging") -> DataFrame:
+    """The same rows; reads and tagged reads are counted while they pass, so a run's report costs no second pass.
+
+    With an Observation the counts are in ``observation.get`` after the first action; by a name they reach the listeners of a stream."""
+    return tagged.observe(observation, F.count(F.lit(1)).alias("total_reads"), F.count_if("tagged").alias("processed_reads"), F.count_if(F.col("tagged") & (F.size("exons") == 1)).alias("single_exon_reads"))

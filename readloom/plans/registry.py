@@ -321,7 +321,8 @@ def md_from_reference(spark, sf_dir):
     k = F.col("p_partkey")
     n = 10 + k % 90
     reads = table(spark, sf_dir, "part").select(k.alias("ord"), F.lit(0).alias("flag"), F.concat(F.lit("c"), (k % 3).cast("string")).alias("rname"), (1 + k * 7 % 3000).alias("pos"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.repeat(F.lit("ACGT"), F.lit(25)).substr(F.lit(1), n.cast("int")).alias("seq"))
-    contigs = spark.createDataFrame([(f"c{p}", ("ACGGT" * 700)[p : p + 3200]) for p in range(3)], "name string, seq string")
+    p = F.col("id")
+    contigs = spark.range(3).select(F.concat(F.lit("c"), p.cast("string")).alias("name"), F.repeat(F.lit("ACGGT"), F.lit(700)).substr((p + 1).cast("int"), F.lit(3200)).alias("seq"))
     return reference.with_md(reads, contigs, 256).select("ord", "md")
 
 

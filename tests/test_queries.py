@@ -16,6 +16,12 @@ def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, SMALL).count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_plan_stays_in_the_jvm_and_joins_on_keys(spark, name):
+    plan = registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Python", "Pandas", "ArrowEval", "MapInArrow", "CartesianProduct", "NestedLoop", "Scan ExistingRDD") if x in plan]
+
+
 def test_entry(spark):
     out = registry.entry(spark, SMALL)
     assert out.columns[:4] == ["qname", "rname", "pos", "strand"] and out.count() > 1000

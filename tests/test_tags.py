@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from readloom.config import TagConfig
 from readloom.functions import bins, cigar, hashing, md
-from readloom.operators import decode, tags
+from readloom.operators import decode, stats, tags
 from tests import spec
 
 ACGT = "aKF498dAxcJAqme6QYQ7EZ07-fiw8Kw2"
@@ -157,6 +157,14 @@ def test_policy(spark):
         tags.variant_policy(rows, None, has_genome=True, has_mapping=False)
 
 
+def test_counts_in_passing(spark, names):
+    from pyspark.sql import Observation
+
+    seen = Observation("run")
+    out = stats.observed(tags.tag_reads(spark.createDataFrame([("a", 0, "chr1", 5, "10M"), ("b", 4, "chr1", 5, "*"), ("c", 0, "chr1", 5, "5M5N5M")], READ), names), seen)
+    assert out.count() == 3 and seen.get == {"total_reads": 3, "processed_reads": 2, "single_exon_reads": 1}
+
+
 def test_set_tags(spark, names):
     kind = "map<string,struct<type:string,value:string>>"
     rows = spark.createDataFrame([("a", 0, "chr1", 5, "10M", {"XS": ("A", "+"), "NM": ("i", "1")}), ("b", 4, "chr1", 5, "*", {"XS": ("A", "+")}), ("c", 0, "chr1", 5, "10M", None)], f"{READ}, tags {kind}")
