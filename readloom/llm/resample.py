@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import id_text, map_slices, materialise, ship, slices, table
 
-BUCKETS, ALPHA, FRACTION, SEED = 1 << 16, 1.0, 0.7, 1
+BUCKETS, ALPHA, FRACTION, SEED = 1 << 16, 1.0, 0.85, 1
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -34,6 +34,8 @@ from readloom.llm.common import map_slices, table
 
 KINDS = ("assign", "access", "hex", "crf")
 SAMPLE_ROWS, MADE_UP, BUCKETS, EPOCHS = 2_000, 1_500, 1 << 14, 120
+#: Of a sampled row at most so many fields train the model, of at most so many characters each; all fields of all rows are scanned.
+SAMPLE_FIELDS, SAMPLE_CHARS = 50, 2_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _HINTS = ("password", "passwd", "secret", "token", "api")
@@ -282,9 +284,8 @@ def train(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROW
         """Of each drawn text only what the features read: its fields with what stands around them."""
         out = []
         for t in batch.column(0).to_pylist():
-            found = fields(t)
-            pieces = [t[max(0, a - 300) : b + 300] for a, b in found[:50]]
-            out += pieces
+            found = [(a, b) for a, b in fields(t) if b - a <= SAMPLE_CHARS]
+            out += [t[max(0, a - 300) : b + 300] for a, b in found[:SAMPLE_FIELDS]]
         return pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["text"])
 
     texts = sorted(r.text for r in map_slices(drawn, around, "text string").orderBy(F.xxhash64("text"), "text").limit(2 * sample_rows).collect())

@@ -51,7 +51,7 @@ def test_kth_largest(spark, values):
 def test_empty_and_no_target(spark):
     docs, target = spark.createDataFrame(ROWS, SCHEMA), spark.createDataFrame([], "doc_id long")
     out = R.drawn(docs, target).collect()
-    assert {r.log_weight for r in out} == {0.0} and sum(r.selected for r in out) >= math.ceil(0.7 * len(ROWS))
+    assert {r.log_weight for r in out} == {0.0} and sum(r.selected for r in out) >= math.ceil(R.FRACTION * len(ROWS))
     assert R.drawn(docs.limit(0), target).collect() == []
 
 
