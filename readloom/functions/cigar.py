@@ -15,6 +15,11 @@ def operations(cigar: Column) -> Column:
     return F.coalesce(parsed, F.array().cast("array<struct<n:bigint,o:string>>"))
 
 
+def has_exons(cigar: Column) -> Column:
+    """Whether ``exons`` finds any: from the text alone, so that a filter on it costs no walk and goes down to the scan."""
+    return cigar.rlike("[0-9]N|[1-9][0-9]*[M=XD]")
+
+
 def exons(pos: Column, ops: Column) -> Column:
     """Exons (1-based, closed) in the order of the reference: N ends one, the next M, = or X opens one."""
     pos = pos.cast("long")

@@ -25,7 +25,7 @@ def tiles(contigs: DataFrame, size: int = TILE) -> DataFrame:
 def _stretches(reads: DataFrame, size: int) -> DataFrame:
     """(ord, rname, k, o, seg, tile, at, n, bases of the read): a row for each tile that a stretch touches."""
     segments = F.transform(md.segments(cigar.operations(F.col("cigar")), F.col("pos")), lambda g, k: F.struct(k.alias("k"), g["o"].alias("o"), g["n"].alias("n"), g["r"].alias("r"), g["q"].alias("q")))
-    rows = reads.select("ord", "rname", "seq", F.explode(F.filter(segments, lambda g: g["o"].isin("M", "=", "X", "D") & (g["n"] > 0))).alias("g"))
+    rows = reads.select("ord", "rname", "seq", F.explode_outer(F.filter(segments, lambda g: g["o"].isin("M", "=", "X", "D") & (g["n"] > 0))).alias("g"))
     first, last = F.floor(F.greatest(F.col("g.r"), F.lit(0)) / size), F.floor((F.col("g.r") + F.col("g.n") - 1) / size)
     rows = rows.filter(F.col("g.r") + F.col("g.n") > 0).select("ord", "rname", "seq", "g", F.explode(F.sequence(first, last)).alias("tile"))
     left, right = F.greatest("g.r", F.col("tile") * size), F.least(F.col("g.r") + F.col("g.n"), (F.col("tile") + 1) * size)

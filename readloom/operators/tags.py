@@ -90,12 +90,12 @@ def end_serial(c: TagConfig, five: bool) -> Column:
 
 def with_structure(reads: DataFrame, mapping: DataFrame | None = None, config: TagConfig = TagConfig()) -> DataFrame:
     """reads with ops, exons, strand, the chromosome's columns and ``tagged``; every read stays, in whatever order it came."""
-    may = is_mapped(F.col("flag"), F.col("cigar"))
+    may = is_mapped(F.col("flag"), F.col("cigar")) & F.col("pos").isNotNull()
     if config.primary_only:
         may &= F.col("flag").bitwiseAND(0x900) == 0
     out = with_chromosome(reads, mapping).withColumn("strand", strand(F.col("flag"))).withColumn("ops", F.when(may, cigar.operations(F.col("cigar"))))
     out = out.withColumn("exons", F.when(F.size("ops") > 0, cigar.exons(F.col("pos"), F.col("ops"))))
-    return out.withColumn("tagged", F.coalesce(F.size("exons") > 0, F.lit(False)))
+    return out.withColumn("tagged", F.coalesce(may & cigar.has_exons(F.col("cigar")), F.lit(False)))
 
 
 def with_serials(structured: DataFrame, config: TagConfig = TagConfig()) -> DataFrame:

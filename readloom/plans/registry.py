@@ -38,6 +38,12 @@ def serials(spark: SparkSession, sf_dir: str, config: TagConfig = TagConfig()) -
     return tags.with_serials(structured(spark, sf_dir, config), config).filter("tagged")
 
 
+def exploded(frame: DataFrame, values, *keep: str) -> DataFrame:
+    """(keep, k from 1, x) of an array. The outer form, as the inner one would have the array made a second time for a filter below it."""
+    out = frame.select(*keep, F.posexplode_outer(values).alias("k", "x")).filter("k is not null")
+    return out.select(*keep, (F.col("k") + 1).cast("long").alias("k"), "x")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = tags.tag_reads(reads_from_orders(spark, sf_dir), mapping(spark))
     return tagged.select("qname", "rname", "pos", "strand", *[t for t in tags.TAGS if t != "xv"])
@@ -46,15 +52,13 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 # operations
 @query("cigar_ops", reads_sql("SELECT ord, k, n, o FROM ops"))
 def cigar_ops(spark, sf_dir):
-    ops = structured(spark, sf_dir).select("ord", F.posexplode("ops").alias("k", "x"))
-    return ops.select("ord", (F.col("k") + 1).cast("long").alias("k"), F.col("x.n").alias("n"), F.col("x.o").alias("o"))
+    return exploded(structured(spark, sf_dir), "ops", "ord").select("ord", "k", "x.n", "x.o")
 
 
 # F2, B1, B3
 @query("exons", reads_sql('SELECT ord, i, s AS "start", e AS "end" FROM exi'))
 def exons(spark, sf_dir):
-    rows = structured(spark, sf_dir).select("ord", F.posexplode("exons").alias("k", "x"))
-    return rows.select("ord", (F.col("k") + 1).cast("long").alias("i"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    return exploded(structured(spark, sf_dir), "exons", "ord").select("ord", F.col("k").alias("i"), "x.start", "x.end")
 
 
 # F7, D7
@@ -132,8 +136,8 @@ def decode_xb_xs(spark, sf_dir):
 
 @query("reconstruct_exons", reads_sql('SELECT ord, i, s AS "start", e AS "end" FROM exi'))
 def reconstruct_exons(spark, sf_dir):
-    out = decode.decode_tags(serials(spark, sf_dir).select("ord", "xb", "xs")).select("ord", F.posexplode("exons").alias("k", "x"))
-    return out.select("ord", (F.col("k") + 1).cast("long").alias("i"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    out = decode.decode_tags(serials(spark, sf_dir).select("ord", "xb", "xs"))
+    return exploded(out, "exons", "ord").select("ord", F.col("k").alias("i"), "x.start", "x.end")
 
 
 @query("roundtrip_check", reads_sql("SELECT count(*) AS n_reads, count(*) AS n_same FROM tagged"))
@@ -215,7 +219,7 @@ def mask_counts(spark, sf_dir):
   SELECT ord, matched // 2 + CASE WHEN ord % 10 = 4 THEN 14 ELSE 0 END AS off, 'X' AS kind, substr('ACGT', CAST(ord % 4 AS INTEGER) + 1, 1) AS base FROM reads WHERE md IS NOT NULL
   UNION ALL SELECT ord, 12 + unnest([0, 1]), 'D', unnest(['G', 'T']) FROM reads WHERE md IS NOT NULL AND ord % 10 = 4)"""))
 def md_events(spark, sf_dir):
-    rows = reads_from_orders(spark, sf_dir).select("ord", F.explode(md.md_events(F.col("md"))).alias("x"))
+    rows = exploded(reads_from_orders(spark, sf_dir), md.md_events(F.col("md")), "ord")
     return rows.select("ord", "x.off", "x.kind", "x.base")
 
 
@@ -234,8 +238,8 @@ cand AS (SELECT * FROM snv WHERE ref <> alt
 @query("variant_candidates", reads_sql(_SNV_SQL + 'SELECT ord, "start", ref, alt FROM cand'))
 def variant_candidates(spark, sf_dir):
     s = structured(spark, sf_dir).filter("tagged")
-    rows = s.select("ord", F.explode(md.candidates(F.col("ops"), F.col("pos"), F.col("seq"), F.col("md"))).alias("v"))
-    return rows.select("ord", "v.start", "v.ref", "v.alt")
+    rows = exploded(s, md.candidates(F.col("ops"), F.col("pos"), F.col("seq"), F.col("md")), "ord")
+    return rows.select("ord", "x.start", "x.ref", "x.alt")
 
 
 def known_reads(spark, sf_dir):
@@ -366,4 +370,4 @@ def tags_hashed(spark, sf_dir):
 
 @query("vrs_ids")
 def vrs_ids(spark, sf_dir):
-    return known_reads(spark, sf_dir).filter("xv is not null").select("ord", "xv", "variant_emitted_count")
+    return known_reads(spark, sf_dir).select("ord", "xv", "variant_emitted_count")

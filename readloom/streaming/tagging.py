@@ -24,6 +24,5 @@ def tag_stream(reads: DataFrame, mapping: DataFrame | None, sink: str, checkpoin
 
 def windowed_counts(tagged: DataFrame, tag: str, time: str = "ts", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Reads for each value of a tag in windows of event time; the watermark bounds the state."""
-    rows = tagged.filter(F.col(tag).isNotNull())
-    rows = rows.withWatermark(time, late) if rows.isStreaming else rows
-    return rows.groupBy(F.window(time, window).alias("w"), tag).agg(F.count("*").alias("n_reads")).select(F.col("w.start").alias("window_start"), tag, "n_reads")
+    rows = tagged.withWatermark(time, late) if tagged.isStreaming else tagged
+    return rows.groupBy(F.window(time, window).alias("w"), tag).agg(F.count(tag).alias("n_reads")).filter("n_reads > 0").select(F.col("w.start").alias("window_start"), tag, "n_reads")

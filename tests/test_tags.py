@@ -77,7 +77,7 @@ def test_random_reads_follow_the_rules(spark, names):
     out = {r.qname: r for r in out.withColumn("v", md.candidates(F.col("ops"), F.col("pos"), F.col("seq"), F.col("md"))).collect()}
     for q, flag, rname, pos, c, seq, text in rows:
         r, e = out[q], spec.exons(pos, spec.ops(c))
-        assert [(x.start, x.end) for x in r.exons] == e, c
+        assert [(x.start, x.end) for x in r.exons] == e and r.tagged == bool(e), c
         assert r.chr32 == (ACGT if rname == "chr1" else spec.digest(rname.upper().replace("CHR", "")))
         if e:
             want = spec.serials(r.chr32, "-" if flag else "+", e)
