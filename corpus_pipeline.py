@@ -36,10 +36,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    vocabulary = sentencepiece_codec.load()
-    ids = sentencepiece_codec.with_ids(docs.select("doc_id", "text"), vocabulary)
-    back = sentencepiece_codec.decoded(ids, vocabulary)
-    return back.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).cast("long").alias("n_tokens"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    return sentencepiece_codec.verified(docs, sentencepiece_codec.load())
 
 
 STAGES = [

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -56,27 +56,31 @@ class Model:
         at = {x: i for i, x in enumerate(self.languages)}
         everything = max(1, sum(prior.values()))
         self.prior = np.array([math.log10(prior[x] / everything) for x in self.languages])
-        self.rows: dict[str, int] = {}
-        totals = defaultdict(lambda: np.zeros(len(at)))
+        #: Rows by entry: words at 0, n-grams at n.
+        self.rows: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
+        size, totals = 0, np.zeros((ORDER + 1, len(at)))
         for language, entry, n in counts:
-            self.rows.setdefault(entry, len(self.rows))
-            totals[entry[0]][at[language]] += n
-        self.table = np.full((len(self.rows), len(at)), -PENALTY)
+            k = int(entry[0])
+            if self.rows[k].setdefault(entry[1:], size) == size:
+                size += 1
+            totals[k, at[language]] += n
+        self.table = np.full((size, len(at)), -PENALTY)
         for language, entry, n in counts:
-            self.table[self.rows[entry], at[language]] = max(-PENALTY, math.log10(n / totals[entry[0]][at[language]]))
-        self.young = self.old = self.by_length = None
+            k = int(entry[0])
+            self.table[self.rows[k][entry[1:]], at[language]] = max(-PENALTY, math.log10(n / totals[k, at[language]]))
+        self.young, self.old = {}, {}
 
     def __getstate__(self):
-        return self.__dict__ | {"young": None, "old": None, "by_length": None}
+        return self.__dict__ | {"young": {}, "old": {}}
 
     def entries(self, word: str) -> tuple[int, ...]:
         """Rows whose mean stands for a word: its own, or those of its known n-grams of the longest n that has any."""
-        own = self.by_length[0].get(word)
+        own = self.rows[0].get(word)
         if own is not None:
             return (own,)
         padded = f" {word} "
         for n in range(min(ORDER, len(padded)), 0, -1):
-            get = self.by_length[n].get
+            get = self.rows[n].get
             known = [r for i in range(len(padded) - n + 1) if (r := get(padded[i : i + n])) is not None]
             if known:
                 return tuple(known)
@@ -99,10 +103,6 @@ class Model:
         counted = words(text)
         if not any(c.isalpha() for w in counted for c in w):
             return UNKNOWN, 0.0
-        if self.by_length is None:
-            self.young, self.old, self.by_length = {}, {}, [{} for _ in range(ORDER + 1)]
-            for entry, r in self.rows.items():
-                self.by_length[int(entry[0])][entry[1:]] = r
         rows, weights = [], []
         for (w, n), found in zip(counted.items(), list(map(self.young.get, counted))):
             if found is None:

@@ -47,10 +47,16 @@ class Vocabulary:
         self.floor = min((s for _, s, _ in pieces), default=0.0) - 10.0
         self.pieces = pieces
         self.cut = not any(BLANK in p.lstrip(BLANK) for p, _, _ in pieces)
-        self.trie = self.raw = None
+        self.trie = self.raw = self.own = None
 
     def __getstate__(self):
-        return self.__dict__ | {"trie": None, "raw": None, "pairs": {}}
+        return self.__dict__ | {"trie": None, "raw": None, "own": None, "pairs": {}}
+
+    def encoder(self) -> Encoder:
+        """One for each copy of the vocabulary: what it remembers outlives a task, and goes with the worker's broadcast."""
+        if self.own is None:
+            self.own = Encoder(self)
+        return self.own
 
     def merged(self, spelled: str) -> list[str]:
         """A short text's pieces by merging, best rank first, of equal ones the leftmost."""
@@ -231,7 +237,7 @@ _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 class Encoder:
     """Encodes texts; stretches between blanks are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 800_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 600_000):
         self.v, self.root, self.limit, self.young, self.old = vocabulary, vocabulary.root(), max(1, remember // 2), {}, {}
         self.short = self.scored if vocabulary.ranks is None else self.ranked
 

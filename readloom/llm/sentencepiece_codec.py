@@ -17,11 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from readloom.llm.common import fresh, map_slices, table
-from readloom.llm.pieces import Encoder, Vocabulary, decode
-
-_encoders: dict[int, Encoder] = {}
-
+from readloom.llm.common import fresh, id_text, map_slices, table
+from readloom.llm.pieces import Vocabulary, decode
 
 def load(path: str | None = None) -> Vocabulary:
     if path is None:
@@ -31,21 +28,13 @@ def load(path: str | None = None) -> Vocabulary:
     return Vocabulary.load(path)
 
 
-def encoder(shared) -> Encoder:
-    """One for each Python worker and broadcast; what it remembers outlives a task."""
-    if shared.value is not None and id(shared.value) not in _encoders:
-        _encoders.clear()
-        _encoders[id(shared.value)] = Encoder(shared.value)
-    return _encoders[id(shared.value)]
-
-
 def with_ids(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", name: str = "piece_ids") -> DataFrame:
     """docs with one more column: the ids of the text, array<int>."""
     shared, name = docs.sparkSession.sparkContext.broadcast(vocabulary), fresh(docs, name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType(), False))])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder(shared)
+        own = shared.value.encoder()
         found = [None if t is None else own.encode(t).astype(np.int32) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.field("element", pa.int32(), False)))], names=[*batch.schema.names, name])
 
@@ -67,12 +56,27 @@ def decoded(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids",
     return rows.mapInArrow(run, schema)
 
 
+def verified(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, piece_ids and round_trip (the ids decode to the text) of every document, in one pass through one worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    element = pa.field("element", pa.int32(), False)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, texts = shared.value.encoder(), batch.column(1).to_pylist()
+        ids = [None if t is None else own.encode(t).astype(np.int32) for t in texts]
+        same = [t is None if x is None else decode(own.v, x.tolist()) == t for t, x in zip(texts, ids)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([0 if x is None else len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(element)), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "piece_ids", "round_trip"])
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("round_trip", T.BooleanType())])
+    return map_slices(id_text(docs, id_col, text_col), step, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256, round_trip."""
     docs, shared = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.broadcast(load())
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, texts = encoder(shared), batch.column(1).to_pylist()
+        own, texts = shared.value.encoder(), batch.column(1).to_pylist()
         ids = [None if t is None else own.encode(t) for t in texts]
         back = [None if x is None else decode(own.v, x.tolist()) for x in ids]
         return pa.RecordBatch.from_arrays(

@@ -112,6 +112,9 @@ def test_frames(spark, vocabulary):
     back = C.decoded(out, vocabulary, "piece_ids_")
     assert all(r.text == r.decoded_ for r in back.collect()) and back.count() == len(rows)
     assert C.with_ids(docs.limit(0), vocabulary).collect() == []
+    both = C.verified(docs, vocabulary)
+    assert sorted([(r.doc_id, r.piece_ids) for r in both.collect()], key=str) == sorted([(r.doc_id, r.piece_ids_) for r in out.collect()], key=str)
+    assert all(r.round_trip and r.n_tokens == len(r.piece_ids or []) for r in both.collect()) and C.verified(docs.limit(0), vocabulary).collect() == []
 
 
 def test_query(spark, vocabulary):
