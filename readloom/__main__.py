@@ -49,6 +49,8 @@ def tag(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     elif a.genome:
         masked = not a.keep_ambiguous_bases
     variants = tags.variant_policy(reads, masked, a.no_variants, bool(a.genome), names is not None)
+    if variants and (bad := mapping.malformed(names).limit(5).collect()):
+        raise ValueError(f"not refget accessions: {', '.join(f'{r.name} {r.refget_id}' for r in bad)}")
     if variants and a.genome:
         reads = reference.with_md(reads, fasta.read_fasta(spark, a.genome))
     tagged = tags.tag_reads(reads, names, config, variants)

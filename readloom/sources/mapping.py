@@ -9,6 +9,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readloom.functions.hashing import ACCESSION
 from readloom.operators import refget
 from readloom.sources.fasta import read_fasta
 
@@ -30,6 +31,11 @@ def read_mapping(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("name", F.regexp_replace("refget_id", "^ga4gh:", "").alias("refget_id"), "file_ord", "key_ord")
 
 
+def malformed(mapping: DataFrame) -> DataFrame:
+    """Rows whose id is no accession. They give structure tags by the fallback, but no variant can be named on them."""
+    return mapping.filter(~F.coalesce(F.col("refget_id").rlike(ACCESSION), F.lit(False)))
+
+
 def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _parsed(spark, paths).select("file", "file_ord", "j.metadata.*")
 

@@ -44,6 +44,12 @@ def test_policy_comes_first(spark, files):
     assert stats.processed_reads == 2 and "tagged_xv" not in stats
 
 
+def test_malformed_accessions_are_told_before_any_work(spark, files):
+    (files / "bad.json").write_text(json.dumps({"metadata": {"ambiguous_bases_masked": False}, "refget_mapping": {"chr1": "SQ.short"}}))
+    with pytest.raises(ValueError, match="chr1 SQ.short"):
+        run(spark, "tag", "-i", files / "in.sam", "-o", files / "x.sam", "-r", files / "bad.json", "-g", files / "g.fa")
+
+
 def test_refget(spark, files):
     run(spark, "refget", "-f", files / "g.fa", "-o", files / "m.json", "-g", "mine")
     made = json.loads((files / "m.json").read_text())

@@ -68,3 +68,9 @@ def test_cache(spark, tmp_path):
     assert dict(mapping.load_or_build(spark, **args).collect()) == masked and mapping.load_or_build(spark) is None
     (tmp_path / "m.json").write_text(texts("one", {"chr1": "SQ.a"}))
     assert dict(mapping.load_or_build(spark, json_path=str(tmp_path / "m.json"), **args).collect()) == {"chr1": "SQ.a"}
+
+
+def test_malformed(spark):
+    good = "SQ.aKF498dAxcJAqme6QYQ7EZ07-fiw8Kw2"
+    rows = spark.createDataFrame([("a", good), ("b", f"ga4gh:{good}"), ("c", "SQ.short"), ("d", None), ("e", "chr1")], "name string, refget_id string")
+    assert {r.name for r in mapping.malformed(rows).collect()} == {"c", "d", "e"}
