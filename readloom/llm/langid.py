@@ -138,8 +138,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out]), pa.array([k[1] for k in out]), pa.array(list(out.values()), pa.int64())], names=["lang", "entry", "n"])
 
     counts = map_slices(sample, count, "lang string, entry string, n bigint").groupBy("lang", "entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    top = counts.orderBy(F.desc("n"), "lang", "entry").limit(max_entries)
-    return Model([(r.lang, r.entry, r.n) for r in top.collect()], prior)
+    top = counts.orderBy(F.desc("n"), "lang", "entry").limit(max_entries).toArrow()
+    return Model(list(zip(*(top.column(x).to_pylist() for x in ("lang", "entry", "n")))), prior)
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
