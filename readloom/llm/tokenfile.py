@@ -11,7 +11,7 @@ into the shard of the partition. A shard is written under a name of its attempt
 task's manifest row names it, so lost executors and second attempts leave no half shard in the set. The dictionary
 learns from a sample of ``SAMPLE`` texts of up to ``SAMPLE_CHARS`` characters. The driver sees a row for each shard.
 
-Words between blanks are encoded once per worker and remembered (bounded): a token never holds a blank that follows
+Words between blanks and line ends are encoded once per worker and remembered (bounded): a token never holds a blank that follows
 another character, so cutting there changes no id.
 
 Defined cases: a null text is empty and has the end id only. Null doc_ids come first; rows with equal ids follow each
@@ -70,7 +70,7 @@ class Encoder:
         made = json.loads(tokenizer_json)
         pre, model = made.get("pre_tokenizer") or {}, made["model"]
         self.added = [x["content"] for x in made.get("added_tokens", [])]
-        self.cut = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("dropout") and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in made.get("added_tokens", []))
+        self.cut = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("dropout") and not any(" " in x["content"] or "\n" in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in made.get("added_tokens", []))
         self.mark = self._mark(model["vocab"]) if self.cut and not any(model.get(x) for x in ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) else None
         if self.mark:
             self.bare, self.mark_id = Tokenizer.from_str(json.dumps(made | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []})), model["vocab"][_BYTES[ord(self.mark)]]
