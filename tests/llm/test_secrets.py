@@ -86,3 +86,32 @@ def test_query_is_brute_force(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[0] == k for x in base) for k in S.KINDS[:3]]
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_tokens_without_a_digit_short_and_broken_ones_are_found(model):
+    rng, letters = random.Random(7), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    pick = lambda n, of=letters: "".join(rng.choice(of) for _ in range(n))
+    makes = [lambda: ("Authorization: Bearer ", pick(32)), lambda: ("pwd=", pick(14)), lambda: ("pwd: ", pick(6, letters + "0123456789")), lambda: ("pwd: ", f"{pick(1)}@{pick(2)}!{pick(4)}")]
+    for make in makes:
+        found = 0
+        for _ in range(100):
+            lead, value = make()
+            text = f"The ent of is in. {lead}{value} thand there on the."
+            at = text.index(lead) + len(lead)
+            found += any(a <= at and at + len(value) <= b for _, a, b in S.scan(text, model)[1])
+        assert found >= 70, lead
+    assert S.scan("pwd=QwertyUiopAsdf", model)[1] == [("crf", 4, 18)]
+
+
+def test_path_over_blocks_is_viterbi():
+    rng = np.random.default_rng(3)
+    m = S.Model(rng.normal(size=(S.BUCKETS, 3)), np.where(np.arange(9).reshape(3, 3) == 7, -1e9, rng.normal(size=(3, 3))))
+    rows = [rng.integers(0, S.BUCKETS, (n, 4)) for n in (1, 2, 31, 32, 33, 200, 1, 64)]
+    start = np.concatenate([np.arange(len(r)) == 0 for r in rows])
+    got = S.viterbi(m.table[np.concatenate(rows)].sum(axis=1), start, np.array(m.moves)).tolist()
+    assert got == [t for r in rows for t in m.decode(r.tolist())]
+
+
+def test_texts_of_a_batch_do_not_touch_each_other(model):
+    texts = ["pwd=", "QwertyUiopAsdf", None, "", "key: ", "x", "pwd: p@ss", "call 555-1234"]
+    assert S.scan_all(texts, model) == [S.scan(t, model) for t in texts]
