@@ -22,6 +22,18 @@ def test_plan_stays_in_the_jvm_and_joins_on_keys(spark, name):
     assert not [x for x in ("Python", "Pandas", "ArrowEval", "MapInArrow", "CartesianProduct", "NestedLoop", "Scan ExistingRDD") if x in plan]
 
 
+def test_masks_are_counted_in_all_documents(spark):
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    assert any(not r.text.isascii() for r in rows if r.text)
+
+    def brute(text):
+        kept = [c for c in text if c in "acgtnACGTN"]
+        return len(text), len(text) - len(kept), len(text) - len(kept) + sum(c in "nN" for c in kept)
+
+    want = sorted((r.doc_id, *(brute(r.text) if r.text is not None else (None,) * 3)) for r in rows)
+    assert sorted(tuple(r) for r in registry.QUERIES["mask_counts_all"](spark, SMALL).collect()) == want
+
+
 def test_entry(spark):
     out = registry.entry(spark, SMALL)
     assert out.columns[:4] == ["qname", "rname", "pos", "strand"] and out.count() > 1000
