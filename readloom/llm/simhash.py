@@ -15,7 +15,8 @@ Components: alternating large-star and small-star rounds over distinct fingerpri
 folder; exact copies meet only in partial aggregates. No link or component passes through the driver.
 
 Defined cases: a null, empty or blank text has no words and fingerprint zero, linked like any other. Rows with a
-null doc_id get a component like others; the smallest non-null doc_id names it (null if there is none). Repeated
+null doc_id get a component like others; the smallest non-null doc_id names it (null if there is none). Rows of one
+doc_id with unlike texts belong to the components of their texts, and ``keep_one`` keeps a row of each component. Repeated
 rows are returned as often as they came. An empty table gives an empty result. Extra columns are not read.
 """
 
@@ -26,12 +27,12 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import fresh, id_text, map_slices, materialise, new_path, remove, table
 
-SHINGLE, SEED, RADIUS, BUCKET = 3, 42, 2, 64
+SHINGLE, SEED, RADIUS, BUCKET, FREQUENT = 3, 42, 2, 64, 1_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -54,9 +55,11 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fp") -> DataFrame:
-    """docs with one more column: the fingerprint as a signed long."""
+    """docs with one more column: the fingerprint as a signed long, under ``name`` or, where that is taken, with _ behind."""
     from pyspark.sql import types as T
 
+    name = fresh(docs, name)
+
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType(), False)])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -94,10 +97,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = materialise(edges, name, path)
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Both sides of the joins are shuffled right before them, so that a centre with very many neighbours is dealt to several tasks.
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        down = large.groupBy("b").agg(F.min("a").alias("m")).repartition("b")
+        small = large.repartition("b").join(down, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         to = new_path(spark, name)
         edges = materialise(small, name, to)
         remove(spark, path)
@@ -108,41 +112,55 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         before = state
 
 
+def rooted(groups: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """groups (fp, each once, and other columns) with the smallest fingerprint that each reaches, ``root``."""
+    return groups.join(components(links(groups.select("fp"), bucket)), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def classes(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(fp, component_id) for rows (doc_id, fp)."""
-    groups = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprints")
-    roots = components(links(groups, bucket))
-    named = groups.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    return named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
+    """(fp, component_id, n: rows of the fingerprint) for rows (doc_id, fp)."""
+    named = materialise(rooted(materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "fingerprints"), bucket), "roots")
+    return named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")).repartition("root"), "root").select("fp", "component_id", "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """One row for each document: doc_id, fp (signed long), component_id."""
     prints = fingerprints(id_text(docs, id_col, text_col)).select("doc_id", "fp")
     prints = materialise(prints, "document-fingerprints")
-    return prints.join(classes(prints, bucket), "fp").select("doc_id", "fp", "component_id")
+    found = materialise(classes(prints, bucket), "classes")
+    # Fingerprints that more than a FREQUENT-th of all rows have are fewer than FREQUENT: they go to the rows, which stay where they are.
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = F.col("n") > total / FREQUENT
+    many = F.broadcast(found.filter(frequent).drop("n"))
+    out = prints.join(many, "fp").unionByName(prints.join(many.select("fp"), "fp", "left_anti").join(found.filter(~frequent).drop("n"), "fp"))
+    return out.select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """docs with one document of each component: that of the smallest id (nulls last); of equal rows, one."""
-    every = near_duplicates(docs, id_col, text_col, bucket)
-    # A component without any id is known by its smallest fingerprint: one nameless row stays of it.
-    name, first, place = (fresh(docs, x) for x in ("kept_id", "kept_fp", "kept_place"))
-    named = every.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(named, docs[id_col].cast("long") == F.col(name), "left_semi")
-    kept = kept.withColumn(place, F.row_number().over(Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.xxhash64(text_col), text_col))).filter(F.col(place) == 1).drop(place)
-    kept = kept.select(*[f"`{c}`" for c in docs.columns])
-    nameless = docs.filter(docs[id_col].isNull())
-    if nameless.isEmpty():
-        return kept
-    nameless = fingerprints(nameless, text_col, first)
-    rest = every.filter("component_id is null").select(F.col("fp").alias(name)).distinct()
-    nameless = nameless.join(rest, F.col(first) == F.col(name), "left_semi")
-    links_of = components(links(nameless.select(F.col(first).alias("fp")).distinct(), bucket)).withColumnRenamed("fp", name)
-    root = fresh(docs, "kept_root")
-    nameless = nameless.join(links_of.withColumnRenamed("root", root), F.col(first) == F.col(name), "left").withColumn(root, F.coalesce(F.col(root), F.col(first)))
-    nameless = nameless.withColumn(place, F.row_number().over(Window.partitionBy(root).orderBy(F.xxhash64(text_col), text_col))).filter(F.col(place) == 1)
-    return kept.unionByName(nameless.select(*[f"`{c}`" for c in docs.columns]))
+    """docs with one row of each component: that of the smallest id (nulls last), of one id's that of the smallest hash of
+    the text, then of the row; of equal rows, one."""
+    h, r, i = (fresh(docs, x) for x in ("kept_text", "kept_row", "kept_id"))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    marked = docs.withColumns({i: docs[id_col].cast("long"), h: F.xxhash64(docs[text_col].cast("string")), r: F.xxhash64(*plain)})
+    prints = fingerprints(marked.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.col(h).alias("h"), F.col(r).alias("r"))).select("doc_id", "h", "r", "fp")
+    prints = materialise(prints, "document-fingerprints")
+    # One row for each fingerprint before any join: copies meet in partial aggregates only.
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", "r")
+    groups = materialise(prints.groupBy("fp").agg(F.min(own).alias("first")), "fingerprints")
+    chosen = materialise(rooted(groups, bucket).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.h", "first.r"), "kept")
+    keys = lambda x: (F.col(i).eqNullSafe(x["doc_id"])) & (F.col(h) == x["h"]) & (F.col(r) == x["r"])
+    # Rows that occur more than once are told from the others by counts, so only these have their texts compared again.
+    several = prints.groupBy("doc_id", "h", "r").agg(F.count("*").alias("n")).filter("n > 1")
+    same = chosen["doc_id"].eqNullSafe(several["doc_id"]) & (chosen["h"] == several["h"]) & (chosen["r"] == several["r"])
+    repeated = materialise(chosen.join(several, same, "left_semi"), "repeated")
+    if repeated.isEmpty():
+        return marked.join(chosen, keys(chosen), "left_semi").drop(i, h, r)
+    apart = chosen["doc_id"].eqNullSafe(repeated["doc_id"]) & (chosen["h"] == repeated["h"]) & (chosen["r"] == repeated["r"])
+    single = chosen.join(repeated, apart, "left_anti")
+    key = fresh(docs, "kept_key")
+    # By a key of its own, so that rows are put together within their tasks before they are shuffled.
+    copies = marked.join(repeated, keys(repeated), "left_semi").withColumn(key, F.concat_ws(".", F.col(i).cast("string"), F.col(h).cast("string"), F.col(r).cast("string"))).dropDuplicates([key]).drop(key)
+    return marked.join(single, keys(single), "left_semi").unionByName(copies).drop(i, h, r)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,28 @@ def test_documents(spark):
     assert kept.schema.names == docs.schema.names
     assert sorted(((r.doc_id, (r.text or "")[:9]) for r in kept.collect()), key=str) == sorted([(2, "word word"), (3, "THE quick"), (4, "one two"), (6, "one"), (7, " \n "), (10, "a b c a b"), (None, "é è ê ç à")], key=str)
     assert S.near_duplicates(docs.limit(0)).collect() == [] and S.keep_one(docs.limit(0)).collect() == []
+
+
+def test_one_row_of_each_component_stays_whatever_repeats(spark):
+    rng, rows = random.Random(8), []
+    texts = [None, "", *(" ".join(rng.choice(["red", "blue", "one", "two", "far", "near"]) for _ in range(rng.randint(1, 12))) for _ in range(25))]
+    for _ in range(150):
+        rows.append((rng.choice([None, *range(12)]), rng.choice(texts), rng.choice(["a", None])))
+    rows += [(5, "alpha beta gamma delta", "x"), (5, "one more unlike text of words", "x"), (7, "a third one that is like none", "x")]
+    got = [tuple(r) for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string, more string")).collect()]
+    of = brute_classes([(k, brute_print(t)) for k, (_, t, _) in enumerate(rows)])
+    number = {}
+    for k, r in zip(of, rows):
+        number.setdefault(brute_print(r[1]), k)
+    assert sorted(number[brute_print(t)] for _, t, _ in got) == sorted(set(of)) and set(got) <= set(rows)
+    for k in set(of):
+        own = [r for r, o in zip(rows, of) if o == k]
+        kept = next(r for r in got if number[brute_print(r[1])] == k)
+        assert kept[0] == min((r[0] for r in own if r[0] is not None), default=None)
+
+
+def test_rows_of_one_id_or_text_and_a_clashing_column(spark):
+    docs = spark.createDataFrame([(5, "a b c d", 1.0), (5, "w x y z v", 1.0), (7, "k l m n o p", 1.0)] + [(None, None, 2.0)] * 40, "doc_id long, text string, Fp double")
+    assert sorted(((r.doc_id, r.text, r.Fp) for r in S.keep_one(docs).collect()), key=str) == sorted([(5, "a b c d", 1.0), (5, "w x y z v", 1.0), (7, "k l m n o p", 1.0), (None, None, 2.0)], key=str)
+    assert S.near_duplicates(docs).count() == 43
+    assert S.fingerprints(docs).columns == ["doc_id", "text", "Fp", "fp_"]
