@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -42,21 +43,23 @@ SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1_000, 20_000, 64 << 10, 3
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
 #: In the memory, goes before what has no blank before it.
 _BARE = "\x01"
+#: Stands between two words that are looked up apart.
+_GAP = "\x02"
 #: Fixed values of byte-level vocabularies: how a byte is written, and how text below U+0250 is split.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTES = {b: chr(b if b in _PRINTED else 0x100 + k) for k, b in enumerate(sorted(set(range(256)) - _PRINTED))} | {b: chr(b) for b in _PRINTED}
 _LETTERS, _NUMBERS, _BLANKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_BLANKS}{_LETTERS}{_NUMBERS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d| ?[{1}]+| ?[{2}]+| ?[^{0}{1}{2}{3}]+|{3}|[{0}]+(?![^{0}{3}])|[{0}]+"
 #: A full stop or comma that belongs to what is before it.
 _GLUED = re.compile(r"[.,](?<![^\W_][.,])[ \n]")
-_CUT = re.compile(r"(?<!\s)(?= )")
+_CUT = re.compile(r"(?<!\s) ")
 
 
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them. ``remember``: words kept in each of two generations.
 
     New words are split as the tokenizer would and go through the library's merges many at a time, in one long text
-    with a mark between two that nothing merges across; that costs a third of encoding each. Only words of
+    with marks between them that nothing merges across; that costs a third of encoding each. Only words of up to 64
     characters below U+0250 go this way, of which every one's kind is beyond doubt; any other is encoded by itself."""
 
     def __init__(self, tokenizer_json: str, remember: int = 700_000):
@@ -71,36 +74,41 @@ class Encoder:
         pre, model = made.get("pre_tokenizer") or {}, made["model"]
         self.added = [x["content"] for x in made.get("added_tokens", [])]
         self.cut = made.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not model.get("dropout") and not any(" " in x["content"] or "\n" in x["content"] or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in made.get("added_tokens", []))
-        self.mark = self._mark(model["vocab"]) if self.cut and not any(model.get(x) for x in ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) else None
-        if self.mark:
-            self.bare, self.mark_id = Tokenizer.from_str(json.dumps(made | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []})), model["vocab"][_BYTES[ord(self.mark)]]
+        marks = self._unmerged(model["vocab"])[:2] if self.cut and not any(model.get(x) for x in ("ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) else []
+        self.marks = marks if len(marks) == 2 else None
+        if self.marks:
+            self.bare = Tokenizer.from_str(json.dumps(made | {"pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}))
+            self.between_id, self.behind_id = (model["vocab"][_BYTES[ord(x)]] for x in self.marks)
+            self.split = re.compile(_SPLIT.format(_BLANKS, _LETTERS, _NUMBERS, self.marks[1]))
 
     @staticmethod
-    def _mark(vocabulary: dict[str, int]) -> str | None:
-        """A control character that is in no piece but its own: nothing merges across it."""
+    def _unmerged(vocabulary: dict[str, int]) -> list[str]:
+        """Control characters that are in no piece but their own: nothing merges across them."""
         several = set("".join(piece for piece in vocabulary if len(piece) > 1))
-        return next((chr(b) for b in range(9) if _BYTES[b] in vocabulary and _BYTES[b] not in several), None)
-
-    def _split(self, word: str, lead: str) -> list[str] | None:
-        """What the tokenizer splits a word into, or nothing where that isn't known."""
-        if not word.isascii() and max(word) >= "\u0250" or len(word) > 64 or self.mark in word or any(x in word for x in self.added):
-            return None
-        return _SPLIT.findall(lead + word)
+        return [chr(b) for b in range(9) if _BYTES[b] in vocabulary and _BYTES[b] not in several and chr(b) not in (_BARE, _GAP)]
 
     def _each(self, words: list[str], lead: str) -> list[bytes]:
         """Ids of each word by itself."""
-        parts = [[lead + w] if w.isascii() and w.isalpha() else self._split(w, lead) for w in words] if self.mark else [None] * len(words)
-        pieces: dict[str, bytes] = dict.fromkeys(x for p in parts if p for x in p)
-        every = list(pieces)
-        for k in range(0, len(every), 4096):
-            some = every[k : k + 4096]
-            ids = np.array(self.bare.encode_batch_fast([self.mark.join(some).encode("utf-8").decode("latin-1").translate(_BYTES)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends, raw = (np.flatnonzero(ids == self.mark_id) * 4).tolist(), ids.tobytes()
+        if not self.marks:
+            return self._alone([lead + w for w in words])
+        out: list[bytes] = [b""] * len(words)
+        alone, known = [], []
+        every = "\n".join(words)
+        odd = [x for x in (*self.marks, *self.added) if x in every]
+        for k, w in enumerate(words):
+            (known if (w.isascii() or max(w) < "\u0250") and len(w) <= 64 and not (odd and any(x in w for x in odd)) else alone).append(k)
+        between, behind = self.marks
+        for k in range(0, len(known), 4096):
+            some = known[k : k + 4096]
+            # The marks: one between the parts that the tokenizer splits a word into, another between words.
+            parts = self.split.findall(behind.join([lead + words[i] for i in some]))
+            ids = np.array(self.bare.encode_batch_fast([between.join(parts).encode("utf-8").decode("latin-1").translate(_BYTES)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = ids[ids != self.between_id]
+            ends, raw = (np.flatnonzero(ids == self.behind_id) * 4).tolist(), ids.tobytes()
             if len(ends) != len(some) - 1:
-                raise ValueError("the tokenizer doesn't keep the mark apart")
-            pieces.update((x, raw[a:b]) for x, a, b in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(raw)]))
-        out = [None if p is None else pieces[p[0]] if len(p) == 1 else b"".join(map(pieces.__getitem__, p)) for p in parts]
-        alone = [k for k, ids in enumerate(out) if ids is None]
+                raise ValueError("the tokenizer doesn't keep the marks apart")
+            for i, a, b in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(raw)]):
+                out[i] = raw[a:b]
         for k, ids in zip(alone, self._alone([lead + words[k] for k in alone])):
             out[k] = ids
         return out
@@ -109,38 +117,36 @@ class Encoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         if not self.cut:
             return self._alone(texts)
-        get, out, open_ = self.young.get, [], []
-        sought: dict[str, bytes | None] = {}
-        for t in texts:
-            if _BARE in t:
-                out.append(self._alone([t])[0])
+        out, lines, at = [b""] * len(texts), [], []
+        for k, t in enumerate(texts):
+            if _BARE in t or _GAP in t:
+                out[k] = self._alone([t])[0]
                 continue
             plain = t.replace("\n", " ")
             if "  " in plain or plain[:1] == " " or plain[-1:] == " " or not plain.isprintable():
                 # More than one sign of white space between two words, or one that is neither blank nor line end.
-                parts = _CUT.split(t)
-                parts[1:] = [p[1:] for p in parts[1:]]
+                line = _CUT.sub(_GAP, t)
             else:
                 # Line ends, and a full stop or comma after a letter or digit, stand by themselves: fewer words to remember.
                 plain = t.replace("\n", f" {_BARE}\n {_BARE}")
                 if not _GLUED.search(t):
                     plain = plain.replace(". ", f" {_BARE}. ").replace(", ", f" {_BARE}, ")
-                parts = plain.split(" ")
-            parts[0] = _BARE + parts[0]
-            found = list(map(get, parts))
-            if None in found:
-                gaps = [k for k, ids in enumerate(found) if ids is None]
-                sought.update(dict.fromkeys([parts[k] for k in gaps]))
-                open_.append((len(out), parts, found, gaps))
-                out.append(b"")
-            else:
-                out.append(b"".join(found))
-        if sought:
-            self._seek(sought)
-            for at, parts, found, gaps in open_:
-                for k in gaps:
-                    found[k] = sought[parts[k]]
-                out[at] = b"".join(found)
+                line = plain.replace(" ", _GAP)
+            lines.append(_BARE + line)
+            at.append(k)
+        if not lines:
+            return out
+        # Each distinct word of the texts is looked up once; its ids are then copied to wherever it stands.
+        parts = pc.split_pattern(pa.array(lines, pa.large_string()), _GAP)
+        words = parts.flatten().dictionary_encode()
+        ids, which = self._looked_up(words.dictionary.to_pylist()), words.indices.to_numpy()
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        first, each = np.cumsum(size) - size, size[which]
+        ends = np.cumsum(each)
+        every = np.frombuffer(b"".join(ids), dtype="<u4")[np.repeat(first[which] - ends + each, each) + np.arange(ends[-1])]
+        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()].tolist()
+        for k, a, b in zip(at, bounds, bounds[1:]):
+            out[k] = every[a:b].tobytes()
         return out
 
     def _alone(self, texts: list[str]) -> list[bytes]:
@@ -149,25 +155,22 @@ class Encoder:
             out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
         return out
 
-    def _seek(self, sought: dict[str, bytes | None]) -> None:
-        """Fills in the ids of words, and remembers them: the older generation goes when the younger is full, so what is asked for often stays."""
-        get, new, bare, long = self.old.get, [], [], []
-        for w in sought:
-            ids = get(w)
-            if ids is not None:
-                sought[w] = ids
-                continue
-            (bare if w[:1] == _BARE else new).append(w)
-            if len(w) > 64:
-                long.append(w)
-        sought.update(zip(new, self._each(new, " ")))
-        sought.update(zip(bare, self._each([w[1:] for w in bare], "")))
-        if len(self.young) + len(sought) > self.limit:
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, which are remembered: the older generation goes when the younger is full, so what is asked for often stays."""
+        found = list(map(self.young.get, words))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(gaps, list(map(self.old.get, [words[k] for k in gaps]))):
+            found[k] = ids
+        new = [k for k in gaps if found[k] is None and words[k][:1] != _BARE]
+        bare = [k for k in gaps if found[k] is None and words[k][:1] == _BARE]
+        for some, made in ((new, self._each([words[k] for k in new], " ")), (bare, self._each([words[k][1:] for k in bare], ""))):
+            for k, ids in zip(some, made):
+                found[k] = ids
+        if len(self.young) + len(gaps) > self.limit:
             self.old, self.young = self.young, {}
-        if len(sought) <= self.limit:
-            self.young.update(sought)
-            for w in long:
-                del self.young[w]
+        if len(gaps) <= self.limit:
+            self.young.update((words[k], found[k]) for k in gaps if len(words[k]) <= 64)
+        return found
 
 
 _encoders: dict[int, Encoder] = {}
