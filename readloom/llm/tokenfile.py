@@ -9,13 +9,14 @@ hash isn't the header's. Numbers of ids before a shard are in the manifest that
 Scale: texts move once, range-partitioned by id and sorted inside; ids are made and compressed after that, straight
 into the shard of the partition. A shard is written under a name of its attempt and then renamed, and only a finished
 task's manifest row names it, so lost executors and second attempts leave no half shard in the set. The dictionary
-learns from a sample of ``SAMPLE`` texts of up to ``SAMPLE_CHARS`` characters. The driver sees a row for each shard.
+learns from about ``SAMPLE`` texts drawn by a hash, of each a stretch of at most ``STRETCH`` ids from a place that a hash draws too.
+The driver sees these and a row for each shard. All ids of all texts are written.
 
 Words between blanks and line ends are encoded once per worker and remembered (bounded): a token never holds a blank that follows
 another character, so cutting there changes no id.
 
 Defined cases: a null text is empty and has the end id only. Null doc_ids come first; rows with equal ids follow each
-other by text and all are kept. An empty table gives no shard and an empty result. Extra columns are not read.
+other by a hash of the text, then by text, and all are kept. An empty table gives no shard and an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from readloom.llm.common import id_text, map_slices, materialise, new_path, scratch, ship, slices, table
 
 MAGIC, END_ID = b"RLTOKEN1", 2
-SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1_000, 20_000, 64 << 10, 3
+SAMPLE, STRETCH, DICTIONARY_BYTES, LEVEL = 1_000, 10_000, 64 << 10, 3
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
 #: In the memory, goes before what has no blank before it.
 _BARE = "\x01"
@@ -189,6 +190,13 @@ def packed(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, dtype="<u4").astype(f"<u{width}").tobytes()
 
 
+def stretch(ids: bytes) -> bytes:
+    """Of many ids a stretch of STRETCH, from a place that depends on them."""
+    n = len(ids) // 4
+    at = 4 * (zlib.crc32(ids) % max(1, n - STRETCH + 1))
+    return ids[at : at + 4 * STRETCH]
+
+
 def make_dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary; where the samples are too few to train on, their own bytes, or nothing."""
     try:
@@ -252,7 +260,8 @@ def filesystem(path: str):
     """pyarrow's file system for a path of the shared folder, and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    # Hadoop's names of one store are several; pyarrow knows it by one.
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path) if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
 def _uri(path: str) -> str:
@@ -269,12 +278,12 @@ def write(docs: DataFrame, tokenizer_json: str, folder: str | None = None, id_co
     vocabulary = json.loads(tokenizer_json)
     width = 2 if max([*vocabulary["model"]["vocab"].values(), *(x["id"] for x in vocabulary.get("added_tokens", [])), end_id]) < 1 << 16 else 4
     n = rows.count()
-    short = rows.filter((F.length("text") <= SAMPLE_CHARS) & (F.xxhash64("text", "doc_id").bitwiseAND(F.lit((1 << 53) - 1)) < min(1.0, SAMPLE / max(1, n)) * float(1 << 53))).select("text")
+    drawn = rows.filter(F.xxhash64("text", "doc_id").bitwiseAND(F.lit((1 << 53) - 1)) < min(1.0, SAMPLE / max(1, n)) * float(1 << 53)).select("text").distinct()
 
     def serialised(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([packed(x, width) for x in encoder(content.value).encode(batch.column(0).to_pylist())], pa.binary())], names=["ids"])
+        return pa.RecordBatch.from_arrays([pa.array([packed(stretch(x), width) for x in encoder(content.value).encode(batch.column(0).to_pylist())], pa.binary())], names=["ids"])
 
-    samples = sorted(bytes(r.ids) for r in map_slices(short, serialised, "ids binary").limit(2 * SAMPLE).collect())
+    samples = sorted(bytes(r.ids) for r in map_slices(drawn, serialised, "ids binary").orderBy(F.xxhash64("ids"), "ids").limit(2 * SAMPLE).collect())
     dictionary = make_dictionary(samples)
     system, place = filesystem(folder)
     system.create_dir(place, recursive=True)
