@@ -53,6 +53,28 @@ def lower_ascii(column):
     return F.translate(column, _UPPER, _LOWER)
 
 
+#: Stands between two parts of a line that are looked up apart.
+GAP = "\x02"
+
+
+def looked_up(lines: list[str], look: Callable[[list[str]], list[bytes]]) -> list:
+    """For each line the numbers (numpy, uint32) of its parts one after the other; ``look`` gives those of distinct parts, little-endian."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not lines:
+        return []
+    parts = pc.split_pattern(pa.array(lines, pa.large_string()), GAP)
+    words = parts.flatten().dictionary_encode()
+    found, which = look(words.dictionary.to_pylist()), words.indices.to_numpy()
+    size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+    first, each = np.cumsum(size) - size, size[which]
+    ends = np.cumsum(each)
+    every = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(first[which] - ends + each, each) + np.arange(ends[-1])]
+    bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()].tolist()
+    return [every[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 _own_scratch: dict[str, str] = {}
 
 

@@ -9,27 +9,30 @@ log probabilities of Zipf's law, -log(rank + 2.7), normalised. Blanks are writte
 front of a non-empty text, and a character that no piece covers (a U+2581 of the text itself included) is written in
 byte pieces, so decoding gives back any text exactly.
 
-Streaming Viterbi: boundaries are settled from left to right; a boundary i is expanded once ``longest`` characters
-follow it or the text ends. All live paths end between i and ``reach``, the furthest boundary seen so far. If
-reach = i they have met, and all up to i is committed; else, when the window has grown to ``WINDOW`` characters, their
-back pointers are followed to the last boundary that all of them share. What is kept is the stretch since the last
-committed boundary. Between a non-blank and a blank no piece can lie (checked when a vocabulary is loaded), so paths meet there
-and the ids of each such stretch depend on it alone; short stretches are remembered in a bounded dictionary.
+Streaming Viterbi: the text arrives in parts, and a boundary is expanded once ``longest`` characters, the length of the
+longest piece, follow it or the text ends. Later pieces can begin at the last ``longest`` boundaries only, so these are
+where the live paths end; when a part is done their back pointers are followed to the last boundary that all of them
+share, and all ids up to it are committed. What is kept is the stretch since then. Between a non-blank and a blank no piece
+can lie (checked when a vocabulary is loaded), so paths meet there and the ids of each such stretch depend on it alone:
+every stretch, of whatever length, goes through the stream, and short ones are remembered in a bounded dictionary.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import struct
-from collections.abc import Iterator
 
 import numpy as np
 
+from readloom.llm.common import GAP, looked_up
+
 BLANK = "\u2581"
 #: Stands for a U+2581 of the text itself: a lone surrogate, which no text holds.
 FOREIGN = "\ud800"
-WINDOW = 256
+#: Characters that an encoder gives to its stream at a time.
+WINDOW = 1 << 10
+#: Texts that a normaliser would change.
+_PROBES = ("\ufb01x \u2460", " a", "a  b ", "\uff21\u00a0b\tc", "A\u0301 \u1100\u1161")
 #: Pairs of pieces that a worker remembers whether they may be neighbours.
 PAIRS = 400_000
 
@@ -109,18 +112,14 @@ class Vocabulary:
             weight = {i: 1.0 / (2.7 - s) for _, s, i in raw}
             total = sum(weight.values())
             raw = [(p, math.log(weight[i] / total), i) for p, _, i in raw]
-        return cls(raw, byte_ids, sp.vocab_size(), ranks)
+        out = cls(raw, byte_ids, sp.vocab_size(), ranks)
+        if any(sp.encode(x) != out.encoder().encode(x).tolist() for x in _PROBES):
+            raise ValueError(f"{path} changes texts before it encodes them; only files that keep them as they are can be decoded to the same text")
+        return out
 
-    def root(self) -> dict:
-        """Nested dictionaries by character; the key '' holds (id, log probability)."""
+    def pieces_trie(self) -> Trie:
         if self.trie is None:
-            root: dict = {}
-            for piece, score, i in self.pieces:
-                node = root
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = (i, score)
-            self.trie = root
+            self.trie = Trie(self.pieces)
         return self.trie
 
     def spelled(self) -> dict[int, bytes]:
@@ -139,198 +138,234 @@ def written(text: str) -> str:
     return BLANK + text.replace(BLANK, FOREIGN).replace(" ", BLANK) if text else ""
 
 
+class Trie:
+    """The pieces' trie in sorted arrays, so that it is walked from many places at once."""
+
+    def __init__(self, pieces: list[tuple[str, float, int]]):
+        nodes, keys, to = {"": 0}, [], []
+        for piece, _, _ in pieces:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(nodes)
+                    keys.append(nodes[piece[: k - 1]] << 21 | ord(piece[k - 1]))
+                    to.append(nodes[piece[:k]])
+        order = np.argsort(keys)
+        self.keys, self.to = np.array(keys, dtype=np.int64)[order], np.array(to, dtype=np.int64)[order]
+        self.id = np.full(len(nodes), -1, dtype=np.int64)
+        for piece, _, i in pieces:
+            self.id[nodes[piece]] = i
+
+    def matches(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """Pieces in the characters ``flat`` from each place of ``begin`` on, before the place of ``end`` beside it: for
+        each length from 1 on, the numbers of the places and the ids."""
+        which, at = np.arange(len(begin)), begin
+        node = np.zeros(len(begin), dtype=np.int64)
+        while len(at) and len(self.keys):
+            key = node << 21 | flat[at]
+            k = np.searchsorted(self.keys, key)
+            k[k == len(self.keys)] = 0
+            alive = self.keys[k] == key
+            node, at, which = self.to[k[alive]], at[alive] + 1, which[alive]
+            piece = self.id[node]
+            full = piece >= 0
+            yield which[full], piece[full]
+            on = at < end[which]
+            node, at, which = node[on], at[on], which[on]
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+
+
 class Stream:
-    """Viterbi over a text that arrives in parts; ``feed`` and ``finish`` return the ids committed so far and not yet given."""
+    """Viterbi over a text that arrives in parts; ``feed`` and ``finish`` return the ids committed so far and not yet given.
+
+    Of each boundary of the window: ``code``, the last piece of the path that survives into it (-1: none yet), ``come``,
+    where that piece begins, and for a file of probabilities ``best``, the path's score. ``commits`` counts the
+    commits, ``widest`` is the longest stretch that was kept; after a text's end the stream is ready for the next. ``at``
+    holds where, in the text since its begin, each id given by the last call begins."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v, self.root = vocabulary, vocabulary.root()
-        self.held, self.at, self.reach, self.widest = "", 0, 0, 0
-        self.before = vocabulary.size  # code of the last piece of what is committed
-        self.best: list[float] = [0.0]
-        self.back: list[tuple[int, tuple[int, ...], int] | None] = [None]  # from where, ids, code
+        self.v, self.trie, self.commits, self.widest = vocabulary, vocabulary.pieces_trie(), 0, 0
+        self.log = np.full(vocabulary.size, vocabulary.floor)
+        for i, score in vocabulary.log.items():
+            self.log[i] = score
+        self.clear()
+
+    def clear(self) -> None:
+        self.held, self.next, self.gone = "", 0, 0
+        self.code, self.come, self.best = [self.v.size], [0], [0.0]
 
     def feed(self, text: str, last: bool = False) -> list[int]:
-        self.held += text
-        out: list[int] = []
-        held, best, back, root, longest = self.held, self.best, self.back, self.root, self.v.longest
-        best += [-math.inf] * (len(held) + 1 - len(best))
-        back += [None] * (len(held) + 1 - len(back))
-        i, reach, size = self.at, self.reach, len(held)
+        held, longest = self.held + text, self.v.longest
+        size = len(held)
+        self.code += [-1] * (size + 1 - len(self.code))
+        self.come += [0] * (size + 1 - len(self.come))
         stop = size if last else size - longest
-        check = WINDOW
-        base = 0
-        may = self.v.neighbours if self.v.ranks is not None else None
-        while i < stop:
-            here = best[i]
-            if here == -math.inf:
-                i += 1
-                continue
-            if reach == i and i > base or i - base >= check:
-                to = i if reach == i else self._met(back, best, base, i, reach)
-                if to > base:
-                    out += self._ids(back, base, to)
-                    base, check = to, WINDOW
-                else:
-                    check *= 2
-            node, single = root, False
-            left = back[i][2] if i else self.before
-            for j in range(i, min(i + longest, size)):
-                node = node.get(held[j])
-                if node is None:
-                    break
-                found = node.get("")
-                if found:
-                    single = single or j == i
-                    if may and (best[j + 1] > -math.inf or not may(left, found[0])):
-                        continue
-                    score = here + found[1]
-                    if score > best[j + 1]:
-                        best[j + 1], back[j + 1] = score, (i, (found[0],), found[0])
-                        if j >= reach:
-                            reach = j + 1
-            if not single:
-                ids, score = self.v.foreign(held[i])
-                code = self.v.size + 1 + ord(held[i])
-                if here + score > best[i + 1] and (not may or may(left, code)):
-                    best[i + 1], back[i + 1] = here + score, (i, ids, code)
-                    reach = max(reach, i + 1)
-            i += 1
+        if stop > self.next:
+            (self._scored if self.v.ranks is None else self._ranked)(held, *self._edges(held, stop))
+            self.next = stop
+        base = size if last else self._met()
+        out = self._ids(base)
+        self.commits += base > 0
         if last:
-            out += self._ids(back, base, size)
-            base = size
+            self.clear()
+            return out
         self.widest = max(self.widest, size - base)
         # Only what follows the last committed boundary is kept; scores are counted from there.
-        zero = best[base]
-        if base:
-            self.before = back[base][2]
-        self.held, self.best = held[base:], [x - zero for x in best[base:]]
-        self.back = [None, *((b[0] - base, *b[1:]) if b else None for b in back[base + 1 :])]
-        self.at, self.reach = max(i - base, 0), max(reach - base, 0)
+        zero = self.best[base] if self.v.ranks is None else 0.0
+        self.held, self.code, self.best = held[base:], self.code[base:], [x - zero for x in self.best[base:]]
+        self.come = [x - base for x in self.come[base:]]
+        self.next, self.gone = max(self.next - base, 0), self.gone + base
         return out
 
     def finish(self) -> list[int]:
         return self.feed("", True)
 
-    @staticmethod
-    def _ids(back, base, to) -> list[int]:
-        out = []
-        while to > base:
-            to, ids, _ = back[to]
-            out += reversed(ids)
-        return out[::-1]
-
-    @staticmethod
-    def _met(back, best, base, i, reach) -> int:
-        live = {k for k in range(i, reach + 1) if best[k] != -math.inf}
+    def _edges(self, held: str, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that begin at the boundaries from ``next`` to before ``stop``, by end, then begin: begins, ends, codes. A
+        character that no piece covers has its code point for a code, from ``size`` + 1 on."""
+        flat, begin, longest = code_points(held), np.arange(self.next, stop), self.v.longest
+        # A row for each end, a column for each length, the longest first.
+        found = np.full((len(held) + 1 - self.next, longest), -1, dtype=np.int64)
+        lone = np.ones(len(begin), dtype=bool)
+        for k, (which, piece) in enumerate(self.trie.matches(flat, begin, np.full(len(begin), len(held))), 1):
+            found[which + k, longest - k] = piece
+            if k == 1:
+                lone[which] = False
+        where = np.flatnonzero(lone)
+        found[where + 1, longest - 1] = flat[where + self.next] + self.v.size + 1
+        found = found.ravel()
+        at = np.flatnonzero(found >= 0)
+        end, column = at // longest, at % longest
+        return end - longest + column + self.next, end + self.next, found[at]
+
+    def _scored(self, held: str, begin: np.ndarray, end: np.ndarray, codes: np.ndarray) -> None:
+        code, come, best, size = self.code, self.come, self.best, self.v.size
+        best += [-math.inf] * (len(code) - len(best))
+        scores = self.log[np.minimum(codes, size - 1)]
+        for k in np.flatnonzero(codes >= size).tolist():
+            scores[k] = self.v.foreign(chr(codes[k] - size - 1))[1]
+        for i, j, piece, score in zip(begin.tolist(), end.tolist(), codes.tolist(), scores.tolist()):
+            score += best[i]
+            if score > best[j]:
+                best[j], code[j], come[j] = score, piece, i
+
+    def _ranked(self, held: str, begin: np.ndarray, end: np.ndarray, codes: np.ndarray) -> None:
+        """For a BPE file: the one right path into each boundary survives."""
+        code, come, known, may, size = self.code, self.come, self.v.pairs.get, self.v.neighbours, self.v.size
+        # What is on the left of a boundary, ready to be put together with what is on the right. Where no piece lies across, it is as at a text's begin.
+        left = [c << 22 for c in code]
+        if self.v.cut:
+            flat = code_points(held) == ord(BLANK)
+            for k in (np.flatnonzero(flat[1:] & ~flat[:-1]) + 1).tolist():
+                left[k] = size << 22
+        for i, j, piece in zip(begin.tolist(), end.tolist(), codes.tolist()):
+            if code[j] < 0:
+                fits = known(left[i] | piece)
+                if fits or fits is None and may(left[i] >> 22, piece):
+                    code[j], come[j] = piece, i
+                    if left[j] < 0:
+                        left[j] = piece << 22
+
+    def _met(self) -> int:
+        """The last boundary that the paths into all boundaries share at which a later piece can begin, or into which one leads already."""
+        live = {k for k in range(self.next, len(self.code)) if self.code[k] >= 0}
         while len(live) > 1:
             k = max(live)
             live.discard(k)
-            live.add(back[k][0])
-            if max(live) <= base:
-                return base
+            live.add(self.come[k])
         return live.pop()
 
+    def _ids(self, to: int) -> list[int]:
+        """Ids of the path into a boundary."""
+        out, at, code, come, size = [], [], self.code, self.come, self.v.size
+        while to > 0:
+            c, to = code[to], come[to]
+            if c < size:
+                out.append(c)
+                at.append(to)
+            else:
+                ids = self.v.foreign(chr(c - size - 1))[0]
+                out += reversed(ids)
+                at += [to] * len(ids)
+        out.reverse()
+        at.reverse()
+        self.at = np.array(at, dtype=np.int64) + self.gone
+        return out
+
 
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
 class Encoder:
-    """Encodes texts; stretches between blanks are remembered."""
+    """Encodes texts through one stream; short stretches between blanks are remembered."""
 
     def __init__(self, vocabulary: Vocabulary, remember: int = 600_000):
-        self.v, self.root, self.limit, self.young, self.old = vocabulary, vocabulary.root(), max(1, remember // 2), {}, {}
-        self.short = self.scored if vocabulary.ranks is None else self.ranked
-
-    def scored(self, spelled: str) -> list[int]:
-        """What Stream gives for a text within one window, without its bookkeeping."""
-        size, root, longest = len(spelled), self.root, self.v.longest
-        best, back = [0.0] + [-math.inf] * size, [None] * (size + 1)
-        for i in range(size):
-            here = best[i]
-            if here == -math.inf:
-                continue
-            node, single, j = root, False, i
-            for c in spelled[i : i + longest]:
-                node = node.get(c)
-                if node is None:
-                    break
-                j += 1
-                found = node.get("")
-                if found:
-                    single = single or j == i + 1
-                    if here + found[1] > best[j]:
-                        best[j], back[j] = here + found[1], (i, (found[0],), 0)
-            if not single:
-                ids, score = self.v.foreign(spelled[i])
-                if here + score > best[i + 1]:
-                    best[i + 1], back[i + 1] = here + score, (i, ids, 0)
-        return Stream._ids(back, 0, size)
-
-    def ranked(self, spelled: str) -> list[int]:
-        """The same for a BPE file: the one right path into each boundary survives."""
-        size, root, longest, pairs, may = len(spelled), self.root, self.v.longest, self.v.pairs, self.v.neighbours
-        code, come = [-1] * (size + 1), [0] * (size + 1)
-        code[0] = self.v.size
-        for i in range(size):
-            left, node, j = code[i], root, i
-            for c in spelled[i : i + longest]:
-                node = node.get(c)
-                if node is None:
-                    break
-                j += 1
-                if code[j] < 0:
-                    found = node.get("")
-                    if found:
-                        right = found[0]
-                        fits = pairs.get(left << 22 | right)
-                        if fits or fits is None and may(left, right):
-                            code[j], come[j] = right, i
-            if code[i + 1] < 0:  # no piece covers the character, or the right one starts before it
-                c = spelled[i]
-                if not root.get(c, {}).get("") and may(left, self.v.size + 1 + ord(c)):
-                    code[i + 1], come[i + 1] = self.v.size + 1 + ord(c), i
-        out, at = [], size
-        while at:
-            if code[at] < self.v.size:
-                out.append(code[at])
-            else:
-                out += reversed(self.v.foreign(chr(code[at] - self.v.size - 1))[0])
-            at = come[at]
-        return out[::-1]
-
-    def stretch(self, spelled: str) -> bytes:
-        if len(spelled) <= 64:
-            out = self.short(spelled)
-        else:
-            s, out = Stream(self.v), []
-            for k in range(0, len(spelled), 4096):
-                out += s.feed(spelled[k : k + 4096])
-            out += s.finish()
-        return struct.pack(f"<{len(out)}I", *out)
+        self.v, self.stream, self.limit, self.young, self.old = vocabulary, Stream(vocabulary), max(1, remember // 2), {}, {}
+
+    def _streamed(self, spelled: str, part: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a text that is already spelled as the vocabulary does, and where each begins."""
+        ids, at, stream = [], [], self.stream
+        last = max(0, len(spelled) - 1) // part * part
+        for k in range(0, last, part):
+            ids += stream.feed(spelled[k : k + part])
+            at.append(stream.at)
+        ids += stream.feed(spelled[last:], True)
+        return np.array(ids, dtype="<u4"), np.concatenate([*at, stream.at])
+
+    def short(self, spelled: str) -> list[int]:
+        return self._streamed(spelled)[0].tolist()
+
+    def stretches(self, parts: list[str]) -> list[bytes]:
+        """Ids of stretches that begin with a blank and end with none, or hold no blank: sent through the stream as one
+        text, as their paths meet between them."""
+        if not parts:
+            return []
+        ids, at = self._streamed("".join(parts))
+        ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))), side="left") * 4
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, dtype="<u4")
-        if not self.v.cut:
-            return np.frombuffer(self.stretch(written(text)), dtype="<u4")
-        if BLANK in text:
-            text = text.replace(BLANK, FOREIGN)
-        plain = "  " not in text and text[0] != " " and text[-1] != " "
-        parts = text.split(" ") if plain else _STRETCH.findall(BLANK + text.replace(" ", BLANK))
-        # Two generations: the older one goes when the younger is full, so what is asked for often stays.
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; each distinct stretch of them is looked up once."""
+        out, lines, at = [np.empty(0, dtype="<u4")] * len(texts), [], []
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.v.cut or BLANK in text or GAP in text:
+                out[k] = self._streamed(written(text))[0]
+                continue
+            text = BLANK + text.replace(" ", BLANK)
+            plain = BLANK + BLANK not in text and text[-1] != BLANK
+            lines.append(text[0] + text[1:].replace(BLANK, GAP + BLANK) if plain else GAP.join(_STRETCH.findall(text)))
+            at.append(k)
+        for k, ids in zip(at, looked_up(lines, self._remembered)):
+            out[k] = ids
+        return out
+
+    def _remembered(self, parts: list[str]) -> list[bytes]:
+        """In two generations: the older one goes when the younger is full, so what is asked for often stays."""
         found = list(map(self.young.get, parts))
-        if None in found:
-            for k, part in enumerate(parts):
-                if found[k] is None:
-                    ids = self.young.get(part) or self.old.get(part)
-                    if ids is None:
-                        ids = self.stretch(BLANK + part if plain else part)
-                    found[k] = ids
-                    if len(part) <= 64:
-                        if len(self.young) >= self.limit:
-                            self.old, self.young = self.young, {}
-                        self.young[part] = ids
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        new = []
+        for k in gaps:
+            found[k] = self.old.get(parts[k])
+            if found[k] is None:
+                if parts[k][-1] == BLANK:
+                    found[k] = self._streamed(parts[k])[0].tobytes()
+                else:
+                    new.append(k)
+        for k, ids in zip(new, self.stretches([parts[k] for k in new])):
+            found[k] = ids
+        if len(self.young) + len(gaps) > self.limit:
+            self.old, self.young = self.young, {}
+        if len(gaps) <= self.limit:
+            self.young.update((parts[k], found[k]) for k in gaps if len(parts[k]) <= 64)
+        return found
 
 
 def decode(vocabulary: Vocabulary, ids) -> str:
@@ -343,19 +378,7 @@ class Lattice:
     """All segmentations of many words at once: edges by a trie held in sorted arrays, then the forward recursion."""
 
     def __init__(self, vocabulary: Vocabulary, log: dict[int, float] | None = None):
-        log = log or vocabulary.log
-        nodes, keys, to = {"": 0}, [], []
-        for piece, _, _ in vocabulary.pieces:
-            for k in range(1, len(piece) + 1):
-                if piece[:k] not in nodes:
-                    nodes[piece[:k]] = len(nodes)
-                    keys.append(nodes[piece[: k - 1]] << 21 | ord(piece[k - 1]))
-                    to.append(nodes[piece[:k]])
-        order = np.argsort(keys)
-        self.keys, self.to = np.array(keys, dtype=np.int64)[order], np.array(to, dtype=np.int64)[order]
-        self.id = np.full(len(nodes), -1, dtype=np.int64)
-        for piece, _, i in vocabulary.pieces:
-            self.id[nodes[piece]] = i
+        log, self.trie = log or vocabulary.log, vocabulary.pieces_trie()
         self.log = np.full(vocabulary.size, vocabulary.floor)
         for i, s in log.items():
             self.log[i] = s
@@ -364,28 +387,16 @@ class Lattice:
     def edges(self, words: list[str]):
         """(start, end, piece id or -1 - number of a foreign character, sizes): positions count over all words, each with one more for its end."""
         sizes = np.array([len(w) for w in words])
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        flat = code_points("".join(words))
         word = np.repeat(np.arange(len(words)), sizes)
         position = np.arange(len(flat)) + word  # boundaries: one more for each word
-        ends = np.cumsum(sizes)
-        node, at, begin = np.zeros(len(flat), dtype=np.int64), np.arange(len(flat)), np.arange(len(flat))
-        starts, stops, ids, covered, step = [], [], [], np.zeros(len(flat), dtype=bool), 0
-        while len(at):
-            key = node << 21 | flat[at]
-            k = np.searchsorted(self.keys, key)
-            k[k == len(self.keys)] = 0
-            alive = self.keys[k] == key
-            node, at, begin = self.to[k[alive]], at[alive], begin[alive]
-            piece = self.id[node]
-            full = piece >= 0
-            starts.append(position[begin[full]])
-            stops.append(position[begin[full]] + step + 1)
-            ids.append(piece[full])
-            if not step:
-                covered[begin[full]] = True
-            at = at + 1
-            on = at < ends[word[begin]]
-            node, at, begin, step = node[on], at[on], begin[on], step + 1
+        starts, stops, ids, covered = [], [], [], np.zeros(len(flat), dtype=bool)
+        for k, (which, piece) in enumerate(self.trie.matches(flat, np.arange(len(flat)), np.cumsum(sizes)[word]), 1):
+            starts.append(position[which])
+            stops.append(position[which] + k)
+            ids.append(piece)
+            if k == 1:
+                covered[which] = True
         lone = np.flatnonzero(~covered)
         starts.append(position[lone])
         stops.append(position[lone] + 1)
@@ -443,16 +454,3 @@ class Lattice:
         top = np.maximum.reduceat(values, new)
         size = np.diff(np.append(new, len(at)))
         into[at[new]] = top + np.log(np.add.reduceat(np.exp(values - np.repeat(top, size)), new))
-
-
-def chunks(words: Iterator, size: int = 20_000, characters: int = 200_000):
-    """Lists of words with bounded total length."""
-    out, n = [], 0
-    for w in words:
-        out.append(w)
-        n += len(w)
-        if len(out) >= size or n >= characters:
-            yield out
-            out, n = [], 0
-    if out:
-        yield out

@@ -34,8 +34,8 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", na
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType(), False))])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = shared.value.encoder()
-        found = [None if t is None else own.encode(t).astype(np.int32) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+        texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+        found = [None if t is None else x.astype(np.int32) for t, x in zip(texts, shared.value.encoder().encode_all(texts))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.field("element", pa.int32(), False)))], names=[*batch.schema.names, name])
 
     return map_slices(docs, step, schema, text_col)
@@ -63,7 +63,7 @@ def verified(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", te
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, texts = shared.value.encoder(), batch.column(1).to_pylist()
-        ids = [None if t is None else own.encode(t).astype(np.int32) for t in texts]
+        ids = [None if t is None else x.astype(np.int32) for t, x in zip(texts, own.encode_all(texts))]
         same = [t is None if x is None else decode(own.v, x.tolist()) == t for t, x in zip(texts, ids)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([0 if x is None else len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(element)), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "piece_ids", "round_trip"])
 
@@ -77,7 +77,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, texts = shared.value.encoder(), batch.column(1).to_pylist()
-        ids = [None if t is None else own.encode(t) for t in texts]
+        ids = [None if t is None else x for t, x in zip(texts, own.encode_all(texts))]
         back = [None if x is None else decode(own.v, x.tolist()) for x in ids]
         return pa.RecordBatch.from_arrays(
             [

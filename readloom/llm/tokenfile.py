@@ -31,21 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import id_text, map_slices, materialise, new_path, scratch, ship, slices, table
+from readloom.llm.common import GAP, id_text, looked_up, map_slices, materialise, new_path, scratch, ship, slices, table
 
 MAGIC, END_ID = b"RLTOKEN1", 2
 SAMPLE, STRETCH, DICTIONARY_BYTES, LEVEL = 1_000, 10_000, 64 << 10, 3
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
 #: In the memory, goes before what has no blank before it.
 _BARE = "\x01"
-#: Stands between two words that are looked up apart.
-_GAP = "\x02"
 #: Fixed values of byte-level vocabularies: how a byte is written, and how text below U+0250 is split.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTES = {b: chr(b if b in _PRINTED else 0x100 + k) for k, b in enumerate(sorted(set(range(256)) - _PRINTED))} | {b: chr(b) for b in _PRINTED}
@@ -86,7 +83,7 @@ class Encoder:
     def _unmerged(vocabulary: dict[str, int]) -> list[str]:
         """Control characters that are in no piece but their own: nothing merges across them."""
         several = set("".join(piece for piece in vocabulary if len(piece) > 1))
-        return [chr(b) for b in range(9) if _BYTES[b] in vocabulary and _BYTES[b] not in several and chr(b) not in (_BARE, _GAP)]
+        return [chr(b) for b in range(9) if _BYTES[b] in vocabulary and _BYTES[b] not in several and chr(b) not in (_BARE, GAP)]
 
     def _each(self, words: list[str], lead: str) -> list[bytes]:
         """Ids of each word by itself."""
@@ -120,34 +117,23 @@ class Encoder:
             return self._alone(texts)
         out, lines, at = [b""] * len(texts), [], []
         for k, t in enumerate(texts):
-            if _BARE in t or _GAP in t:
+            if _BARE in t or GAP in t:
                 out[k] = self._alone([t])[0]
                 continue
             plain = t.replace("\n", " ")
             if "  " in plain or plain[:1] == " " or plain[-1:] == " " or not plain.isprintable():
                 # More than one sign of white space between two words, or one that is neither blank nor line end.
-                line = _CUT.sub(_GAP, t)
+                line = _CUT.sub(GAP, t)
             else:
                 # Line ends, and a full stop or comma after a letter or digit, stand by themselves: fewer words to remember.
                 plain = t.replace("\n", f" {_BARE}\n {_BARE}")
                 if not _GLUED.search(t):
                     plain = plain.replace(". ", f" {_BARE}. ").replace(", ", f" {_BARE}, ")
-                line = plain.replace(" ", _GAP)
+                line = plain.replace(" ", GAP)
             lines.append(_BARE + line)
             at.append(k)
-        if not lines:
-            return out
-        # Each distinct word of the texts is looked up once; its ids are then copied to wherever it stands.
-        parts = pc.split_pattern(pa.array(lines, pa.large_string()), _GAP)
-        words = parts.flatten().dictionary_encode()
-        ids, which = self._looked_up(words.dictionary.to_pylist()), words.indices.to_numpy()
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        first, each = np.cumsum(size) - size, size[which]
-        ends = np.cumsum(each)
-        every = np.frombuffer(b"".join(ids), dtype="<u4")[np.repeat(first[which] - ends + each, each) + np.arange(ends[-1])]
-        bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()].tolist()
-        for k, a, b in zip(at, bounds, bounds[1:]):
-            out[k] = every[a:b].tobytes()
+        for k, ids in zip(at, looked_up(lines, self._remembered)):
+            out[k] = ids.tobytes()
         return out
 
     def _alone(self, texts: list[str]) -> list[bytes]:
@@ -156,7 +142,7 @@ class Encoder:
             out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)]
         return out
 
-    def _looked_up(self, words: list[str]) -> list[bytes]:
+    def _remembered(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words, which are remembered: the older generation goes when the younger is full, so what is asked for often stays."""
         found = list(map(self.young.get, words))
         gaps = [k for k, ids in enumerate(found) if ids is None]

@@ -129,3 +129,25 @@ def test_query(spark, vocabulary):
         assert t is None or ids.tolist() == library.encode(t)
         assert (r.n_tokens, r.ids_crc32, r.round_trip) == (len(ids), zlib.crc32(ids.tobytes()), True)
         assert r.decoded_sha256 == (None if t is None else hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_every_stretch_goes_through_the_stream(spark, vocabulary):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()] + ["x" * 5000, "one", "two  blanks "]
+    own, fed = P.Encoder(vocabulary), []
+    feed = own.stream.feed
+    own.stream.feed = lambda text, last=False: fed.append(text) or feed(text, last)
+    ids = own.encode_all(texts)
+    own.stream.feed = feed
+    assert own.stream.commits >= len(fed) - 5 and own.stream.commits > 20
+    whole = set("".join(fed).replace(P.BLANK, " ").split())
+    assert {w for t in texts if t for w in t.split(" ") if w.strip() and not set(w) & set("\t\r\n")} - whole <= {w for t in texts if t and P.BLANK in t for w in t.split(" ")}
+    assert all(a.tolist() == P.Encoder(vocabulary).short(P.written(t)) for t, a in list(zip(texts, ids))[-40:] if t)
+
+
+def test_what_a_stream_keeps_is_bound_by_the_longest_piece(spark, vocabulary):
+    text = max((r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text), key=len)[:20_000]
+    s, out = P.Stream(vocabulary), []
+    for c in P.written(text):
+        out += s.feed(c)
+    assert out + s.finish() == P.Encoder(vocabulary).encode(text).tolist()
+    assert s.commits > len(text) / 20 and s.widest <= 4 * vocabulary.longest
