@@ -8,9 +8,10 @@ and equal substrings share all names but those near their ends. The names of phr
 and the whole text's name, are the set that the fingerprint sketches: ``BINS`` one-permutation minima of 16 bits.
 The likeness of two fingerprints is their share of equal bins, an estimate of the sets' Jaccard likeness.
 
-The edited text of a document needs the next document in descending order of id. Ids are cut into ranges at ids of a
-sample; the document at a range's upper end is also sent to the range above it, whose last document it follows.
-So each range knows every neighbour, and one range-partitioned shuffle with a sort inside is all that moves.
+The edited text of a document needs the next document in descending order of id, then of text. The order is cut into
+ranges at places (id and the text's first ``HEAD`` characters) of a sample, about ``SAMPLED`` for each range, so that ranges are of about equal
+size even where one id has very many rows; the first text of a range is also sent to the range before it, whose last
+document it follows. So each range knows every neighbour, and one shuffle with a sort inside is all that moves. Only rows of one id with one head stay together.
 
 Defined cases: a null text counts as empty; an empty text's fingerprint is all zeros, like another empty text's (1)
 and unlike all others (0). Null ids come last in the order; equal ids follow each other by text. A lone document is
@@ -19,18 +20,18 @@ its own next. Repeated rows are fingerprinted one by one. An empty table gives a
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.llm.common import id_text, ship, table
+from readloom.llm.common import id_text, ship, slices, table
 
-BINS, LOW, LEVELS = 128, 2, 40
+BINS, LOW, LEVELS, HEAD, SAMPLED = 128, 2, 40, 64, 60
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_P, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 
@@ -163,40 +164,42 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-#: What stands for a null id in the order.
-_NONE = -(1 << 63)
-
-
 def ranged(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (part, doc_id, key, text, tail), partitioned by part; ids fall, nulls last; a part's tail row is the next part's first."""
-    key = F.coalesce("doc_id", F.lit(_NONE))
-    rows = docs.withColumn("key", key)
-    ids = rows.select("key")
-    ends = ids.agg(F.min("key"), F.max("key")).first()
-    n = ids.count()
-    share = min(1.0, 60.0 * parts / max(1, n))
-    drawn = sorted({r.key for r in ids.filter(F.xxhash64("key").bitwiseAND(F.lit((1 << 53) - 1)) < share * float(1 << 53)).collect()})
-    cuts = sorted({drawn[len(drawn) * i // parts] for i in range(1, parts)}) if drawn else []
-    cuts = [c for c in cuts if ends[0] < c < ends[1]]
-    # Part p holds the ids up to its opening cut, counted from the top. Cut ids exist: each is the first of its part,
-    # and a copy of it closes the part above. The greatest id closes the last part.
-    code, top = _place(cuts)("key"), len(cuts)
+    """Rows (part, doc_id, text, tail), partitioned by part and in order inside; ids fall, nulls last. A part's tail is the next part's first text."""
+    # Text that sorts as the rows do: the id from the top, then the text's head.
+    order = F.when(F.col("doc_id").isNull(), "G").otherwise(F.lpad(F.hex(F.bitwise_not("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    rows = docs.withColumn("o", F.concat(order, F.substring("text", 1, HEAD)))
+    first, n = rows.agg(F.min("o"), F.count("*")).first()
+    share = min(1.0, float(SAMPLED) * parts / max(1, n))
+    drawn = rows.filter(F.xxhash64("o").bitwiseAND(F.lit((1 << 53) - 1)) < share * float(1 << 53)).groupBy("o").agg((F.sum(F.length("text")) + F.count("*")).alias("size")).collect()
+    cuts = _cuts(sorted((r.o, r.size) for r in drawn), parts, first)
+    last = len(cuts) - 1
+    placed = rows.withColumn("code", _place(cuts)("o"))
     part, opens = F.shiftright("code", 1), F.col("code").bitwiseAND(F.lit(1)) == 1
-    place = lambda at, tail: F.struct(at.cast("int").alias("part"), F.lit(tail).alias("tail"))
-    places = F.when(F.col("key") == F.lit(ends[1]), F.array(place(part, False), place(F.lit(top), True)))
-    places = places.when(opens, F.array(place(part, False), place(part - 1, True))).otherwise(F.array(place(part, False)))
-    every = rows.withColumn("code", code).withColumn("at", F.explode(places)).select("at.part", "doc_id", "key", "text", "at.tail")
-    return every.repartitionByRange(top + 1, "part").sortWithinPartitions("part", "tail", F.desc("key"), "text")
+    body = placed.select(part.alias("part"), "doc_id", "text", F.lit(False).alias("tail"))
+    # The rows that open a part are few, or copies of one key of which the least text counts.
+    heads = placed.filter(opens).groupBy(part.alias("opened")).agg(F.min("text").alias("text"))
+    tails = heads.select(F.when(F.col("opened") > 0, F.col("opened") - 1).otherwise(last).cast("int").alias("part"), F.lit(None).cast("long").alias("doc_id"), "text", F.lit(True).alias("tail"))
+    return body.unionByName(tails).repartitionById(last + 1, "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "text")
+
+
+def _cuts(sample: list[tuple[str, int]], parts: int, first: str | None) -> list[str]:
+    """Where parts of about equal size begin; the first one with the first row."""
+    cuts, whole, before = [first or ""], sum(size for _, size in sample), 0
+    for o, size in sample:
+        if before * parts >= len(cuts) * whole and o > cuts[-1]:
+            cuts.append(o)
+        before += size
+    return cuts
 
 
-def _place(cuts: list[int]):
-    """Twice the number of an id's part, and 1 more if the id is a cut."""
-    top, cuts = len(cuts), np.array(cuts, dtype=np.int64)
+def _place(cuts: list[str]):
+    """Twice the number of a row's part, and 1 more if the row may be its first."""
+    import pandas as pd
 
-    def place(key: pd.Series) -> pd.Series:
-        at = np.searchsorted(cuts, key.to_numpy(), side="left")
-        cut = (cuts[np.minimum(at, top - 1)] == key.to_numpy()) & (at < top) if top else np.zeros(len(key), dtype=bool)
-        return pd.Series(2 * (top - at) + cut).astype("int32")
+    def place(orders: pd.Series) -> pd.Series:
+        at = [bisect.bisect_right(cuts, o) - 1 for o in orders]
+        return pd.Series([2 * k + (cuts[k] == o) for k, o in zip(at, orders)], dtype="int32")
 
     return F.pandas_udf(place, "int", F.PandasUDFType.SCALAR)
 
@@ -226,21 +229,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, part, closed = [], 0, None, False
-        for batch in batches:
-            for p, doc_id, text, tail in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part:
-                    assert not held, "a part has no tail"
-                    part, closed = p, False
-                if tail and closed:
-                    continue
-                if held and (tail or size > limit):
-                    yield finish(held, text, "")
-                    held, size = [], 0
-                if tail:
-                    closed = True
-                    continue
-                held.append((doc_id, text))
-                size += len(text)
+        for p, doc_id, text, tail in (row for batch in batches for some in slices(batch, "text") for row in zip(*(c.to_pylist() for c in some.columns))):
+            if p != part:
+                assert not held, "a part has no tail"
+                part, closed = p, False
+            if tail and closed:
+                continue
+            if held and (tail or size > limit):
+                yield finish(held, text, "")
+                held, size = [], 0
+            if tail:
+                closed = True
+                continue
+            held.append((doc_id, text))
+            size += len(text)
         assert not held, "the last part has no tail"
 
     return rows.mapInArrow(run, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
