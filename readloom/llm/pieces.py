@@ -13,8 +13,9 @@ Streaming Viterbi: the text arrives in parts, and a boundary is expanded once ``
 longest piece, follow it or the text ends. Later pieces can begin at the last ``longest`` boundaries only, so these are
 where the live paths end; when a part is done their back pointers are followed to the last boundary that all of them
 share, and all ids up to it are committed. What is kept is the stretch since then. Between a non-blank and a blank no piece
-can lie (checked when a vocabulary is loaded), so paths meet there and the ids of each such stretch depend on it alone:
-every stretch, of whatever length, goes through the stream, and short ones are remembered in a bounded dictionary.
+can lie (checked when a vocabulary is loaded), nor between two characters that stand side by side in no piece, so paths meet
+there and the ids of each such stretch depend on it alone: every distinct stretch, of whatever length, goes through the
+stream, and short ones are remembered in bounded dictionaries.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ WINDOW = 1 << 10
 #: Texts that a normaliser would change.
 _PROBES = ("\ufb01x \u2460", " a", "a  b ", "\uff21\u00a0b\tc", "A\u0301 \u1100\u1161")
 #: Pairs of pieces that a worker remembers whether they may be neighbours.
-PAIRS = 400_000
+PAIRS = 600_000
 
 
 class Vocabulary:
@@ -50,7 +51,7 @@ class Vocabulary:
         self.floor = min((s for _, s, _ in pieces), default=0.0) - 10.0
         self.pieces = pieces
         self.cut = not any(BLANK in p.lstrip(BLANK) for p, _, _ in pieces)
-        self.trie = self.raw = self.own = None
+        self.trie = self.raw = self.own = self.inner = None
 
     def __getstate__(self):
         return self.__dict__ | {"trie": None, "raw": None, "own": None, "pairs": {}}
@@ -122,6 +123,13 @@ class Vocabulary:
             self.trie = Trie(self.pieces)
         return self.trie
 
+    def cuts(self, flat: np.ndarray) -> np.ndarray:
+        """Places (over 0) in code points between two that stand side by side in no piece: every path has a boundary there."""
+        if self.inner is None:
+            self.inner = np.array(sorted({ord(p[k]) << 21 | ord(p[k + 1]) for p, _, _ in self.pieces for k in range(len(p) - 1)} | {1 << 62}), dtype=np.int64)
+        pairs = flat[:-1] << 21 | flat[1:]
+        return np.flatnonzero(self.inner[np.searchsorted(self.inner, pairs)] != pairs) + 1
+
     def spelled(self) -> dict[int, bytes]:
         """What each id stands for."""
         if self.raw is None:
@@ -256,10 +264,8 @@ class Stream:
         code, come, known, may, size = self.code, self.come, self.v.pairs.get, self.v.neighbours, self.v.size
         # What is on the left of a boundary, ready to be put together with what is on the right. Where no piece lies across, it is as at a text's begin.
         left = [c << 22 for c in code]
-        if self.v.cut:
-            flat = code_points(held) == ord(BLANK)
-            for k in (np.flatnonzero(flat[1:] & ~flat[:-1]) + 1).tolist():
-                left[k] = size << 22
+        for k in self.v.cuts(code_points(held)).tolist():
+            left[k] = size << 22
         for i, j, piece in zip(begin.tolist(), end.tolist(), codes.tolist()):
             if code[j] < 0:
                 fits = known(left[i] | piece)
@@ -279,15 +285,17 @@ class Stream:
 
     def _ids(self, to: int) -> list[int]:
         """Ids of the path into a boundary."""
-        out, at, code, come, size = [], [], self.code, self.come, self.v.size
+        out, at, code, come, size, spelt = [], [], self.code, self.come, self.v.size, {}
         while to > 0:
             c, to = code[to], come[to]
             if c < size:
                 out.append(c)
                 at.append(to)
             else:
-                ids = self.v.foreign(chr(c - size - 1))[0]
-                out += reversed(ids)
+                ids = spelt.get(c)
+                if ids is None:
+                    ids = spelt[c] = self.v.foreign(chr(c - size - 1))[0][::-1]
+                out += ids
                 at += [to] * len(ids)
         out.reverse()
         at.reverse()
@@ -295,6 +303,8 @@ class Stream:
         return out
 
 
+#: Stands between two words.
+_BETWEEN = "\x03"
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -302,7 +312,7 @@ class Encoder:
     """Encodes texts through one stream; short stretches between blanks are remembered."""
 
     def __init__(self, vocabulary: Vocabulary, remember: int = 600_000):
-        self.v, self.stream, self.limit, self.young, self.old = vocabulary, Stream(vocabulary), max(1, remember // 2), {}, {}
+        self.v, self.stream, self.limit, self.large, self.small = vocabulary, Stream(vocabulary), max(1, remember // 2), [{}, {}], [{}, {}]
 
     def _streamed(self, spelled: str, part: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text that is already spelled as the vocabulary does, and where each begins."""
@@ -318,14 +328,25 @@ class Encoder:
         return self._streamed(spelled)[0].tolist()
 
     def stretches(self, parts: list[str]) -> list[bytes]:
-        """Ids of stretches that begin with a blank and end with none, or hold no blank: sent through the stream as one
-        text, as their paths meet between them."""
+        """Ids of distinct stretches, sent through the stream as one text: a character that is in no piece stands between
+        two of them, so paths meet on both its sides."""
         if not parts:
             return []
-        ids, at = self._streamed("".join(parts))
-        ends = np.searchsorted(at, np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))), side="left") * 4
+        ids, at = self._streamed(FOREIGN.join(parts))
+        begin = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        first, last = np.searchsorted(at, begin[:-1]) * 4, np.searchsorted(at, begin[1:] - 1) * 4
         raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return [raw[a:b] for a, b in zip(first.tolist(), last.tolist())]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words: cut where no piece lies across, they share many stretches."""
+        if not words:
+            return []
+        flat = code_points(_BETWEEN.join(words))
+        cuts = self.v.cuts(flat)
+        cuts = cuts[(flat[cuts] != ord(_BETWEEN)) & (flat[cuts - 1] != ord(_BETWEEN))]
+        lines = np.insert(flat, cuts, ord(GAP)).astype(np.uint32).tobytes().decode("utf-32-le").split(_BETWEEN)
+        return [x.tobytes() for x in looked_up(lines, lambda parts: self._remembered(parts, self.stretches, self.small))]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -336,35 +357,33 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if not self.v.cut or BLANK in text or GAP in text:
+            if not self.v.cut or BLANK in text or GAP in text or _BETWEEN in text:
                 out[k] = self._streamed(written(text))[0]
                 continue
             text = BLANK + text.replace(" ", BLANK)
             plain = BLANK + BLANK not in text and text[-1] != BLANK
             lines.append(text[0] + text[1:].replace(BLANK, GAP + BLANK) if plain else GAP.join(_STRETCH.findall(text)))
             at.append(k)
-        for k, ids in zip(at, looked_up(lines, self._remembered)):
+        for k, ids in zip(at, looked_up(lines, lambda parts: self._remembered(parts, self.words, self.large))):
             out[k] = ids
         return out
 
-    def _remembered(self, parts: list[str]) -> list[bytes]:
+    def _remembered(self, parts: list[str], make, memory: list[dict[str, bytes]]) -> list[bytes]:
         """In two generations: the older one goes when the younger is full, so what is asked for often stays."""
-        found = list(map(self.young.get, parts))
+        young, old = memory
+        found = list(map(young.get, parts))
         gaps = [k for k, ids in enumerate(found) if ids is None]
         new = []
         for k in gaps:
-            found[k] = self.old.get(parts[k])
+            found[k] = old.get(parts[k])
             if found[k] is None:
-                if parts[k][-1] == BLANK:
-                    found[k] = self._streamed(parts[k])[0].tobytes()
-                else:
-                    new.append(k)
-        for k, ids in zip(new, self.stretches([parts[k] for k in new])):
+                new.append(k)
+        for k, ids in zip(new, make([parts[k] for k in new])):
             found[k] = ids
-        if len(self.young) + len(gaps) > self.limit:
-            self.old, self.young = self.young, {}
+        if len(young) + len(gaps) > self.limit:
+            memory[:] = {}, young
         if len(gaps) <= self.limit:
-            self.young.update((parts[k], found[k]) for k in gaps if len(parts[k]) <= 64)
+            memory[0].update((parts[k], found[k]) for k in gaps if len(parts[k]) <= 64)
         return found
 
 
