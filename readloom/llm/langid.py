@@ -6,10 +6,12 @@ decides, and the mean over its known n-grams stands for the word. Where a langua
 ``PENALTY`` is added. The score is the posterior probability of the best language, with the languages' shares of the
 training rows as prior; ties go to the first language in sorted order.
 
-Training reads a sample of labelled rows, drawn by a hash of id and text: about ``per_language`` rows for each of the
-``max_languages`` most frequent languages. Counts are gathered by partial aggregation; the model keeps the
-``max_entries`` most frequent words and n-grams that occur ``min_count`` times, so it is bounded whatever the corpus.
-Prediction is a map over whole texts: no shuffle, no group.
+Training reads a sample of labelled rows, drawn by a hash of id and text: about ``per_language`` rows for each
+language, however many languages there are. Counts are gathered by partial aggregation. Relative frequencies are of all
+words and n-grams of the sample; the model holds, of each language, its own ``entries`` most frequent ones that occur
+``min_count`` times, so a small language has as much room as a large one, and keeps an entry's counts in every language.
+An entry is stored with the languages that have it, so the model grows with what the languages know, not with the
+product of languages and entries. Prediction is a map over whole texts: no shuffle, no group.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every text if no row is labelled.
 A text with letters of which nothing is known gets the most frequent language at its prior. Rows with null lang or
@@ -24,13 +26,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from readloom.llm.common import fold, fresh, map_slices, table
+from readloom.llm.common import fold, fresh, map_slices, materialise, table
 
 ORDER, PENALTY = 6, 7.0
-PER_LANGUAGE, MAX_LANGUAGES, MAX_ENTRIES, MIN_COUNT = 2_000, 200, 200_000, 3
+PER_LANGUAGE, ENTRIES, MIN_COUNT = 2_000, 50_000, 3
 UNKNOWN = "und"
 #: Words that a worker remembers, in each of two generations.
 REMEMBER = 150_000
@@ -49,25 +51,28 @@ def grams(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Entries: '0word' and 'ngram' with n in front, each with a row of log10 relative frequencies."""
+    """Entries: '0word' and 'ngram' with n in front, each with the languages that have it and its log10 relative frequency there, over ``-PENALTY``."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], prior: dict[str, int]):
+    def __init__(self, counts: list[tuple[str, str, int]], prior: dict[str, int], totals: dict[tuple[str, str], int] | None = None):
+        """totals: of a language and the first character of its entries, all that was counted; by default the sum of ``counts``."""
         self.languages = sorted(prior)
         at = {x: i for i, x in enumerate(self.languages)}
         everything = max(1, sum(prior.values()))
         self.prior = np.array([math.log10(prior[x] / everything) for x in self.languages])
-        #: Rows by entry: words at 0, n-grams at n.
+        if totals is None:
+            totals = Counter()
+            for language, entry, n in counts:
+                totals[language, entry[0]] += n
+        #: Places by entry: words at 0, n-grams at n.
         self.rows: list[dict[str, int]] = [{} for _ in range(ORDER + 1)]
-        size, totals = 0, np.zeros((ORDER + 1, len(at)))
-        for language, entry, n in counts:
-            k = int(entry[0])
-            if self.rows[k].setdefault(entry[1:], size) == size:
-                size += 1
-            totals[k, at[language]] += n
-        self.table = np.full((size, len(at)), -PENALTY)
-        for language, entry, n in counts:
-            k = int(entry[0])
-            self.table[self.rows[k][entry[1:]], at[language]] = max(-PENALTY, math.log10(n / totals[k, at[language]]))
+        size, rows = 0, np.empty(len(counts), dtype=np.int64)
+        for i, (_, entry, _) in enumerate(counts):
+            rows[i] = self.rows[int(entry[0])].setdefault(entry[1:], size)
+            size += rows[i] == size
+        order = np.argsort(rows, kind="stable")
+        self.begin = np.searchsorted(rows[order], np.arange(size + 1))
+        self.language = np.array([at[x] for x, _, _ in counts], dtype=np.int32)[order]
+        self.above = np.array([max(0.0, PENALTY + math.log10(n / totals[x, entry[0]])) for x, entry, n in counts], dtype=np.float64)[order]
         self.young, self.old = {}, {}
 
     def __getstate__(self):
@@ -113,14 +118,21 @@ class Model:
             elif found:
                 rows += found
                 weights += [n / len(found)] * len(found)
-        score = self.prior + np.array(weights, dtype=float) @ self.table[rows] if rows else self.prior
+        score = self.prior
+        if rows:
+            # Every entry costs the penalty in all languages, less what it is above that in those that have it.
+            weight, row = np.array(weights, dtype=float), np.array(rows)
+            first, size = self.begin[row], self.begin[row + 1] - self.begin[row]
+            ends = np.cumsum(size)
+            at = np.repeat(first - ends + size, size) + np.arange(ends[-1])
+            score = score + np.bincount(self.language[at], np.repeat(weight, size) * self.above[at], len(score)) - PENALTY * weight.sum()
         best = int(np.argmax(score))
         return self.languages[best], float(1 / (10.0 ** np.clip(score - score[best], -300, 0)).sum())
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES, max_entries: int = MAX_ENTRIES, min_count: int = MIN_COUNT) -> Model:
+def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, entries: int = ENTRIES, min_count: int = MIN_COUNT) -> Model:
     rows = labelled.select(labelled[id_col].alias("doc_id"), labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).filter("lang is not null and text is not null")
-    prior = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    prior = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not prior:
         return Model([], {})
     share = F.create_map(*[F.lit(x) for k, n in prior.items() for x in (k, min(1.0, per_language / n))])
@@ -137,15 +149,21 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                         out[lang, g] += n
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out]), pa.array([k[1] for k in out]), pa.array(list(out.values()), pa.int64())], names=["lang", "entry", "n"])
 
-    counts = map_slices(sample, count, "lang string, entry string, n bigint").groupBy("lang", "entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
-    top = counts.orderBy(F.desc("n"), "lang", "entry").limit(max_entries).toArrow()
-    return Model(list(zip(*(top.column(x).to_pylist() for x in ("lang", "entry", "n")))), prior)
+    counts = materialise(map_slices(sample, count, "lang string, entry string, n bigint").groupBy("lang", "entry").agg(F.sum("n").alias("n")), "language-counts")
+    kind = F.substring("entry", 1, 1)
+    totals = {(r.lang, r.kind): r.n for r in counts.groupBy("lang", kind.alias("kind")).agg(F.sum("n").alias("n")).collect()}
+    # The first entries of each language, found in each task before they meet; then their counts in every language.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "entry"))
+    own = counts.filter(F.col("n") >= min_count).withColumn("place", place).filter(F.col("place") <= entries).select("entry").distinct()
+    kept = counts.filter(F.col("n") >= min_count).join(own, "entry", "left_semi").select("lang", "entry", "n").toArrow().sort_by([("lang", "ascending"), ("entry", "ascending")])
+    return Model(list(zip(*(kept.column(x).to_pylist() for x in ("lang", "entry", "n")))), prior, totals)
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with two more columns, the language and its score."""
+    """docs with two more columns, the language and its score; where a name is taken, _ goes behind."""
     from pyspark.sql import types as T
 
+    lang, score = fresh(docs, lang), fresh(docs, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
 

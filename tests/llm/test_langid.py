@@ -69,3 +69,30 @@ def test_held_out_accuracy(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows) and len(rows) > 200
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.98
     assert out.filter((F.col("lang_pred") == "und") & F.col("text").rlike("[a-z]")).count() == 0
+
+
+def test_every_language_is_learnt_and_rare_ones_keep_their_entries(spark):
+    rng = __import__("random").Random(3)
+    known = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(12)] for k in range(260)}
+    rows = [(0, " ".join(rng.choice(v) for _ in range(90)), k) for k, v in known.items()] + [(1, " ".join(rng.choice(known["l000"]) for _ in range(900)), "l000")] * 30
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), entries=40)
+    assert len(model.languages) == 260
+    assert sum(model.predict(" ".join(v[:6]))[0] == k for k, v in known.items()) > 250
+
+
+def test_frequencies_are_of_all_that_was_counted(spark):
+    rows = [(1, "common " * 8 + "other " * 4 + "third " * 4, "aa"), (2, "common " * 4 + "strange " * 12, "bb")]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), entries=1)
+    assert set(model.rows[0]) | set().union(*model.rows[1:]) and model.rows[0].keys() <= {"common", "strange"}
+    if "common" in model.rows[0]:
+        k = model.rows[0]["common"]
+        got = {model.languages[x]: a for x, a in zip(model.language[model.begin[k] : model.begin[k + 1]], model.above[model.begin[k] : model.begin[k + 1]])}
+        assert got == pytest.approx({"aa": 7 + math.log10(8 / 16), "bb": 7 + math.log10(4 / 16)})
+
+
+def test_ties_go_to_the_first_language_and_names_may_clash(spark):
+    rows = [(1, "same words here", "zz"), (2, "same words here", "aa")] * 4
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), min_count=1)
+    assert model.predict("same words")[0] == "aa" and model.predict("unlike")[0] == "aa"
+    docs = spark.createDataFrame([(1, "same words", 0.5)], "doc_id long, text string, Score double")
+    assert L.identified(docs, model).columns == ["doc_id", "text", "Score", "lang_pred", "score_"]
