@@ -31,7 +31,7 @@ def _write(reads: DataFrame, path: str, header: str) -> None:
     lines = spark.createDataFrame([(x, i) for i, x in enumerate(header.splitlines())], "line string, ord bigint")
     lines = sam.with_program(lines, " ".join(sys.argv))
     if low.endswith(".bam"):
-        bam.write_bam(reads, path, "\n".join(r.line for r in lines.orderBy("ord").collect()))
+        bam.write_bam(reads, path, "\n".join(r.line for r in lines.orderBy("ord").collect()), single=True)
     else:
         sam.write_sam(reads, path, lines)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readloom.functions.folds import emitting
+
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
 
@@ -23,7 +25,7 @@ def has_exons(cigar: Column) -> Column:
 def exons(pos: Column, ops: Column) -> Column:
     """Exons (1-based, closed) in the order of the reference: N ends one, the next M, = or X opens one."""
     pos = pos.cast("long")
-    begin = F.struct(pos.alias("cur"), pos.alias("at"), F.lit(True).alias("open"), F.array().cast(EXONS).alias("out"))
+    begin = {"cur": pos, "at": pos, "open": F.lit(True)}
 
     def closed(a: Column) -> Column:
         return F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["cur"] - 1).alias("end"))))
@@ -37,7 +39,7 @@ def exons(pos: Column, ops: Column) -> Column:
             F.when(skip & a["open"], closed(a)).otherwise(a["out"]).alias("out"),
         )
 
-    return F.aggregate(ops, begin, step, lambda a: F.when(a["open"] & (a["at"] < a["cur"]), closed(a)).otherwise(a["out"]))
+    return F.when(ops.isNotNull(), emitting(ops, begin, EXONS, step, lambda a: F.when(a["open"] & (a["at"] < a["cur"]), closed(a)).otherwise(a["out"])))
 
 
 def sort_exons(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from readloom.functions.folds import emitting
+
 EVENTS = "array<struct<off:bigint,kind:string,base:string>>"
 VARIANTS = "array<struct<start:bigint,ref:string,alt:string>>"
 
@@ -22,21 +24,20 @@ def md_events(md: Column) -> Column:
         move = F.when(number, t.try_cast("long")).when(deleted, F.size(bases).cast("long")).otherwise(F.lit(1).cast("long"))
         return F.struct((a["off"] + move).alias("off"), F.concat(a["out"], new).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("off"), F.array().cast(EVENTS).alias("out"))
-    return F.aggregate(F.coalesce(found, F.array().cast("array<string>")), begin, step, lambda a: a["out"])
+    return emitting(F.coalesce(found, F.array().cast("array<string>")), {"off": F.lit(0).cast("long")}, EVENTS, step, lambda a: a["out"])
 
 
 def segments(ops: Column, pos: Column) -> Column:
     """Operations with where they start: r in the reference (from 0), q in the read, m in the MD."""
     kind = "array<struct<n:bigint,o:string,r:bigint,q:bigint,m:bigint>>"
     zero = F.lit(0).cast("long")
-    begin = F.struct((pos.cast("long") - 1).alias("r"), zero.alias("q"), zero.alias("m"), F.array().cast(kind).alias("out"))
+    begin = {"r": pos.cast("long") - 1, "q": zero, "m": zero}
 
     def step(a: Column, x: Column) -> Column:
         move = lambda k, names: F.when(x["o"].isin(*names), a[k] + x["n"]).otherwise(a[k]).alias(k)
         return F.struct(move("r", "M=XDN"), move("q", "M=XIS"), move("m", "M=XD"), F.concat(a["out"], F.array(F.struct(x["n"].alias("n"), x["o"].alias("o"), a["r"].alias("r"), a["q"].alias("q"), a["m"].alias("m")))).alias("out"))
 
-    return F.aggregate(ops, begin, step, lambda a: a["out"])
+    return F.when(ops.isNotNull(), emitting(ops, begin, kind, step, lambda a: a["out"]))
 
 
 def candidates(ops: Column, pos: Column, seq: Column, md: Column) -> Column:
@@ -66,8 +67,8 @@ def candidates(ops: Column, pos: Column, seq: Column, md: Column) -> Column:
         met = F.struct(a["o"].alias("o"), a["m"].alias("m"), a["n"].alias("n"), a["r"].alias("r"), a["q"].alias("q"), text.alias("text"), F.when(change, F.concat(a["out"], variant(a["r"] + x["at"] - a["m"], x["base"], alt))).otherwise(a["out"]).alias("out"))
         return F.when(x["kind"] == 0, began).otherwise(met)
 
-    begin = F.struct(none.alias("o"), zero.alias("m"), zero.alias("n"), zero.alias("r"), zero.alias("q"), none.alias("text"), F.array().cast(VARIANTS).alias("out"))
-    walked = F.aggregate(F.sort_array(F.concat(steps, events)), begin, step, closed)
+    begin = {"o": none, "m": zero, "n": zero, "r": zero, "q": zero, "text": none}
+    walked = emitting(F.sort_array(F.concat(steps, events)), begin, VARIANTS, step, closed)
     there = (F.coalesce(md, F.lit("")) != "") & ~F.coalesce(seq, F.lit("")).isin("", "*")
     return F.when(there, walked).otherwise(F.array().cast(VARIANTS))
 

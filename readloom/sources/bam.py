@@ -1,37 +1,47 @@
 """BAM files as a Python data source: ``spark.read.format("bam")`` and ``df.write.format("bam")``.
 
 BGZF blocks are inflated by zlib. A large file is cut at byte offsets; each task finds the first block from its offset
-on, and the first record in it by looking for a stretch of plausible records, so one file feeds many tasks. Options:
-``split_bytes`` (32 MB); for writing ``header``. Paths are opened through pyarrow's file systems.
+on, and the first record in it by looking for a stretch of plausible records, so one file feeds many tasks. Only the
+columns of the schema that is asked for are decoded, and rows go to Spark as Arrow batches. Options: ``split_bytes``
+(32 MB); for writing ``header``, and ``single`` for one file in place of a folder of parts: tasks compress their records
+to drafts, and as BGZF blocks can be set end to end, the driver only copies bytes. Paths are opened through pyarrow's file systems.
 """
 
 from __future__ import annotations
 
+import re
+import shutil
 import struct
+import time
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from readloom.sources.files import filesystem
 
 SCHEMA = "qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen bigint, seq string, qual string, tags map<string,struct<type:string,value:string>>, file string, ord bigint"
 SPLIT_BYTES = 32 << 20
 _OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+#: Bases to the digits of their codes and back; anything else is N.
+_FROM_HEX = str.maketrans("0123456789abcdef", _BASES)
+_TO_HEX = {**{i: "f" for i in range(1 << 7)}, **{ord(c): f"{i:x}" for i, c in enumerate(_BASES)}, **{ord(c.lower()): f"{i:x}" for i, c in enumerate(_BASES)}}
+_QUALITY = bytes(min(q + 33, 255) for q in range(256))
+_CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
+#: Rows of an Arrow batch.
+BATCH = 4096
+_TAGS = pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())]))
+_TYPES = {"flag": pa.int32(), "pos": pa.int64(), "mapq": pa.int32(), "pnext": pa.int64(), "tlen": pa.int64(), "tags": _TAGS, "ord": pa.int64()}
 _EOF = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 _NUMBER = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    system, place = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-    return system, place
-
-
 def list_files(path: str) -> list[tuple[str, int]]:
     from pyarrow import fs
 
-    system, place = _open(path)
+    system, place = filesystem(path)
     info = system.get_file_info(place)
     if info.type == fs.FileType.Directory:
         found = [x for x in system.get_file_info(fs.FileSelector(place)) if x.path.endswith(".bam")]
@@ -173,25 +183,28 @@ def _tags(data: bytes) -> dict:
     return out
 
 
-def decode_record(data: bytes, refs: list[tuple[str, int]], with_seq: bool = True) -> tuple:
-    ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate, mate_pos, tlen = struct.unpack("<iiBBHHHiiii", data[:32])
+def decode_record(data: bytes, refs: list[tuple[str, int]], wanted: frozenset[str]) -> dict:
+    """The wanted fields of a record."""
+    ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
     at = 32 + n_name
-    name = data[32 : at - 1].decode()
-    ops = struct.unpack(f"<{n_ops}I", data[at : at + 4 * n_ops])
-    at += 4 * n_ops
-    seq = qual = "*"
-    raw, scores = data[at : at + (n_seq + 1) // 2], data[at + (n_seq + 1) // 2 : at + (n_seq + 1) // 2 + n_seq]
-    if n_seq and with_seq:
-        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in raw)[:n_seq]
-        if scores[0] != 255:
-            qual = bytes(s + 33 for s in scores).decode()
-    tags = _tags(data[at + (n_seq + 1) // 2 + n_seq :])
-    if "CG" in tags and n_ops == 2 and ops[0] & 15 == 4 and ops[0] >> 4 == n_seq:  # more than 65,535 operations
-        ops = tuple(int(x) for x in tags.pop("CG")[1].split(",")[1:])
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*"
-    rname = refs[ref][0] if ref >= 0 else "*"
-    rnext = "*" if mate < 0 else "=" if mate == ref else refs[mate][0]
-    return name, flag, rname, pos + 1, mapq, cigar, rnext, mate_pos + 1, tlen, seq, qual, tags
+    after = at + 4 * n_ops
+    quality = after + (n_seq + 1) // 2
+    out = {"flag": flag, "pos": pos + 1, "mapq": mapq, "pnext": mate_pos + 1, "tlen": tlen, "rname": refs[ref][0] if ref >= 0 else "*", "rnext": "*" if mate < 0 else "=" if mate == ref else refs[mate][0]}
+    if "qname" in wanted:
+        out["qname"] = data[32 : at - 1].decode()
+    if "seq" in wanted:
+        out["seq"] = data[after:quality].hex().translate(_FROM_HEX)[:n_seq] or "*"
+    if "qual" in wanted:
+        out["qual"] = data[quality : quality + n_seq].translate(_QUALITY).decode("ascii") if n_seq and data[quality] != 255 else "*"
+    if "cigar" in wanted or "tags" in wanted:
+        ops = struct.unpack_from(f"<{n_ops}I", data, at)
+        long = n_ops == 2 and ops[0] & 15 == 4 and ops[0] >> 4 == n_seq  # more than 65,535 operations
+        tags = _tags(data[quality + n_seq :]) if long or "tags" in wanted else {}
+        if long and "CG" in tags:
+            ops = tuple(int(x) for x in tags.pop("CG")[1].split(",")[1:])
+        out["cigar"] = "".join([f"{x >> 4}{_OPS[x & 15]}" for x in ops]) or "*"
+        out["tags"] = [(k, {"type": t, "value": v}) for k, (t, v) in tags.items()]
+    return out
 
 
 def _bin(start: int, end: int) -> int:
@@ -202,19 +215,18 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
-def encode_record(row, numbers: dict[str, int]) -> bytes:
-    import re
-
+def encode_record(row: dict, numbers: dict[str, int]) -> bytes:
+    """row: the fields of a read; tags as (name, {type, value})."""
     number = lambda n: numbers[n] if n not in (None, "*") else -1
-    ref = number(row.rname)
-    mate = ref if row.rnext == "=" else number(row.rnext)
-    ops = [(int(n), o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", row.cigar or "")]
-    seq = "" if row.seq in (None, "*") else row.seq
+    ref = number(row["rname"])
+    mate = ref if row["rnext"] == "=" else number(row["rnext"])
+    ops = [(int(n), o) for n, o in _CIGAR.findall(row["cigar"] or "")]
+    seq = "" if row["seq"] in (None, "*") else row["seq"]
     span = sum(n for n, o in ops if o in "MDN=X") or 1
-    at = (row.pos or 0) - 1
+    at = (row["pos"] or 0) - 1
     tags = b""
-    for k, v in sorted((row.tags or {}).items()):
-        kind, value = v
+    for k, v in sorted(row["tags"] or (), key=lambda x: x[0]):
+        kind, value = v["type"], v["value"]
         if kind == "i":
             tags += k.encode() + (b"i" + struct.pack("<i", int(value)) if -(1 << 31) <= int(value) < 1 << 31 else b"I" + struct.pack("<I", int(value)))
         elif kind == "f":
@@ -230,11 +242,10 @@ def encode_record(row, numbers: dict[str, int]) -> bytes:
     if len(packed_ops) > 65535:
         tags += b"CGBI" + struct.pack(f"<i{len(packed_ops)}I", len(packed_ops), *packed_ops)
         packed_ops = [len(seq) << 4 | 4, span << 4 | 3]
-    codes = [max(0, _BASES.find(c)) if c in _BASES else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    raw = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-    scores = b"\xff" * len(seq) if row.qual in (None, "*") else bytes(ord(c) - 33 for c in row.qual)
-    name = (row.qname or "*").encode() + b"\0"
-    body = struct.pack("<iiBBHHHiiii", ref, at, len(name), row.mapq or 0, _bin(max(at, 0), max(at, 0) + span), len(packed_ops), row.flag or 0, len(seq), mate, (row.pnext or 0) - 1, row.tlen or 0)
+    raw = bytes.fromhex(seq.translate(_TO_HEX) + "0" * (len(seq) % 2))
+    scores = b"\xff" * len(seq) if row["qual"] in (None, "*") else bytes(c - 33 for c in row["qual"].encode("ascii"))
+    name = (row["qname"] or "*").encode() + b"\0"
+    body = struct.pack("<iiBBHHHiiii", ref, at, len(name), row["mapq"] or 0, _bin(max(at, 0), max(at, 0) + span), len(packed_ops), row["flag"] or 0, len(seq), mate, (row["pnext"] or 0) - 1, row["tlen"] or 0)
     body += name + struct.pack(f"<{len(packed_ops)}I", *packed_ops) + raw + scores + tags
     return struct.pack("<i", len(body)) + body
 
@@ -255,10 +266,11 @@ class BgzfSink:
             self.sink.write(deflate(bytes(self.held[:65280])))
             del self.held[:65280]
 
-    def close(self) -> None:
+    def close(self, end: bool = True) -> None:
         if self.held:
             self.sink.write(deflate(bytes(self.held)))
-        self.sink.write(_EOF)
+        if end:
+            self.sink.write(_EOF)
         self.sink.close()
 
 
@@ -278,7 +290,25 @@ class BamReader(DataSourceReader):
         return [_Part(*x, i) for i, x in enumerate(out)]
 
     def read(self, part: _Part):
-        system, place = _open(part.path)
+        """Arrow batches of the columns that are asked for."""
+        wanted, rows = frozenset(self.columns), []
+        schema = pa.schema([(c, _TYPES.get(c, pa.string())) for c in self.columns])
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], schema.field(c).type) for c in self.columns], schema=schema)
+
+        for data, refs, order in self._records(part):
+            row = decode_record(data, refs, wanted)
+            row["file"], row["ord"] = part.path, order
+            rows.append(row)
+            if len(rows) >= BATCH:
+                yield batch()
+                rows = []
+        if rows:
+            yield batch()
+
+    def _records(self, part: _Part) -> Iterator[tuple[bytes, list, int]]:
+        system, place = filesystem(part.path)
         with system.open_input_file(place) as f:
             size = f.size()
             _, refs, block, within = read_header(f, size)
@@ -301,7 +331,7 @@ class BamReader(DataSourceReader):
                         return
                     if end > len(data):
                         break
-                    yield (*decode_record(data[at + 4 : end], refs), part.path, (part.number << 33) + n)
+                    yield data[at + 4 : end], refs, (part.number << 33) + n
                     n, at = n + 1, end
                 keep = max(k for k, x in enumerate(marks) if x[0] <= at)
                 base = marks[keep][0]
@@ -316,43 +346,85 @@ def _last(f, size: int, offset: int) -> bool:
     return after >= size or after + len(_EOF) >= size
 
 
-class BamWriter(DataSourceWriter):
-    """One file for each task, in a folder; the header goes into each. ``header`` holds its text, @SQ lines included."""
+def header_block(text: str) -> tuple[bytes, dict[str, int]]:
+    """The head of a BAM file, and the numbers of the references in the @SQ lines."""
+    refs = []
+    for line in text.splitlines():
+        if line.startswith("@SQ"):
+            f = dict(x.split(":", 1) for x in line.split("\t")[1:])
+            refs.append((f["SN"], int(f["LN"])))
+    raw = (text.rstrip("\n") + "\n" if text else "").encode()
+    out = b"BAM\1" + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(refs))
+    for name, length in refs:
+        out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
+    return out, {n: i for i, (n, _) in enumerate(refs)}
+
+
+class BamWriter(DataSourceArrowWriter):
+    """A folder with a file for each task, each with the header; or one file (``single``). ``header`` holds its text, @SQ
+    lines included. Drafts get their names when the job commits: names rise with the time, so rows that are appended come
+    after those that are there."""
 
-    def __init__(self, options: dict):
-        self.path, self.header = options["path"].rstrip("/"), options.get("header", "")
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.header, self.overwrite = options["path"].rstrip("/"), options.get("header", ""), overwrite
+        self.single, self.job = str(options.get("single", "")).lower() == "true", f"{time.time_ns():020d}"
+        self.folder = f"{self.path}.drafts-{self.job}" if self.single else self.path
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        refs = []
-        for line in self.header.splitlines():
-            if line.startswith("@SQ"):
-                f = dict(x.split(":", 1) for x in line.split("\t")[1:])
-                refs.append((f["SN"], int(f["LN"])))
-        numbers = {n: i for i, (n, _) in enumerate(refs)}
         task = TaskContext.get()
-        system, place = _open(self.path)
+        head, numbers = header_block(self.header)
+        system, place = filesystem(self.folder)
         system.create_dir(place, recursive=True)
-        draft = f"{place}/.draft-{task.partitionId()}-{task.taskAttemptId()}"
+        draft = f"{place}/.draft-{self.job}-{task.partitionId()}-{task.taskAttemptId()}"
         sink = BgzfSink(system.open_output_stream(draft))
-        text = (self.header.rstrip("\n") + "\n" if self.header else "").encode()
-        sink.write(b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in refs))
-        for row in rows:
-            sink.write(encode_record(row, numbers))
-        sink.close()
+        if not self.single:
+            sink.write(head)
+        for batch in batches:
+            for row in batch.to_pylist():
+                sink.write(encode_record(row, numbers))
+        sink.close(not self.single)
         out = WriterCommitMessage()
-        out.draft, out.final = draft, f"{place}/part-{task.partitionId():05d}.bam"
+        out.draft, out.number = draft, task.partitionId()
         return out
 
     def commit(self, messages) -> None:
-        system, _ = _open(self.path)
-        for m in messages:
-            if m:
-                system.move(m.draft, m.final)
+        system, place = filesystem(self.folder)
+        drafts = sorted((m.number, m.draft) for m in messages if m)
+        if not self.single:
+            before = [x.path for x in self._parts(system, place)] if self.overwrite else []
+            for number, draft in drafts:
+                system.move(draft, f"{place}/part-{self.job}-{number:05d}.bam")
+            for path in before:
+                system.delete_file(path)
+            return
+        _, target = filesystem(self.path)
+        with system.open_output_stream(f"{target}.draft-{self.job}") as out:
+            sink = BgzfSink(out)
+            sink.write(header_block(self.header)[0])
+            if sink.held:
+                out.write(deflate(bytes(sink.held)))
+            for _, draft in drafts:
+                with system.open_input_stream(draft) as f:
+                    shutil.copyfileobj(f, out, 1 << 22)
+            out.write(_EOF)
+        from pyarrow import fs
+
+        if system.get_file_info(target).type == fs.FileType.Directory:
+            system.delete_dir(target)
+        system.move(f"{target}.draft-{self.job}", target)
+        if drafts:
+            system.delete_dir(place)
+
+    @staticmethod
+    def _parts(system, place: str) -> list:
+        from pyarrow import fs
+
+        return [x for x in system.get_file_info(fs.FileSelector(place, allow_not_found=True)) if x.path.endswith(".bam")]
 
     def abort(self, messages) -> None:
-        system, _ = _open(self.path)
+        system, _ = filesystem(self.path)
         for m in messages:
             if m:
                 system.delete_file(m.draft)
@@ -370,28 +442,32 @@ class BamDataSource(DataSource):
         return BamReader(self.options, schema.names)
 
     def writer(self, schema, overwrite) -> BamWriter:
-        return BamWriter(self.options)
+        return BamWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamDataSource)
 
 
-def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES):
+def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, columns: list[str] | None = None):
+    """Reads of a file or a folder; with ``columns`` only these are decoded."""
     register(spark)
-    return spark.read.format("bam").option("split_bytes", split_bytes).load(path)
+    kinds = {x.split(" ", 1)[0]: x for x in re.split(r", (?=\w+ )", SCHEMA)}
+    return spark.read.format("bam").schema(", ".join(kinds[c] for c in columns or kinds)).option("split_bytes", split_bytes).load(path)
 
 
 def bam_header(path: str) -> str:
     path = list_files(path)[0][0]
-    system, place = _open(path)
+    system, place = filesystem(path)
     with system.open_input_file(place) as f:
         return read_header(f, f.size())[0]
 
 
-def write_bam(reads, path: str, header: str, order: str | None = "ord") -> None:
-    """Writes reads in input order, part by part."""
+def write_bam(reads, path: str, header: str, order: str | None = "ord", single: bool = False, append: bool = False) -> None:
+    """Writes reads in input order, part by part in a folder; ``single`` makes one file. What is there is replaced, unless parts are to be added (``append``)."""
+    if single and append:
+        raise ValueError("reads are added to a folder of parts, not to one file")
     register(reads.sparkSession)
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")][:12]
     ordered = reads.orderBy(order) if order else reads
-    ordered.select(*names).write.format("bam").mode("append").option("header", header).save(path)
+    ordered.select(*names).write.format("bam").mode("append" if append else "overwrite").option("header", header).option("single", str(single).lower()).save(path)

@@ -11,10 +11,12 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
     Text before the first header, and contigs without a sequence, are left out."""
     raw = spark.read.option("lineSep", "\n>").text(path).withColumn("file", F.col("_metadata.file_path")).withColumn("block", F.col("_metadata.file_block_start")).withColumn("ord", F.monotonically_increasing_id())
-    # Only the first record of a file keeps its mark; anything else that begins without one there is no contig.
-    at_start = (F.col("ord").bitwiseAND((1 << 33) - 1) == 0) & (F.col("block") == 0)
-    text = F.when(F.startswith("value", F.lit(">")), F.substring("value", 2, (1 << 31) - 2)).when(at_start, F.lit(None)).otherwise(F.col("value"))
-    rows = raw.withColumn("value", text).filter(F.col("value").isNotNull())
+    # Only a file's first record keeps its mark; if it has none, it is text before the first header. Small files share a
+    # task, so a file's first record is found by its number, not by its place in the task.
+    marked = F.startswith("value", F.lit(">"))
+    first = raw.filter(F.col("block") == 0).groupBy("file").agg(F.min_by(F.struct("ord", (~marked).alias("bare")), "ord").alias("f")).filter("f.bare").select(F.col("f.ord").alias("ord"))
+    text = F.when(marked, F.substring("value", 2, (1 << 31) - 2)).otherwise(F.col("value"))
+    rows = raw.join(F.broadcast(first), "ord", "left_anti").withColumn("value", text)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     rows = rows.select(F.get(F.split(F.trim(head), r"\s+"), F.lit(0)).alias("name"), F.regexp_replace(F.col("value").substr(F.length(head) + 1, F.length("value")), r"\s", "").alias("seq"), "ord")
     return rows.filter((F.col("name") != "") & (F.length("seq") > 0))

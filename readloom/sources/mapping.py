@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,16 @@ from pyspark.sql import functions as F
 from readloom.functions.hashing import ACCESSION
 from readloom.operators import refget
 from readloom.sources.fasta import read_fasta
+from readloom.sources.files import filesystem
 
 META = "struct<genome:string,generated:string,total_sequences:int,total_mappings:int,ambiguous_bases_masked:boolean,description:string,source_genomes:array<string>,source_files:array<string>>"
 
 
 def _parsed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    rows = spark.read.text(paths, wholetext=True)
-    order = F.lit(0)
-    if not isinstance(paths, str):
-        tails = F.array(*[F.lit(p.rsplit("/", 1)[-1]) for p in paths])
-        order = F.array_position(tails, F.element_at(F.split("_metadata.file_path", "/"), -1)) - 1
-    return rows.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), order.cast("int").alias("file_ord"), F.from_json("value", f"metadata {META}, refget_mapping map<string,string>").alias("j"))
+    """A row for each file, in the order of ``paths``, whatever the files are called."""
+    every = [paths] if isinstance(paths, str) else paths
+    rows = reduce(DataFrame.unionByName, [spark.read.text(p, wholetext=True).select("value", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.lit(k).alias("file_ord")) for k, p in enumerate(every)])
+    return rows.select("file", "file_ord", F.from_json("value", f"metadata {META}, refget_mapping map<string,string>").alias("j"))
 
 
 def read_mapping(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -48,9 +48,7 @@ def to_json(mapping: DataFrame, genome: str, masked: bool, description: str = "R
 
 
 def write_text(path: str, text: str) -> None:
-    from pyarrow import fs
-
-    system, place = fs.FileSystem.from_uri(path if re.match(r"\w+:", path) else f"file://{path}")
+    system, place = filesystem(path)
     with system.open_output_stream(place) as f:
         f.write(text.encode())
 

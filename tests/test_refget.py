@@ -74,3 +74,25 @@ def test_malformed(spark):
     good = "SQ.aKF498dAxcJAqme6QYQ7EZ07-fiw8Kw2"
     rows = spark.createDataFrame([("a", good), ("b", f"ga4gh:{good}"), ("c", "SQ.short"), ("d", None), ("e", "chr1")], "name string, refget_id string")
     assert {r.name for r in mapping.malformed(rows).collect()} == {"c", "d", "e"}
+
+
+@pytest.mark.parametrize("order", [(0, 1), (1, 0)])
+def test_files_of_one_name_keep_their_order(spark, tmp_path, order):
+    for k in (0, 1):
+        (tmp_path / f"d{k}").mkdir()
+        (tmp_path / f"d{k}" / "m.json").write_text(texts(f"genome{k}", {"chr1": f"SQ.{k}", f"chr{k + 5}": f"SQ.own{k}"}))
+    paths = [str(tmp_path / f"d{k}" / "m.json") for k in order]
+    got = dict(mapping.merge(spark, paths, str(tmp_path / "out.json"), "merged").collect())
+    assert got["chr1"] == f"SQ.{order[0]}" and got["chr5"] == "SQ.own0" and got["chr6"] == "SQ.own1"
+    meta = json.loads((tmp_path / "out.json").read_text())["metadata"]
+    assert meta["source_genomes"] == [f"genome{k}" for k in order] and meta["source_files"] == ["m.json", "m.json"]
+
+
+def test_text_before_a_header_is_no_contig_in_any_file(spark, tmp_path):
+    from readloom.sources import fasta
+
+    for k in range(6):
+        (tmp_path / f"g{k}.fa").write_text(("" if k % 2 else f"junk{k}\nACGT\n") + f">c{k} more\nAC\nGT\n>d{k}\nGG\n")
+    assert sorted((r.name, r.seq) for r in fasta.read_fasta(spark, str(tmp_path)).collect()) == sorted([(f"c{k}", "ACGT") for k in range(6)] + [(f"d{k}", "GG") for k in range(6)])
+    (tmp_path / "only.txt").write_text("no header at all\n")
+    assert fasta.read_fasta(spark, str(tmp_path / "only.txt")).collect() == []

@@ -172,3 +172,52 @@ def test_sites(spark):
     e = spark.createDataFrame([("chr1", 0, "+", 10), ("chr1", 16, "-", 10)], "rname string, flag int, s string, pos long").withColumn("cigar", F.lit("5M5N5M"))
     s = tags.with_structure(e)
     assert [r.site for r in sites.ends(s, True).collect()] == [10, 24] and [r.site for r in sites.ends(s, False).collect()] == [24, 10]
+
+
+def test_one_bam_of_many_tasks(spark, tmp_path):
+    reads, path = random_bam(spark, 2000), tmp_path / "one.bam"
+    for _ in range(2):  # the second replaces the first
+        bam.write_bam(reads.repartition(5), str(path), HEADER, single=True)
+    assert path.is_file() and [x.name for x in tmp_path.iterdir()] == ["one.bam"]
+    data, at, blocks = path.read_bytes(), 0, 0
+    while at < len(data):
+        at, blocks = at + bam.block_size(data[at:]), blocks + 1
+    assert blocks > 5 and data.endswith(bam._EOF) and data.count(bam._EOF) == 1
+    for split in (1 << 30, 30_000):
+        assert [r.qname for r in bam.read_bam(spark, str(path), split).orderBy("ord").collect()] == [f"read{k:06d}" for k in range(2000)]
+    bam.write_bam(reads.limit(0), str(path), HEADER, single=True)
+    assert bam.read_bam(spark, str(path)).count() == 0 and bam.bam_header(str(path)).splitlines() == HEADER.splitlines()
+
+
+def test_bam_parts_are_added_or_replaced(spark, tmp_path):
+    reads, path = random_bam(spark, 300), str(tmp_path / "x.bam")
+    bam.write_bam(reads.filter("ord < 100").repartition(2), path, HEADER)
+    bam.write_bam(reads.filter("ord >= 100").repartition(2), path, HEADER, append=True)
+    assert [r.qname for r in bam.read_bam(spark, path).orderBy("ord").collect()] == [f"read{k:06d}" for k in range(300)]
+    bam.write_bam(reads.filter("ord < 50"), path, HEADER)
+    assert bam.read_bam(spark, path).count() == 50
+
+
+def test_bam_columns(spark, tmp_path):
+    reads, path = random_bam(spark, 200), str(tmp_path / "x.bam")
+    bam.write_bam(reads, path, HEADER)
+    some = ["tags", "pos", "cigar"]
+    got = bam.read_bam(spark, path, columns=some)
+    assert got.columns == some and sorted(map(str, got.collect())) == sorted(map(str, bam.read_bam(spark, path).select(some).collect()))
+    assert "seq" not in bam.decode_record(b"\0" * 32, [("chr1", 9)], frozenset(["pos"]))
+
+
+def test_sites_without_a_broadcast_and_large_mappings(spark, monkeypatch):
+    from readloom.operators import decode, sites
+
+    reads = spark.createDataFrame([("chr1", "+", k % 700, k) for k in range(500)], "rname string, strand string, site long, k int")
+    known = spark.createDataFrame([("chr1", "+", 5), ("chr1", "+", 6), ("chr1", "+", 600)], "rname string, strand string, at long")
+    want = sorted(map(tuple, sites.near_sites(reads, known).collect()))
+    names = synth.mapping(spark)
+    tagged = tags.tag_reads(spark.createDataFrame([("a", 0, f"chr{k}", 5, "10M5N5M") for k in range(1, 25)], "qname string, flag int, rname string, pos long, cigar string"), names).select("rname", "xb", "xs")
+    decoded = sorted(map(str, decode.decode_tags(tagged, names).collect()))
+    monkeypatch.setattr(sites, "BROADCAST_BINS", 0)
+    monkeypatch.setattr(decode, "BROADCAST_NAMES", 0)
+    monkeypatch.setattr(tags, "BROADCAST_NAMES", 0)
+    assert sorted(map(tuple, sites.near_sites(reads, known).collect())) == want and sum(x[-1] for x in want) > 100
+    assert sorted(map(str, decode.decode_tags(tagged, names).collect())) == decoded

@@ -179,3 +179,34 @@ def test_plan_has_no_shuffle_and_one_walk(spark, names):
     optimized = out._jdf.queryExecution().optimizedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Python" not in plan
     assert optimized.count("regexp_extract_all") == 1
+
+
+def test_folds_over_blocks_are_plain_folds(spark, monkeypatch):
+    from readloom.functions import cigar, folds, md
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        n = rng.choice([0, 1, 5, 63, 64, 65, 128, 200])
+        c = "".join(f"{rng.randint(1, 9)}{rng.choice('MMMIDNS=XHP')}" for _ in range(n))
+        m = "".join(rng.choice([str(rng.randint(0, 9)), "A", "^GT", "c"]) for _ in range(n))
+        rows.append((k, c if k % 9 else None, rng.randint(1, 99), "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 900))), m if k % 7 else None))
+    d = spark.createDataFrame(rows, "k int, cigar string, pos long, seq string, md string")
+
+    def walked():
+        ops = cigar.operations(F.col("cigar"))
+        values = {"e": cigar.exons(F.col("pos"), ops), "s": md.segments(ops, F.col("pos")), "m": md.md_events(F.col("md")), "v": md.candidates(ops, F.col("pos"), F.col("seq"), F.col("md"))}
+        return sorted(map(str, d.select("k", *[v.alias(n) for n, v in values.items()]).collect()))
+
+    monkeypatch.setattr(folds.emitting, "__defaults__", (1 << 30,))
+    plain = walked()
+    for block in (1, 2, 64):
+        monkeypatch.setattr(folds.emitting, "__defaults__", (block,))
+        assert walked() == plain
+
+
+def test_exons_are_sorted_by_start(spark):
+    from readloom.functions import cigar
+
+    rows = spark.createDataFrame([([(9, 12), (1, 3), (5, 7)],), ([],), (None,)], "e array<struct<start:bigint,end:bigint>>")
+    assert [r.s and [tuple(x) for x in r.s] for r in rows.select(cigar.sort_exons(F.col("e")).alias("s")).collect()] == [[(1, 3), (5, 7), (9, 12)], [], None]
