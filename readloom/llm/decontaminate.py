@@ -6,8 +6,9 @@ window is hit. Occurrences are found by a rolling hash over vocabulary numbers a
 so a hash collision never makes a hit.
 
 Scale: documents are scanned in place (no shuffle). The benchmark reaches the workers in blocks of at most
-``block_words`` words; a benchmark beyond one block is applied block by block over the whole documents, the state
-so far written to the shared folder between blocks, so neither the broadcast nor a worker grows with the benchmark.
+``block_words`` words. A benchmark beyond one block is applied block by block over the whole documents: of each block
+only what it hits is written to the shared folder, one row a text by the text's MD5, and brought back to the documents
+by one join at the end. So neither the broadcast nor a worker grows with the benchmark, and no copy of the documents is made.
 
 Defined cases: a null or wordless text has no words and no hits. A null or wordless item has no windows. An item
 with a null id marks words as hit but is in no list of items; rows with equal item ids are one item. Repeated
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ BLOCK_WORDS = 200_000
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _STATE = "struct<hits:array<struct<start:int,end:int>>,items:array<string>,n_words:bigint>"
+_FOUND = "key string, hits array<struct<start:int,end:int>>, items array<string>"
+_FOUND_ARROW = pa.schema([("key", pa.string()), ("hits", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.string()))])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -155,27 +159,45 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     """docs with one more struct column, whose name is also returned: hits (word stretches), items, n_words."""
     spark, state = docs.sparkSession, fresh(docs, "decontamination")
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].cast("string").alias("text"))
-    out = docs.withColumn(state, F.lit(None).cast(_STATE))
-    schema, before = out.schema, None
-    for block in blocks(items, n, block_words):
-        if before is not None:
-            out = materialise(out, "decontaminate")
-            before.unpersist()
-        before = spark.sparkContext.broadcast(block)
-        out = map_slices(out, _step(before, text_col, state), schema, text_col)
-    return out, state
+    every = blocks(items, n, block_words)
+    first, second = next(every), next(every, None)
+    if second is None:
+        out = docs.withColumn(state, F.lit(None).cast(_STATE))
+        return map_slices(out, _step(spark.sparkContext.broadcast(first), text_col, state), out.schema, text_col), state
+    texts, found = docs.select(F.md5(docs[text_col].cast("string").cast("binary")).alias("key"), docs[text_col].cast("string").alias("text")), None
+    for block in chain((first, second), every):
+        shared = spark.sparkContext.broadcast(block)
+        # Copies of one text meet in their tasks first.
+        own = materialise(map_slices(texts, _found(shared), _FOUND).dropDuplicates(["key"]), "decontaminate")
+        shared.unpersist()
+        found = own if found is None else found.unionByName(own)
+    key, hits = fresh(docs, "decontamination_key"), fresh(docs, "decontamination_hits")
+    # A text has a row for each block at most. Shuffled right before the join, so that a text with very many copies is dealt to several tasks.
+    whole = found.groupBy(F.col("key").alias(key)).agg(F.struct(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).alias(hits)).repartition(key)
+    out = docs.withColumn(key, F.md5(docs[text_col].cast("string").cast("binary"))).join(whole, key, "left")
+    out = out.select(*[out[f"`{c}`"] for c in docs.columns], F.when(F.col(hits).isNotNull(), F.struct(F.col(hits)["hits"].alias("hits"), F.col(hits)["items"].alias("items"), F.lit(0).cast("long").alias("n_words"))).cast(_STATE).alias(state))
+    return map_slices(out, _step(None, text_col, state), out.schema, text_col), state
+
+
+def _found(block):
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [{"key": key, "hits": [{"start": a, "end": b} for a, b in hits], "items": sorted(items)} for key, (_, hits, items) in zip(batch.column(0).to_pylist(), block.value.scan(batch.column(1).to_pylist())) if hits]
+        return pa.RecordBatch.from_pylist(rows, _FOUND_ARROW)
+
+    return step
 
 
 def _step(block, text_col: str, state: str):
+    """Fills in the state: from one block, or from what is there already."""
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, own = batch.schema.get_field_index(text_col), batch.schema.get_field_index(state)
-        earlier = batch.column(own).to_pylist()
-        rows = []
-        for (count, hits, items), was in zip(block.value.scan(batch.column(at).to_pylist()), earlier):
-            if was:
-                hits = merged(hits + [(x["start"], x["end"]) for x in was["hits"]])
-                items = items | set(was["items"])
-            rows.append({"hits": [{"start": a, "end": b} for a, b in hits], "items": sorted(items), "n_words": count})
+        texts = batch.column(at).to_pylist()
+        if block is None:
+            found = [(len(words(t)), merged([(x["start"], x["end"]) for x in was["hits"]]) if was else [], was["items"] if was else []) for t, was in zip(texts, batch.column(own).to_pylist())]
+        else:
+            found = block.value.scan(texts)
+        rows = [{"hits": [{"start": a, "end": b} for a, b in hits], "items": sorted(items), "n_words": count} for count, hits, items in found]
         return batch.set_column(own, batch.schema.field(own), pa.array(rows, batch.schema.field(own).type))
 
     return step

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import id_text, ship, slices, table
 
-BINS, LOW, LEVELS, HEAD, SAMPLED = 128, 2, 40, 64, 60
+BINS, LOW, LEVELS = 128, 2, 40
+#: Characters of a text that the order is cut at, rows of the sample for each range, most characters of a range (about).
+HEAD, SAMPLED, PART = 64, 40, 1 << 29
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_P, k + 1, 1 << 64) for k in range(64)], dtype=np.uint64)
 
@@ -164,12 +166,13 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def ranged(docs: DataFrame, parts: int) -> DataFrame:
+def ranged(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows (part, doc_id, text, tail), partitioned by part and in order inside; ids fall, nulls last. A part's tail is the next part's first text."""
     # Text that sorts as the rows do: the id from the top, then the text's head.
     order = F.when(F.col("doc_id").isNull(), "G").otherwise(F.lpad(F.hex(F.bitwise_not("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     rows = docs.withColumn("o", F.concat(order, F.substring("text", 1, HEAD)))
-    first, n = rows.agg(F.min("o"), F.count("*")).first()
+    first, n, size = rows.agg(F.min("o"), F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    parts = parts or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // PART)
     share = min(1.0, float(SAMPLED) * parts / max(1, n))
     drawn = rows.filter(F.xxhash64("o").bitwiseAND(F.lit((1 << 53) - 1)) < share * float(1 << 53)).groupBy("o").agg((F.sum(F.length("text")) + F.count("*")).alias("size")).collect()
     cuts = _cuts(sorted((r.o, r.size) for r in drawn), parts, first)
@@ -213,7 +216,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ship(spark)
     rows = id_text(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = ranged(rows, parts).select("part", "doc_id", "text", "tail")
 
     def finish(held: list, following: str, following_print: str) -> pa.RecordBatch:

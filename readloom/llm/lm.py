@@ -5,6 +5,8 @@ the training tokens. ``score`` is the log10 of the marginal probability of the t
 into pieces of an existing vocabulary counts, summed by the forward recursion in log space. The vocabulary's scores
 weight the segmentations of the training words; the expected uses of each piece in them, added to ``PRIOR`` pseudo
 uses spread by those scores, give the piece probabilities that texts are scored with. The end is a piece of its own.
+White space and case A-Z are not scored: the probability is that of the sequence of lower-case words. Of a vocabulary
+file of merge ranks the scores are log probabilities by Zipf's law (see ``pieces``).
 
 Scale: words are counted by partial aggregation over all documents, held-out ones with count 0, so the table of words
 grows with the corpus and is never gathered in one place. Words that make up a ``1 / HOT``-th of all training tokens
@@ -119,8 +121,8 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, learn, id_col: str = "doc_id
     limit = max(2, math.ceil(n / hot))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each document one row without a word, and one for each of its words that isn't common."""
-        get = shared.value.get
+        """For each document one row for all its common words, and one for each of the others."""
+        get, number = shared.value.get, 0
         for batch in batches:
             for part in slices(batch, "text"):
                 out: list[list] = [[], [], [], [], [], [], []]
@@ -138,14 +140,15 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, learn, id_col: str = "doc_id
                         else:
                             for column, x in zip(out, (doc_id, h, w, k, 0, 0.0, 0.0)):
                                 column.append(x)
-                    for column, x in zip(out, (doc_id, h, None, tokens, known, base, p)):
+                    # No word begins with a blank, so this row meets none in the table; numbered, so that no place of the shuffle gets very many.
+                    number += 1
+                    for column, x in zip(out, (doc_id, h, b" %d" % number, tokens, known, base, p)):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["doc_id", "h", "word", "k", "known", "base", "p"])
 
     parts = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(split, "doc_id bigint, h bigint, word binary, k bigint, known bigint, base double, p double")
     rare = lexicon.filter(F.col("c") < limit).select("word", "c", F.col("p").alias("each"))
-    # Rows without a word meet no row of the table; they get a place of their own in the shuffle by document.
-    joined = parts.withColumn("word", F.coalesce("word", F.concat(F.lit(b" "), F.col("h").cast("string").cast("binary")))).join(rare, "word", "left")
+    joined = parts.join(rare, "word", "left")
     whole = F.col("c").isNull()
     shares = joined.select(
         "doc_id", "h",

@@ -62,3 +62,11 @@ def test_query_is_its_sql(spark, sf):
     from tests.oracle import compare
 
     assert compare(D.query(spark, f"/root/testdata/{sf}"), D.SQL, f"/root/testdata/{sf}") > 0
+
+
+def test_blocks_drop_and_remove_like_one(spark):
+    docs, items = spark.createDataFrame(DOCS * 3, SCHEMA), spark.createDataFrame(ITEMS, "item_id long, text string")
+    for function in (D.drop_documents, D.remove_spans):
+        one, many = function(docs, items), function(docs, items, block_words=21)
+        assert one.schema == many.schema and sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    assert D.report(docs.limit(0), items, block_words=21).collect() == []

@@ -107,3 +107,9 @@ def test_empty(spark):
     assert M.scored(docs.limit(0), toy(), F.lit(True)).collect() == []
     none = M.scored(docs, toy(), F.lit(False)).collect()
     assert len(none) == len(ROWS) and {(r.n_known, r.train_tokens) for r in none} == {(0, 0)} and all(math.isfinite(r.score) for r in none)
+
+
+def test_many_null_ids_and_texts_of_one_kind(spark):
+    docs = spark.createDataFrame([(None, None)] * 60 + [(1, None)] * 20 + [(2, "same words again")] * 40 + [(3, "Other words")], "doc_id long, text string")
+    out = M.scored(docs, M.load(), F.lit(True)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_tokens) for r in out if r.doc_id != 3) == sorted([(True, None, 1)] * 60 + [(False, 1, 1)] * 20 + [(False, 2, 4)] * 40) and len({r.score for r in out if r.doc_id == 2}) == 1
