@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 ACCESSION = r"^(ga4gh:)?SQ\.[0-9A-Za-z_-]{32}$"
 
 
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def upper(seq: Column) -> Column:
+    """a to z in upper case; sequences are ASCII, and any other character stays the one that it is."""
+    return F.translate(seq, _LOWER, _UPPER)
+
+
 def sha512t24u(value: Column) -> Column:
     """base64url of the first 24 bytes of SHA-512: 32 characters."""
     return F.translate(F.base64(F.unhex(F.substring(F.sha2(value.cast("binary"), 512), 1, 48))), "+/", "-_")
@@ -16,16 +24,16 @@ def sha512t24u(value: Column) -> Column:
 
 def mask_ambiguous(seq: Column, keep: bool = False) -> Column:
     """Upper case, and N for all but A, C, G, T and N unless ``keep``."""
-    return F.upper(seq) if keep else F.regexp_replace(F.upper(seq), "[^ACGTN]", "N")
+    return upper(seq) if keep else F.regexp_replace(upper(seq), "[^ACGTN]", "N")
 
 
 def ambiguous_count(seq: Column) -> Column:
-    return F.length(F.regexp_replace(F.upper(seq), "[ACGTN]", "")).cast("long")
+    return F.length(F.regexp_replace(upper(seq), "[ACGTN]", "")).cast("long")
 
 
 def normalize_sequence(seq: Column, keep: bool = False) -> Column:
     """Upper case without white space; an error for anything but IUPAC codes; masked unless ``keep``."""
-    bare = F.regexp_replace(F.upper(seq), r"\s", "")
+    bare = F.regexp_replace(upper(seq), r"\s", "")
     wrong = F.raise_error(F.concat(F.lit("not a nucleotide sequence: "), F.substring(F.regexp_replace(bare, "[ACGTURYKMSWBDHVN]", ""), 1, 20)))
     return F.when(bare.rlike("[^ACGTURYKMSWBDHVN]"), wrong.cast("string")).otherwise(mask_ambiguous(bare, keep))
 

@@ -55,7 +55,7 @@ def merge(mappings: DataFrame) -> DataFrame:
     return rows.groupBy("name").agg(F.max_by("refget_id", "seen").alias("refget_id"))
 
 
-def merged_metadata(metadata: DataFrame) -> DataFrame:
-    """One row of rows (genome, generated, total_sequences, total_mappings, ambiguous_bases_masked, file, file_ord)."""
+def merged_metadata(metadata: DataFrame, *by: str) -> DataFrame:
+    """One row (for each value of ``by``) of rows (genome, generated, total_sequences, total_mappings, ambiguous_bases_masked, file, file_ord)."""
     in_order = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("file_ord", c))), lambda x: x[c])
-    return metadata.agg(F.max("total_sequences").alias("total_sequences"), F.bool_and(F.coalesce("ambiguous_bases_masked", F.lit(True))).alias("ambiguous_bases_masked"), in_order("genome").alias("source_genomes"), in_order("file").alias("source_files"))
+    return metadata.groupBy(*by).agg(F.max("total_sequences").alias("total_sequences"), F.bool_and(F.coalesce("ambiguous_bases_masked", F.lit(True))).alias("ambiguous_bases_masked"), in_order("genome").alias("source_genomes"), in_order("file").alias("source_files"))

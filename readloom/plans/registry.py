@@ -11,9 +11,9 @@ from readloom.config import TagConfig
 from readloom.functions import bins, cigar, md
 from readloom.functions.hashing import ambiguous_count, mask_ambiguous, normalize_substitution
 from readloom.operators import decode, reference, refget, sites, stats, tags
-from readloom.plans import synth
+from readloom.plans import synth, vectors
 from readloom.plans.synth import mapping, reads_from_events, reads_from_orders, reads_sql, table
-from readloom.sources.sam import parse_lines
+from readloom.sources.sam import parse_lines, to_line
 from readloom.streaming.tagging import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,13 +208,16 @@ def bogus_alias(spark, sf_dir):
 
 
 # G2, D6, D5 with texts in the place of sequences
-@query("mask_counts", "SELECT doc_id, length(text) AS n_all, length(regexp_replace(upper(text), '[ACGTN]', '', 'g')) AS n_ambiguous, length(regexp_replace(regexp_replace(upper(text), '[^ACGTN]', 'N', 'g'), '[^N]', '', 'g')) AS n_masked FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
+_UPPER_SQL = "translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query("mask_counts", f"SELECT doc_id, length(text) AS n_all, length(regexp_replace({_UPPER_SQL}, '[ACGTN]', '', 'g')) AS n_ambiguous, length(regexp_replace(regexp_replace({_UPPER_SQL}, '[^ACGTN]', 'N', 'g'), '[^N]', '', 'g')) AS n_masked FROM documents")
 def mask_counts(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").filter(t.rlike("^[\\x00-\\x7F]*$")).select("doc_id", F.length(t).cast("long").alias("n_all"), ambiguous_count(t).alias("n_ambiguous"), F.length(F.regexp_replace(mask_ambiguous(t), "[^N]", "")).cast("long").alias("n_masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(t).cast("long").alias("n_all"), ambiguous_count(t).alias("n_ambiguous"), F.length(F.regexp_replace(mask_ambiguous(t), "[^N]", "")).cast("long").alias("n_masked"))
 
 
-# The same counts over all documents. No SQL: Spark and DuckDB disagree on upper() beyond ASCII.
+# The same counts by the plain rule, without the library's functions.
 @query("mask_counts_all")
 def mask_counts_all(spark, sf_dir):
     t = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -251,13 +254,14 @@ def variant_candidates(spark, sf_dir):
 
 
 def known_reads(spark, sf_dir):
-    """Reads on chromosomes with an accession: the others may have no variants."""
-    return tags.tag_reads(reads_from_orders(spark, sf_dir).filter("rname <> 'chr19'"), mapping(spark), variants=True)
+    """All reads, with variants: by a mapping that knows chr19 as well, as a read with variants on an unknown sequence is an error."""
+    known = mapping(spark).union(spark.sql(f"SELECT 'chr19' AS name, 'SQ.{synth.digest('synthetic chromosome 19')}' AS refget_id"))
+    return tags.tag_reads(reads_from_orders(spark, sf_dir), known, variants=True)
 
 
-@query("variant_counts", reads_sql(_SNV_SQL + """, k AS (SELECT cand.* FROM cand JOIN reads USING (ord) WHERE rname <> 'chr19')
+@query("variant_counts", reads_sql(_SNV_SQL + """
 SELECT count(*) AS variant_candidates, count(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 1 END) AS variants_emitted, count(*) - count(CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN 1 END) AS variants_skipped,
-  count(DISTINCT CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN ord END) AS reads_with_variants FROM k"""))
+  count(DISTINCT CASE WHEN length(ref) = 1 AND length(alt) = 1 THEN ord END) AS reads_with_variants FROM cand"""))
 def variant_counts(spark, sf_dir):
     return stats.tag_stats(known_reads(spark, sf_dir), None).select("variant_candidates", "variants_emitted", "variants_skipped", "reads_with_variants")
 
@@ -378,4 +382,65 @@ def tags_hashed(spark, sf_dir):
 
 @query("vrs_ids")
 def vrs_ids(spark, sf_dir):
-    return known_reads(spark, sf_dir).select("ord", "xv", "variant_emitted_count")
+    return known_reads(spark, sf_dir).select("ord", *tags.TAGS, "variant_emitted_count")
+
+
+# Identifiers into the map of tags; one of the same name is replaced, the others stay
+@query("tag_upsert", reads_sql("""SELECT r.ord, 'NM:i:' || (r.ord % 9) || coalesce(';XB:Z:' || chr8 || pm || '.' || lower(to_hex(left_)) || '.' || lower(to_hex(right_)), '')
+  || ';XS:' || CASE WHEN t.ord IS NULL THEN 'A:+' ELSE 'Z:' || coalesce(chr8 || pm || '.' || junction_hex, 'single') END AS tags FROM reads r LEFT JOIN tagged t ON r.ord = t.ord"""))
+def tag_upsert(spark, sf_dir):
+    entry_ = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"))
+    own = F.create_map(F.lit("XS"), entry_("A", F.lit("+")), F.lit("NM"), entry_("i", F.col("ord") % 9))
+    reads = reads_from_orders(spark, sf_dir).withColumn("tags", own)
+    out = tags.set_tags(tags.with_serials(tags.with_structure(reads, mapping(spark))), ("xb", "xs"))
+    return out.select("ord", F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws(":", e["key"], e["value"]["type"], e["value"]["value"])), ";").alias("tags"))
+
+
+# E5: metadata of merged mappings, in the order of the files
+@query("merged_metadata", """SELECT s_nationkey, max(total) AS total_sequences, bool_and(coalesce(masked, true)) AS ambiguous_bases_masked, string_agg('g' || s_suppkey, ',' ORDER BY s_suppkey) AS source_genomes, string_agg('f' || (s_suppkey % 7), ',' ORDER BY s_suppkey) AS source_files
+FROM (SELECT s_nationkey, s_suppkey, CAST(s_suppkey * 3 % 11 AS INTEGER) AS total, CASE s_suppkey % 4 WHEN 1 THEN false WHEN 2 THEN NULL ELSE true END AS masked FROM supplier) GROUP BY s_nationkey""")
+def merged_metadata(spark, sf_dir):
+    k = F.col("s_suppkey")
+    masked = F.when(k % 4 == 1, False).when(k % 4 == 2, None).otherwise(True)
+    files = table(spark, sf_dir, "supplier").select("s_nationkey", F.concat(F.lit("g"), k.cast("string")).alias("genome"), (k * 3 % 11).cast("int").alias("total_sequences"), masked.alias("ambiguous_bases_masked"), F.concat(F.lit("f"), (k % 7).cast("string")).alias("file"), k.alias("file_ord"))
+    out = refget.merged_metadata(files, "s_nationkey")
+    return out.select("s_nationkey", "total_sequences", "ambiguous_bases_masked", F.array_join("source_genomes", ",").alias("source_genomes"), F.array_join("source_files", ",").alias("source_files"))
+
+
+# exons that come in any order
+@query("sorted_exons", """SELECT l_orderkey AS ord, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i, CAST(l_partkey AS BIGINT) AS "start" FROM lineitem""")
+def sorted_exons(spark, sf_dir):
+    e = F.struct(F.col("l_partkey").cast("long").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ord")).agg(F.collect_list(e).alias("exons"))
+    return exploded(rows, cigar.sort_exons(F.col("exons")), "ord").select("ord", F.col("k").alias("i"), "x.start")
+
+
+# Secondary and supplementary alignments are left untagged on request
+@query("primary_reads", reads_sql("SELECT reads.ord, tagged.ord IS NOT NULL AND reads.ord % 3 = 0 AS tagged FROM reads LEFT JOIN tagged ON reads.ord = tagged.ord"))
+def primary_reads(spark, sf_dir):
+    k = F.col("ord")
+    reads = reads_from_orders(spark, sf_dir).withColumn("flag", F.col("flag").bitwiseOR(F.when(k % 3 == 1, 256).when(k % 3 == 2, 2048).otherwise(0)))
+    return tags.with_structure(reads, mapping(spark), TagConfig(primary_only=True)).select("ord", "tagged")
+
+
+# A4: reads as text lines
+@query("sam_lines", reads_sql("""SELECT ord, concat_ws(chr(9), qname, CAST(flag AS BIGINT), rname, pos, '0', cigar, '*', '0', '0', substr(repeat('ACGT', CAST(size // 4 + 1 AS INTEGER)), 1, CAST(size AS INTEGER)), '*', 'MD:Z:' || md) AS line FROM reads"""))
+def sam_lines(spark, sf_dir):
+    md_ = F.when(F.col("md").isNotNull(), F.create_map(F.lit("MD"), F.struct(F.lit("Z").alias("type"), F.col("md").alias("value"))))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("mapq", "int"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("qual", "string"))]
+    reads = reads_from_orders(spark, sf_dir).select("*", *none, md_.alias("tags"))
+    return reads.select("ord", to_line(reads.columns).alias("line"))
+
+
+# H3: other bin sizes than the usual ones
+_SIZES = TagConfig(position_quantum=5_000, span_quantum=500, exon_quantum=200, xc_bin_size=25, xc_position_quantum=2_000, x5x3_bin_size=50)
+
+
+@query("other_bins", reads_sql("""SELECT ord, chr32 || '|' || strand || '|' || (CAST(round_even(CAST((left_ + right_) // 2 AS DOUBLE) / 5000, 0) AS BIGINT) * 5000) || '|' || (CAST(round_even(CAST(exon_total AS DOUBLE) / 200, 0) AS BIGINT) * 200) || '|' || (CAST(round_even(CAST(right_ - left_ AS DOUBLE) / 500, 0) AS BIGINT) * 500) || coalesce('|' || junction_text, '') AS xt_serial,
+  chr32 || '|' || strand || '|' || ((left_ + right_) // 2 // 2000) || '|' || len_text AS xc_serial, chr32 || '|' || strand || '|' || ((CASE WHEN strand = '+' THEN left_ ELSE right_ END) // 50) AS x5_serial FROM tagged""", 25))
+def other_bins(spark, sf_dir):
+    return serials(spark, sf_dir, _SIZES).select("ord", "xt_serial", "xc_serial", "x5_serial")
+
+
+QUERIES |= vectors.QUERIES
+SQL |= vectors.SQL

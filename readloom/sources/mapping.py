@@ -49,6 +49,8 @@ def to_json(mapping: DataFrame, genome: str, masked: bool, description: str = "R
 
 def write_text(path: str, text: str) -> None:
     system, place = filesystem(path)
+    if "/" in place:
+        system.create_dir(place.rpartition("/")[0], recursive=True)
     with system.open_output_stream(place) as f:
         f.write(text.encode())
 

@@ -1,6 +1,6 @@
 import pytest
 
-from readloom.plans import registry
+from readloom.plans import files, registry
 from tests.oracle import compare
 
 SMALL = "/root/testdata/sf0.001"
@@ -43,3 +43,17 @@ def test_entry_functions_agree():
     import __spark_entry__ as E
 
     assert set(E.oracle_sql()) <= set(E.queries()) and set(registry.QUERIES) <= set(E.queries())
+
+
+@pytest.mark.parametrize("name", sorted(files.QUERIES))
+def test_query_through_files_is_its_sql(spark, name):
+    assert set(files.QUERIES) == set(files.SQL) and not set(files.QUERIES) & set(registry.QUERIES)
+    assert compare(files.QUERIES[name](spark, SMALL), files.SQL[name], SMALL) > 0
+
+
+def test_variant_reads_are_those_of_the_plain_rules():
+    from readloom.plans import vectors
+    from tests import spec
+
+    for pos, cigar, seq, md, subs in vectors._VARIANT_READS:
+        assert [v for v in spec.variants(pos, spec.ops(cigar), seq, md) if len(v[1]) == len(v[2]) == 1] == subs
