@@ -1,16 +1,18 @@
 """Toxicity: subword-bag embeddings, averaged over windows, into a linear softmax.
 
 A word (letters, in lower case) is the bag of itself and its character n-grams of 3 to 5 with marks at its ends, hashed
-into ``BUCKETS``; its vector is the mean of their embeddings. A window is ``WINDOW`` words in a row, one every ``STEP``
-words and one at the text's end; its vector is the mean over its words. A linear layer and a softmax give a window's
-chance of each class, and a text is as toxic as its most toxic window: so one insult counts as much in a long text as in
-a short one. Embeddings and layer are trained together by gradient descent (Adagrad) in numpy on a sample: about
-``per_class`` labelled rows of each class, drawn by a hash of id and text. Training starts with the mean of all windows
-and sharpens to the most toxic one. Misspelt words share n-grams with known ones, and so their vectors.
+into ``BUCKETS``; its vector is the mean of their embeddings. A window is ``WINDOW`` words in a row, from every word on; its
+vector is the mean over its words. A linear layer and a softmax give a window's chance of each class, and a text is as
+toxic as its most toxic window: so one insult counts as much in a long text as in a short one. With ``window=None`` the
+whole text is one window, the plain average; it finds fewer (figures in the README). Embeddings and layer are trained
+together by gradient descent (Adagrad) in numpy on a sample: about ``per_class`` labelled rows of each class, of up to
+``LONGEST`` characters, drawn by a hash of id and text; training takes every ``TRAIN_STEP``-th window. It starts with the mean of
+all windows and sharpens to the most toxic one. Misspelt words share n-grams with known ones, and so their vectors.
 
 As the layer is linear, a word adds one number to the difference of the two classes; scoring adds these up, a map
-over whole texts with a bounded memory of words and no shuffle. Only training joins the labels to their texts; the
-words of the sample are all that reaches the driver.
+over whole texts, however long, with a bounded memory of words and no shuffle. Only training joins the labels to their
+texts: the ids drawn, about twice ``per_class``, are sent to the documents, and the words of the sample, bounded in rows and
+in characters, reach the driver.
 
 Defined cases: a null text, or one without a word, gets the chance of the bias alone, never above 0.5. Labels that
 are null, or whose document is missing, are not learned from; repeated ones are learned from once. With rows of one class or none all scores are 0. Repeated rows are
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from readloom.llm.common import fold, id_text, map_slices, table
 
-BUCKETS, DIMENSION, WINDOW, STEP = 1 << 18, 4, 6, 3
-PER_CLASS, EPOCHS, CUT = 1_500, 30, 0.7
+BUCKETS, DIMENSION, WINDOW, STEP, TRAIN_STEP = 1 << 18, 4, 6, 1, 3
+PER_CLASS, LONGEST, EPOCHS, CUT = 1_500, 50_000, 30, 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -47,17 +49,17 @@ def bag(word: str) -> list[int]:
     return sorted(out)
 
 
-def windows(n: int) -> tuple[np.ndarray, int]:
+def windows(n: int, window: int | None = WINDOW, step: int = STEP) -> tuple[np.ndarray, int]:
     """Where the windows of n words start, and how many words each has."""
-    if n <= WINDOW:
+    if window is None or n <= window:
         return np.zeros(1, dtype=np.int64), n
-    at = np.arange(0, n - WINDOW + 1, STEP)
-    return (at if at[-1] == n - WINDOW else np.append(at, n - WINDOW)), WINDOW
+    at = np.arange(0, n - window + 1, step)
+    return (at if at[-1] == n - window else np.append(at, n - window)), window
 
 
 class Model:
-    def __init__(self, weights: np.ndarray | None, bias: float = 0.0):
-        self.weights, self.bias, self.known = weights, bias, {}
+    def __init__(self, weights: np.ndarray | None, bias: float = 0.0, window: int | None = WINDOW):
+        self.weights, self.bias, self.window, self.known = weights, bias, window, {}
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}}
@@ -77,9 +79,9 @@ class Model:
                         if len(self.known) >= 500_000:
                             self.known.clear()
                         self.known[w] = found[k]
-        at, size = windows(len(own))
+        size = len(own) if self.window is None else min(len(own), self.window)
         sums = np.concatenate([[0.0], np.cumsum(found)])
-        return float(1 / (1 + np.exp(-np.clip(((sums[at + size] - sums[at]) / size).max() + self.bias, -500, 500))))
+        return float(1 / (1 + np.exp(-np.clip((sums[size:] - sums[:-size]).max() / size + self.bias, -500, 500))))
 
 
 def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -91,16 +93,16 @@ def _sums(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(groups, column, n) for column in values.T], axis=1).astype(np.float32)
 
 
-def fit(texts: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2) -> Model:
+def fit(texts: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.2, window: int | None = WINDOW) -> Model:
     """texts: the words of each, one at least."""
     if len(set(labels.tolist())) < 2:
-        return Model(None)
+        return Model(None, window=window)
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in t], dtype=np.int64) for t in texts]
     bags = [bag(w) for w in number]
     size = np.array([len(b) for b in bags])
     flat, begin = np.array([b for x in bags for b in x]), np.cumsum(size) - size
-    places = [windows(len(d)) for d in docs]
+    places = [windows(len(d), window, TRAIN_STEP) for d in docs]
     rng = np.random.default_rng(3)
     table = (rng.random((BUCKETS, DIMENSION), dtype=np.float32) - 0.5) / DIMENSION
     layer, bias = (rng.random((DIMENSION, 2), dtype=np.float32) - 0.5), np.zeros(2, dtype=np.float32)
@@ -142,19 +144,19 @@ def fit(texts: list[list[str]], labels: np.ndarray, epochs: int = EPOCHS, rate:
             g = _sums(np.repeat(to_words, size[known[word]], axis=0), back, len(bucket))
             seen[0][bucket] += (g * g).mean(axis=1)
             table[bucket] -= rate * g / np.sqrt(seen[0][bucket])[:, None]
-    return Model((table @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
+    return Model((table @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0]), window)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, window: int | None = WINDOW) -> Model:
     """Learns from labelled rows; ``docs`` and ``labels`` hold those only that may be learned from."""
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null").distinct()
     counts = dict(marks.groupBy("y").count().collect())
     if len(counts) < 2:
-        return Model(None)
+        return Model(None, window=window)
     share = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
     drawn = marks.filter(F.xxhash64("doc_id", F.lit(17)).bitwiseAND(F.lit((1 << 53) - 1)) < share * float(1 << 53))
     # About per_class ids of each class, each once: small enough to go to the texts, which stay where they are.
-    texts = id_text(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
+    texts = id_text(docs, id_col, text_col).filter(F.length("text") <= LONGEST).join(F.broadcast(drawn), "doc_id").select("doc_id", "y", "text")
     # Where ids repeat, their rows are thinned out by text; equal rows are learned from once.
     thin = min(1.0, 4 * per_class / max(1, texts.count()))
     texts = texts.filter(F.xxhash64("text", F.lit(19)).bitwiseAND(F.lit((1 << 53) - 1)) < thin * float(1 << 53)).distinct()
@@ -163,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return batch.set_column(2, batch.schema.field(2), pa.array([" ".join(words(t)) for t in batch.column(2).to_pylist()], pa.string()))
 
     found = map_slices(texts, step, "doc_id bigint, y int, text string").filter("text <> ''").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("y", "ascending")])
-    return fit([x.split(" ") for x in found.column("text").to_pylist()], np.array(found.column("y").to_pylist(), dtype=int))
+    return fit([x.split(" ") for x in found.column("text").to_pylist()], np.array(found.column("y").to_pylist(), dtype=int), window=window)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
