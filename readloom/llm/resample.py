@@ -113,5 +113,8 @@ def drawn(docs: DataFrame, target_ids: DataFrame, fraction: float = FRACTION, se
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
-    return drawn(table(spark, sf_dir, "documents"), labels)
+    """Draws the share of the rows that is good among the labelled ones (``FRACTION`` where none is labelled)."""
+    labels = table(spark, sf_dir, "labels")
+    good = labels.agg(F.avg(F.when(F.col("quality").isNotNull(), (F.col("quality") == 1).cast("double")))).first()[0]
+    target = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
+    return drawn(table(spark, sf_dir, "documents"), target, FRACTION if good is None else good)

@@ -11,7 +11,9 @@ pairs are in the sample, the tokens around, the chunk between white space that t
 (``_KEY``) with what stands between, and how dense the file is in fields with digits and in signs. The field is trained
 here by full-gradient ascent in numpy on a sample: cut-outs of about ``sample_rows`` rows, tagged by the fixed patterns,
 and ``made_up`` secrets and harmless values from a seeded generator, set into contexts of the sample. File features are
-those of the whole text, in training too.
+those of the whole text, in training too. What one sampled row adds to training is bounded: ``SAMPLE_FIELDS`` cut-outs,
+``AROUND`` characters to each side of a field of at most ``SAMPLE_CHARS``. Of paths with equal scores, at a text's end
+outside goes before inside before begin, and of the ways into a token's tag begin before inside before outside.
 
 Scale: a map over whole texts without a shuffle; the model is a few hundred kilobytes. Features and path are computed
 for many texts at once; the path by max-plus products of blocks, which is exact.
@@ -260,19 +262,20 @@ def viterbi(scores: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndar
         v = [max(v[0] + x[0], v[1] + x[1], v[2] + x[2]) for x in p]
         top = max(v)
         v = [x - top for x in v]
-    now, came = np.array(into).T, np.empty((BLOCK, 3, blocks), dtype=np.int8)
+    now, came, new = np.array(into).T, np.empty((BLOCK, 3, blocks), dtype=np.int8), on == 0
     for k in range(BLOCK):
         step = []
         for j in range(3):
             b, i, o = (now[m] + moves[m, j] * on[k] for m in range(3))
             bi = np.maximum(b, i)
-            came[k, j] = np.where(o > bi, O, np.where(i > b, I, B))
+            # Into a new text, as at the end, nothing is added on the way: there outside goes before inside before begin.
+            came[k, j] = np.where((o > bi) | (new[k] & (o == bi)), O, np.where((i > b) | (new[k] & (i == b)), I, B))
             step.append(np.maximum(bi, o) + e[k, j])
         now = np.stack(step)
     whence, every = np.repeat(np.arange(3)[:, None], blocks, axis=1), np.arange(blocks)
     for k in reversed(range(BLOCK)):
         whence = came[k][whence, every]
-    tag, ends = max((B, I, O), key=lambda x: v[x]), []
+    tag, ends = max((O, I, B), key=lambda x: v[x]), []
     for w in reversed(whence.T.tolist()):
         ends.append(tag)
         tag = w[tag]

@@ -115,3 +115,12 @@ def test_path_over_blocks_is_viterbi():
 def test_texts_of_a_batch_do_not_touch_each_other(model):
     texts = ["pwd=", "QwertyUiopAsdf", None, "", "key: ", "x", "pwd: p@ss", "call 555-1234"]
     assert S.scan_all(texts, model) == [S.scan(t, model) for t in texts]
+
+
+def test_ties_go_the_same_way_in_blocks():
+    rng = np.random.default_rng(9)
+    for _ in range(20):
+        m = S.Model(rng.integers(0, 2, (S.BUCKETS, 3)).astype(float), np.where(np.arange(9).reshape(3, 3) == 7, -1e9, rng.integers(0, 2, (3, 3)).astype(float)))
+        rows = [rng.integers(0, S.BUCKETS, (n, 3)) for n in (1, 2, 3, 31, 32, 33, 5)]
+        start = np.concatenate([np.arange(len(r)) == 0 for r in rows])
+        assert S.viterbi(m.table[np.concatenate(rows)].sum(axis=1), start, np.array(m.moves)).tolist() == [t for r in rows for t in m.decode(r.tolist())]
