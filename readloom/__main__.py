@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,12 @@ def _read(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     return sam.read_sam(spark, path), "\n".join(r.line for r in sam.read_header(spark, path).orderBy("ord").collect())
 
 
+def keeps_order(reads: DataFrame) -> bool:
+    """Whether rows are still where they were read: then part after part is the order of the input, and nothing has to be sorted."""
+    plan = reads._jdf.queryExecution().executedPlan().toString()
+    return re.search(r"\bExchange (hashpartitioning|rangepartitioning|RoundRobin|SinglePartition)", plan) is None
+
+
 def _write(reads: DataFrame, path: str, header: str) -> None:
     spark, low = reads.sparkSession, path.rstrip("/").lower()
     if low.endswith(".parquet"):
@@ -31,7 +38,7 @@ def _write(reads: DataFrame, path: str, header: str) -> None:
     lines = spark.createDataFrame([(x, i) for i, x in enumerate(header.splitlines())], "line string, ord bigint")
     lines = sam.with_program(lines, " ".join(sys.argv))
     if low.endswith(".bam"):
-        bam.write_bam(reads, path, "\n".join(r.line for r in lines.orderBy("ord").collect()), single=True)
+        bam.write_bam(reads, path, "\n".join(r.line for r in lines.orderBy("ord").collect()), None if keeps_order(reads) else "ord", single=True)
     else:
         sam.write_sam(reads, path, lines)
 

@@ -253,10 +253,14 @@ def variant_candidates(spark, sf_dir):
     return rows.select("ord", "x.start", "x.ref", "x.alt")
 
 
+def known_names(spark):
+    """The mapping with chr19 in it, as a read with variants on an unknown sequence is an error."""
+    return mapping(spark).union(spark.sql(f"SELECT 'chr19' AS name, 'SQ.{synth.digest('synthetic chromosome 19')}' AS refget_id"))
+
+
 def known_reads(spark, sf_dir):
-    """All reads, with variants: by a mapping that knows chr19 as well, as a read with variants on an unknown sequence is an error."""
-    known = mapping(spark).union(spark.sql(f"SELECT 'chr19' AS name, 'SQ.{synth.digest('synthetic chromosome 19')}' AS refget_id"))
-    return tags.tag_reads(reads_from_orders(spark, sf_dir), known, variants=True)
+    """All reads, with variants."""
+    return tags.tag_reads(reads_from_orders(spark, sf_dir), known_names(spark), variants=True)
 
 
 @query("variant_counts", reads_sql(_SNV_SQL + """

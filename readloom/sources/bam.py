@@ -3,7 +3,7 @@
 BGZF blocks are inflated by zlib. A large file is cut at byte offsets; each task finds the first block from its offset
 on, and the first record in it by looking for a stretch of plausible records, so one file feeds many tasks. Only the
 columns of the schema that is asked for are decoded, and rows go to Spark as Arrow batches. Options: ``split_bytes``
-(32 MB); for writing ``header``, and ``single`` for one file in place of a folder of parts: tasks compress their records
+(32 MB); for writing ``header``, ``level`` of compression, and ``single`` for one file in place of a folder of parts: tasks compress their records
 to drafts, and as BGZF blocks can be set end to end, the driver only copies bytes. Paths are opened through pyarrow's file systems.
 """
 
@@ -30,6 +30,8 @@ _FROM_HEX = str.maketrans("0123456789abcdef", _BASES)
 _TO_HEX = {**{i: "f" for i in range(1 << 7)}, **{ord(c): f"{i:x}" for i, c in enumerate(_BASES)}, **{ord(c.lower()): f"{i:x}" for i, c in enumerate(_BASES)}}
 _QUALITY = bytes(min(q + 33, 255) for q in range(256))
 _CIGAR = re.compile(r"(\d+)([MIDNSHP=X])")
+#: Effort of compression, 1 to 9.
+LEVEL = 3
 #: Rows of an Arrow batch.
 BATCH = 4096
 _TAGS = pa.map_(pa.string(), pa.struct([("type", pa.string()), ("value", pa.string())]))
@@ -216,7 +218,7 @@ def _bin(start: int, end: int) -> int:
 
 
 def encode_record(row: dict, numbers: dict[str, int]) -> bytes:
-    """row: the fields of a read; tags as (name, {type, value})."""
+    """row: the fields of a read; tags as (name, type, value)."""
     number = lambda n: numbers[n] if n not in (None, "*") else -1
     ref = number(row["rname"])
     mate = ref if row["rnext"] == "=" else number(row["rnext"])
@@ -225,8 +227,7 @@ def encode_record(row: dict, numbers: dict[str, int]) -> bytes:
     span = sum(n for n, o in ops if o in "MDN=X") or 1
     at = (row["pos"] or 0) - 1
     tags = b""
-    for k, v in sorted(row["tags"] or (), key=lambda x: x[0]):
-        kind, value = v["type"], v["value"]
+    for k, kind, value in sorted(row["tags"] or ()):
         if kind == "i":
             tags += k.encode() + (b"i" + struct.pack("<i", int(value)) if -(1 << 31) <= int(value) < 1 << 31 else b"I" + struct.pack("<I", int(value)))
         elif kind == "f":
@@ -250,25 +251,38 @@ def encode_record(row: dict, numbers: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def deflate(data: bytes) -> bytes:
-    c = zlib.compressobj(6, zlib.DEFLATED, -15)
+def rows_of(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch as ``encode_record`` takes them; columns are turned into lists one by one."""
+    names, columns = batch.schema.names, []
+    for name, column in zip(names, batch.columns):
+        if not pa.types.is_map(column.type):
+            columns.append(column.to_pylist() if column.null_count else column.to_numpy(zero_copy_only=False).tolist())
+            continue
+        at, flat = column.offsets.to_pylist(), [x.to_numpy(zero_copy_only=False).tolist() for x in (column.keys, column.items.field("type"), column.items.field("value"))]
+        every = list(zip(*flat))
+        columns.append([every[a:b] for a, b in zip(at, at[1:])])
+    return (dict(zip(names, row)) for row in zip(*columns))
+
+
+def deflate(data: bytes, level: int = LEVEL) -> bytes:
+    c = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = c.compress(data) + c.flush()
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
 class BgzfSink:
-    def __init__(self, sink):
-        self.sink, self.held = sink, bytearray()
+    def __init__(self, sink, level: int = LEVEL):
+        self.sink, self.level, self.held = sink, level, bytearray()
 
     def write(self, data: bytes) -> None:
         self.held += data
         while len(self.held) >= 65280:
-            self.sink.write(deflate(bytes(self.held[:65280])))
+            self.sink.write(deflate(bytes(self.held[:65280]), self.level))
             del self.held[:65280]
 
     def close(self, end: bool = True) -> None:
         if self.held:
-            self.sink.write(deflate(bytes(self.held)))
+            self.sink.write(deflate(bytes(self.held), self.level))
         if end:
             self.sink.write(_EOF)
         self.sink.close()
@@ -367,6 +381,7 @@ class BamWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.header, self.overwrite = options["path"].rstrip("/"), options.get("header", ""), overwrite
+        self.level = int(options.get("level", LEVEL))
         self.single, self.job = str(options.get("single", "")).lower() == "true", f"{time.time_ns():020d}"
         self.folder = f"{self.path}.drafts-{self.job}" if self.single else self.path
 
@@ -378,11 +393,11 @@ class BamWriter(DataSourceArrowWriter):
         system, place = filesystem(self.folder)
         system.create_dir(place, recursive=True)
         draft = f"{place}/.draft-{self.job}-{task.partitionId()}-{task.taskAttemptId()}"
-        sink = BgzfSink(system.open_output_stream(draft))
+        sink = BgzfSink(system.open_output_stream(draft), self.level)
         if not self.single:
             sink.write(head)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 sink.write(encode_record(row, numbers))
         sink.close(not self.single)
         out = WriterCommitMessage()
