@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar
+from readloom.operators.joins import apart
 
 #: Names of a mapping that may be broadcast.
 BROADCAST_NAMES = 200_000
@@ -83,7 +84,7 @@ def _named(out: DataFrame, mapping: DataFrame | None) -> DataFrame:
     unknown = F.array(F.concat(F.lit("<chr_hash:"), F.col("chr8"), F.lit(">")))
     if mapping is None:
         return out.withColumn("chr_names", unknown)
-    # As many rows as the mapping has sequences: sent to the rows where that is few, else both sides are shuffled right before the join, so that AQE can deal out a frequent chromosome.
+    # As many rows as the mapping has sequences: sent to the rows where that is few, else joined so that AQE can deal out a frequent chromosome.
     names = chromosome_names(mapping).withColumnRenamed("chr8", "__chr8")
-    names = F.broadcast(names) if mapping.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else names.repartition("__chr8")
+    names = F.broadcast(names) if mapping.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else apart(names, "__chr8")
     return out.join(names, F.col("chr8") == F.col("__chr8"), "left").withColumn("chr_names", F.coalesce("names", unknown)).drop("names", "__chr8")

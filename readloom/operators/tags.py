@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from readloom.config import TagConfig
 from readloom.functions import bins, cigar, md
 from readloom.functions.hashing import ACCESSION, allele_id, sha512t24u
+from readloom.operators.joins import apart
 
 TAGS = ("xi", "xb", "xs", "xt", "xc", "x5", "x3", "xv")
 #: A mapping of at most so many names is broadcast (some 100 bytes each); a larger one is joined by shuffle.
@@ -26,8 +27,8 @@ def with_chromosome(reads: DataFrame, mapping: DataFrame | None) -> DataFrame:
         return out.withColumn("chr32", F.substring(fallback_hash(F.col("rname")), 1, 32)).withColumn("chr8", F.substring("chr32", 1, 8))
     bare = F.regexp_replace("refget_id", "^ga4gh:", "")
     side = mapping.select(F.col("name").alias("__name"), bare.alias("refget_id"), F.when(bare.startswith("SQ."), F.substring(F.split(bare, "[.]")[1], 1, 32)).alias("__hash")).dropDuplicates(["__name"])
-    # A large mapping is shuffled right before the join, as the reads are, so that AQE can deal out the reads of a frequent sequence.
-    side = F.broadcast(side) if mapping.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else side.repartition("__name")
+    # A large mapping is joined so that AQE can deal out the reads of a frequent sequence.
+    side = F.broadcast(side) if mapping.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else apart(side, "__name")
     out = reads.drop("refget_id").join(side, F.col("rname") == F.col("__name"), "left")
     return out.withColumn("chr32", F.coalesce("__hash", F.substring(fallback_hash(F.col("rname")), 1, 32))).withColumn("chr8", F.substring("chr32", 1, 8)).drop("__name", "__hash")
 
