@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import WORD_BYTES, fresh, id_text, map_slices, materialise, table
+from readloom.operators.joins import apart
 
 WINDOW = 10
 #: Words of the benchmark that one broadcast holds, about 300 bytes each in a worker.
@@ -172,9 +173,9 @@ def scanned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
         shared.unpersist()
         found = own if found is None else found.unionByName(own)
     key, hits = fresh(docs, "decontamination_key"), fresh(docs, "decontamination_hits")
-    # A text has a row for each block at most. Shuffled right before the join, so that a text with very many copies is dealt to several tasks.
-    whole = found.groupBy(F.col("key").alias(key)).agg(F.struct(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).alias(hits)).repartition(key)
-    out = docs.withColumn(key, F.md5(docs[text_col].cast("string").cast("binary"))).join(whole, key, "left")
+    # A text has a row for each block at most. This side is shuffled for the join, so that a text with very many copies is dealt to several tasks.
+    whole = found.groupBy(F.col("key").alias(key)).agg(F.struct(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).alias(hits))
+    out = docs.withColumn(key, F.md5(docs[text_col].cast("string").cast("binary"))).join(apart(whole, key), key, "left")
     out = out.select(*[out[f"`{c}`"] for c in docs.columns], F.when(F.col(hits).isNotNull(), F.struct(F.col(hits)["hits"].alias("hits"), F.col(hits)["items"].alias("items"), F.lit(0).cast("long").alias("n_words"))).cast(_STATE).alias(state))
     return map_slices(out, _step(None, text_col, state), out.schema, text_col), state
 

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.common import fresh, id_text, map_slices, materialise, new_path, remove, table
+from readloom.operators.joins import apart
 
 SHINGLE, SEED, RADIUS, BUCKET, FREQUENT = 3, 42, 2, 64, 1_000
 
@@ -97,11 +98,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = materialise(edges, name, path)
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        # Both sides of the joins are shuffled right before them, so that a centre with very many neighbours is dealt to several tasks.
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).repartition("u")
+        # The aggregated sides are shuffled for the joins, so that a centre with very many neighbours is dealt to several tasks.
+        least = apart(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.filter("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("m")).repartition("b")
-        small = large.repartition("b").join(down, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
+        down = apart(large.groupBy("b").agg(F.min("a").alias("m")), "b")
+        small = large.join(down, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("b").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         to = new_path(spark, name)
         edges = materialise(small, name, to)
         remove(spark, path)
@@ -120,7 +121,7 @@ def rooted(groups: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def classes(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(fp, component_id, n: rows of the fingerprint) for rows (doc_id, fp)."""
     named = materialise(rooted(materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "fingerprints"), bucket), "roots")
-    return named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")).repartition("root"), "root").select("fp", "component_id", "n")
+    return named.join(apart(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root"), "root").select("fp", "component_id", "n")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:

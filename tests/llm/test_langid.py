@@ -96,3 +96,44 @@ def test_ties_go_to_the_first_language_and_names_may_clash(spark):
     assert model.predict("same words")[0] == "aa" and model.predict("unlike")[0] == "aa"
     docs = spark.createDataFrame([(1, "same words", 0.5)], "doc_id long, text string, Score double")
     assert L.identified(docs, model).columns == ["doc_id", "text", "Score", "lang_pred", "score_"]
+
+
+def test_query_is_brute_force(spark):
+    """The whole query against counts, cut and sums made here one by one; every labelled row is in the sample at this size."""
+    sf, counts, prior = "/root/testdata/sf0.001", {}, {}
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    word = __import__("re").compile(r"[^\W\d_]+")
+    held = {d: zlib.crc32(str(d).encode()) % 3 == 1 for d in docs}
+    for d, r in docs.items():
+        if held[d] or r.lang is None or r.text is None:
+            continue
+        prior[r.lang] = prior.get(r.lang, 0) + 1
+        for w in word.findall(r.text.lower()):
+            p = f" {w} "
+            for e in ["0" + w, *("1" + c for c in w), *(f"{n}{p[i : i + n]}" for n in range(2, 7) for i in range(len(p) - n + 1))]:
+                counts[r.lang, e] = counts.get((r.lang, e), 0) + 1
+    totals, langs = {}, sorted(prior)
+    for (lang, e), n in counts.items():
+        totals[lang, e[0]] = totals.get((lang, e[0]), 0) + n
+    kept = {k: n for k, n in counts.items() if n >= 3}
+    top = {e for lang in langs for _, e in sorted((-n, e) for (x, e), n in kept.items() if x == lang)[: L.ENTRIES]}
+    log = {(lang, e): max(-7.0, math.log10(n / totals[lang, e[0]])) for (lang, e), n in kept.items() if e in top}
+    known = {e for _, e in log}
+    for r in L.query(spark, sf).collect():
+        own = word.findall((docs[r.doc_id].text or "").lower())
+        assert r.held_out == held[r.doc_id]
+        if not any(c.isalpha() for w in own for c in w):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        score = {x: math.log10(prior[x] / sum(prior.values())) for x in langs}
+        for w in own:
+            p, found = f" {w} ", ["0" + w] if "0" + w in known else []
+            for n in range(6, 0, -1):
+                if not found:
+                    q = p if n > 1 else w
+                    found = [e for i in range(len(q) - n + 1) if (e := f"{n}{q[i : i + n]}") in known]
+            for x in langs:
+                score[x] += sum(log.get((x, e), -7.0) for e in found) / max(1, len(found))
+        best = max(langs, key=lambda x: (score[x], -langs.index(x)))
+        chance = 1 / sum(10 ** max(-300, score[x] - score[best]) for x in langs)
+        assert r.score == pytest.approx(chance, rel=1e-6) and (r.lang_pred == best or chance < 0.51), r.doc_id

@@ -99,3 +99,18 @@ def test_rows_of_one_id_or_text_and_a_clashing_column(spark):
     assert sorted(((r.doc_id, r.text, r.Fp) for r in S.keep_one(docs).collect()), key=str) == sorted([(5, "a b c d", 1.0), (5, "w x y z v", 1.0), (7, "k l m n o p", 1.0), (None, None, 2.0)], key=str)
     assert S.near_duplicates(docs).count() == 43
     assert S.fingerprints(docs).columns == ["doc_id", "text", "Fp", "fp_"]
+
+
+def test_components_of_stars_chains_and_cycles(spark):
+    rng = random.Random(2)
+    edges = [(0, k) for k in range(1, 2000)] + [(k, k + 1) for k in range(3000, 3120)] + [(5000, 5001), (5001, 5002), (5000, 5002)] + [(-k, 7000 - k % 3) for k in range(1, 60)]
+    rng.shuffle(edges)
+    df = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.fp: r.root for r in S.components(df).collect()}
+    nodes = {x for e in edges for x in e}
+    assert all(got.get(x, x) == find(x) for x in nodes) and set(got) <= nodes
