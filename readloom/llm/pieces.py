@@ -35,7 +35,7 @@ WINDOW = 1 << 10
 #: Texts that a normaliser would change.
 _PROBES = ("\ufb01x \u2460", " a", "a  b ", "\uff21\u00a0b\tc", "A\u0301 \u1100\u1161")
 #: Pairs of pieces that a worker remembers whether they may be neighbours.
-PAIRS = 600_000
+PAIRS = 500_000
 
 
 class Vocabulary:
@@ -312,7 +312,9 @@ class Encoder:
     """Encodes texts through one stream; short stretches between blanks are remembered."""
 
     def __init__(self, vocabulary: Vocabulary, remember: int = 600_000):
-        self.v, self.stream, self.limit, self.large, self.small = vocabulary, Stream(vocabulary), max(1, remember // 2), [{}, {}], [{}, {}]
+        """remember: words and stretches in memory, a third of them words; two generations of each."""
+        self.v, self.stream = vocabulary, Stream(vocabulary)
+        self.large, self.small = ([{}, {}, max(1, remember // k)] for k in (6, 3))
 
     def _streamed(self, spelled: str, part: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text that is already spelled as the vocabulary does, and where each begins."""
@@ -368,9 +370,9 @@ class Encoder:
             out[k] = ids
         return out
 
-    def _remembered(self, parts: list[str], make, memory: list[dict[str, bytes]]) -> list[bytes]:
+    def _remembered(self, parts: list[str], make, memory: list) -> list[bytes]:
         """In two generations: the older one goes when the younger is full, so what is asked for often stays."""
-        young, old = memory
+        young, old, limit = memory
         found = list(map(young.get, parts))
         gaps = [k for k, ids in enumerate(found) if ids is None]
         new = []
@@ -380,9 +382,9 @@ class Encoder:
                 new.append(k)
         for k, ids in zip(new, make([parts[k] for k in new])):
             found[k] = ids
-        if len(young) + len(gaps) > self.limit:
-            memory[:] = {}, young
-        if len(gaps) <= self.limit:
+        if len(young) + len(gaps) > limit:
+            memory[:2] = {}, young
+        if len(gaps) <= limit:
             memory[0].update((parts[k], found[k]) for k in gaps if len(parts[k]) <= 64)
         return found
 
