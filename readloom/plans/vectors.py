@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from readloom.config import TagConfig
 from readloom.functions import hashing
 from readloom.functions.hashing import bare_accession, sha512t24u
-from readloom.operators import refget, tags
+from readloom.operators import reference, refget, tags
 from readloom.plans.synth import digest, table
 from readloom.sources.mapping import malformed
 from readloom.sources.sam import parse_lines
@@ -156,3 +156,41 @@ def golden_tags(spark, sf_dir):
     lines = table(spark, sf_dir, "nation").select("n_nationkey", text.alias("value"))
     names = spark.sql(f"SELECT * FROM VALUES ('chr1', 'ga4gh:{KNOWN}'), ('1', 'ga4gh:{KNOWN}') AS t(name, refget_id)")
     return tags.tag_reads(parse_lines(lines), names, TagConfig(primary_only=True)).select("n_nationkey", "xi", "xt", "xc", "x5", "x3", "xb", "xs")
+
+
+# MD from the reference for every operation and mixes of them, over the edge of a tile and past a contig's end
+_CONTIG = "ACGGT" * 30
+#: (position, CIGAR, SEQ)
+_MD_READS = [
+    (1, "10M", "ACGGTACGGT"), (1, "10M", "ACGTTACGGA"), (4, "3M2I4M", "GTATTCGGT"), (2, "4M3D5M", "CGGTGTACG"), (5, "2S3M5N4M2H", "TTTACACGA"), (11, "3=2X4M", "ACGACACGG"), (3, "2M1I1D3M2N3M1P2M", "GGATACCGGTAC"),
+    (60, "8M2D8M", "TACGGTACTACGGTCC"), (144, "10M", "GTACGGTACG"), (20, "5M", "*"), (30, "1D4M", "GGTA"), (6, "6M", "acgNta"),
+]
+
+
+def plain_md(pos: int, cigar: str, seq: str, contig: str = _CONTIG) -> str | None:
+    """Base by base; what reaches past the contig's end is left out."""
+    import re
+
+    if seq == "*":
+        return None
+    out, same, r, q = "", 0, pos - 1, 0
+    for n, o in [(int(n), o) for n, o in re.findall(r"(\d+)(\D)", cigar)]:
+        if o in "M=X":
+            for k in range(n):
+                if r + k < len(contig):
+                    own, ref = seq[q + k].upper(), contig[r + k]
+                    out, same = (out, same + 1) if own == ref else (f"{out}{same}{ref}", 0)
+        if o == "D":
+            out, same = f"{out}{same}^{contig[r : r + n]}", 0
+        r += n if o in "M=XDN" else 0
+        q += n if o in "M=XIS" else 0
+    return f"{out}{same}"
+
+
+@query("md_mixed", f"SELECT p_partkey AS ord, md FROM part JOIN {values([(k, plain_md(*r)) for k, r in enumerate(_MD_READS)], 't(k, md)')} ON p_partkey % {len(_MD_READS)} = k")
+def md_mixed(spark, sf_dir):
+    k = F.col("p_partkey")
+    get = lambda i: pick(k, [r[i] for r in _MD_READS])
+    reads = table(spark, sf_dir, "part").select(k.alias("ord"), F.lit(0).alias("flag"), F.concat(F.lit("c"), (k % 2).cast("string")).alias("rname"), get(0).cast("long").alias("pos"), get(1).alias("cigar"), get(2).alias("seq"))
+    contigs = spark.range(2).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"), F.repeat(F.lit("ACGGT"), F.lit(30)).alias("seq"))
+    return reference.with_md(reads, contigs, 64).select("ord", "md")
