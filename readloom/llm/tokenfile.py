@@ -40,6 +40,8 @@ from readloom.llm.common import GAP, id_text, looked_up, map_slices, materialise
 
 MAGIC, END_ID = b"RLTOKEN1", 2
 SAMPLE, STRETCH, DICTIONARY_BYTES, LEVEL = 1_000, 10_000, 64 << 10, 3
+#: Bytes of text that are encoded at once: the more, the fewer distinct words are looked up.
+TEXTS = 12 << 20
 _INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
 #: In the memory, goes before what has no blank before it.
 _BARE = "\x01"
@@ -284,7 +286,7 @@ def write(docs: DataFrame, tokenizer_json: str, folder: str | None = None, id_co
         system, place = filesystem(folder)
         draft = f"{place}/.draft-{number}-{attempt}"
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXTS):
                 if writer is None:
                     sink = system.open_output_stream(draft)
                     writer = ShardWriter(sink, shared.value, width)
