@@ -35,7 +35,7 @@ WINDOW = 1 << 10
 #: Texts that a normaliser would change.
 _PROBES = ("\ufb01x \u2460", " a", "a  b ", "\uff21\u00a0b\tc", "A\u0301 \u1100\u1161")
 #: Pairs of pieces that a worker remembers whether they may be neighbours.
-PAIRS = 500_000
+PAIRS = 400_000
 
 
 class Vocabulary:
@@ -311,7 +311,7 @@ _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 class Encoder:
     """Encodes texts through one stream; short stretches between blanks are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 400_000):
         """remember: words and stretches in memory, a third of them words; two generations of each."""
         self.v, self.stream = vocabulary, Stream(vocabulary)
         self.large, self.small = ([{}, {}, max(1, remember // k)] for k in (6, 3))

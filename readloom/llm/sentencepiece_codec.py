@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 from readloom.llm.common import fresh, id_text, map_slices, table
 from readloom.llm.pieces import Vocabulary, decode
 
+#: Bytes of text that are encoded at once, which bounds what a worker needs besides its memory of words.
+TEXTS = 2 << 20
+
+
 def load(path: str | None = None) -> Vocabulary:
     if path is None:
         import public_tokenizers
@@ -38,7 +42,7 @@ def with_ids(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", na
         found = [None if t is None else x.astype(np.int32) for t, x in zip(texts, shared.value.encoder().encode_all(texts))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.field("element", pa.int32(), False)))], names=[*batch.schema.names, name])
 
-    return map_slices(docs, step, schema, text_col)
+    return map_slices(docs, step, schema, text_col, TEXTS)
 
 
 def decoded(rows: DataFrame, vocabulary: Vocabulary, ids_col: str = "piece_ids", name: str = "decoded") -> DataFrame:
@@ -68,7 +72,7 @@ def verified(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", te
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([0 if x is None else len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(element)), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "piece_ids", "round_trip"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("round_trip", T.BooleanType())])
-    return map_slices(id_text(docs, id_col, text_col), step, schema)
+    return map_slices(id_text(docs, id_col, text_col), step, schema, limit=TEXTS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +94,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"],
         )
 
-    return map_slices(docs, step, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
+    return map_slices(docs, step, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean", limit=TEXTS)

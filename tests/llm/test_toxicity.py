@@ -43,3 +43,22 @@ def test_held_out_accuracy(spark):
     caught, wrong = sum(r.predicted for r in toxic) / len(toxic), sum(r.predicted for r in clean) / len(clean)
     assert caught > 0.75 and wrong < 0.02, (caught, wrong)
     assert all(r.predicted == (r.score >= 0.7) for r in out)
+
+
+def test_plain_average_is_an_option():
+    rng = np.random.default_rng(2)
+    clean, bad = ["kind", "words", "of", "thanks", "number", "river"], ["stupid", "fool"]
+    texts = [[str(rng.choice(clean)) for _ in range(40)] + (list(rng.choice(bad, 4)) if k % 2 else []) for k in range(80)]
+    m = X.fit(texts, np.arange(80) % 2, window=None)
+    for t in texts[:10]:
+        mean = np.mean([np.mean([m.weights[b] for b in X.bag(w)]) for w in t])
+        assert m.score(" ".join(t)) == pytest.approx(1 / (1 + np.exp(-(mean + m.bias))))
+    assert all((m.score(" ".join(t)) > 0.5) == bool(k % 2) for k, t in enumerate(texts))
+
+
+def test_every_start_of_a_window_counts():
+    m = X.Model(np.random.default_rng(4).normal(size=X.BUCKETS), 0.1)
+    own = [f"w{chr(97 + i)}" for i in range(20)]
+    value = [np.mean([m.weights[b] for b in X.bag(w)]) for w in X.words(" ".join(own))]
+    best = max(np.mean(value[i : i + X.WINDOW]) for i in range(20 - X.WINDOW + 1))
+    assert m.score(" ".join(own)) == pytest.approx(1 / (1 + np.exp(-(best + 0.1))))
