@@ -9,18 +9,38 @@ from readloom.operators.tags import TAGS
 
 
 def tag_stats(tagged: DataFrame, order: str | None = "ord", approximate: bool = False) -> DataFrame:
-    """One row: reads, tagged reads, reads and distinct values for each tag, single-exon reads, variants, and the first example of each tag."""
+    """One row: reads, tagged reads, reads and distinct values for each tag, single-exon reads, variants, and the first example of each tag.
+
+    True distinct counts take one row for each tag of a read, (number of the tag, value), counted by value and then by tag:
+    narrow rows, put together in their tasks first. ``approximate`` makes no rows."""
     own = F.col("tagged")
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    out = [F.count("*").alias("total_reads"), F.count_if(own).alias("processed_reads"), F.count_if(own & (F.size("exons") == 1)).alias("single_exon_reads")]
-    for t in (x for x in TAGS if x in tagged.columns):
-        out += [F.count(t).alias(f"tagged_{t}"), distinct(t).alias(f"unique_{t}")]
-        if order and order in tagged.columns:
-            out.append(F.min_by(t, F.when(F.col(t).isNotNull(), F.col(order))).alias(f"example_{t}"))
-    if "variant_candidate_count" in tagged.columns:
-        seen, given = F.sum("variant_candidate_count"), F.sum("variant_emitted_count")
-        out += [F.coalesce(seen, F.lit(0)).alias("variant_candidates"), F.coalesce(given, F.lit(0)).alias("variants_emitted"), F.coalesce(seen - given, F.lit(0)).alias("variants_skipped"), F.count_if(F.col("variant_emitted_count") > 0).alias("reads_with_variants")]
-    return tagged.agg(*out)
+    names, ordered = [x for x in TAGS if x in tagged.columns], bool(order) and order in tagged.columns
+    flags = {"total_reads": F.lit(True), "processed_reads": own, "single_exon_reads": own & (F.size("exons") == 1)}
+    counts = {k: F.coalesce(v, F.lit(False)).cast("int") for k, v in flags.items()}
+    called = "variant_candidate_count" in tagged.columns
+    if called:
+        seen, given = F.coalesce("variant_candidate_count", F.lit(0)), F.coalesce("variant_emitted_count", F.lit(0))
+        counts |= {"variant_candidates": seen, "variants_emitted": given, "variants_skipped": seen - given, "reads_with_variants": (given > 0).cast("int")}
+    if approximate:
+        out = [F.coalesce(F.sum(v), F.lit(0)).alias(k) for k, v in counts.items()]
+        for t in names:
+            out += [F.count(t).alias(f"tagged_{t}"), F.approx_count_distinct(t).alias(f"unique_{t}")]
+            if ordered:
+                out.append(F.min_by(t, F.when(F.col(t).isNotNull(), F.col(order))).alias(f"example_{t}"))
+        return tagged.agg(*out)
+    at = F.col(order) if ordered else F.lit(0)
+    # Tag -1 stands for the read itself.
+    each = F.array(F.struct(F.lit(-1).alias("k"), F.lit(None).cast("string").alias("v")), *[F.struct(F.lit(i).alias("k"), F.col(t).alias("v")) for i, t in enumerate(names)])
+    rows = tagged.select(at.alias("o"), *[v.alias(k) for k, v in counts.items()], F.explode(each).alias("e")).select("o", *counts, "e.k", "e.v").filter((F.col("k") < 0) | F.col("v").isNotNull())
+    values = rows.groupBy("k", "v").agg(F.count("*").alias("n"), F.min("o").alias("o"), *[F.sum(F.when(F.col("k") < 0, F.col(c))).alias(c) for c in counts])
+    by_tag = values.groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("u"), F.min_by("v", "o").alias("x"), *[F.sum(c).alias(c) for c in counts])
+    of = lambda i, c: F.max(F.when(F.col("k") == i, F.col(c)))
+    out = [F.coalesce(of(-1, c), F.lit(0)).alias(c) for c in counts]
+    for i, t in enumerate(names):
+        out += [F.coalesce(of(i, "n"), F.lit(0)).alias(f"tagged_{t}"), F.coalesce(of(i, "u"), F.lit(0)).alias(f"unique_{t}")]
+        if ordered:
+            out.append(of(i, "x").alias(f"example_{t}"))
+    return by_tag.agg(*out)
 
 
 def count_by(tagged: DataFrame, tag: str) -> DataFrame:

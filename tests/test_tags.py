@@ -210,3 +210,18 @@ def test_exons_are_sorted_by_start(spark):
 
     rows = spark.createDataFrame([([(9, 12), (1, 3), (5, 7)],), ([],), (None,)], "e array<struct<start:bigint,end:bigint>>")
     assert [r.s and [tuple(x) for x in r.s] for r in rows.select(cigar.sort_exons(F.col("e")).alias("s")).collect()] == [[(1, 3), (5, 7), (9, 12)], [], None]
+
+
+def test_statistics_count_by_hand(spark, names):
+    rows = spark.createDataFrame([("a", 0, "chr1", 5, "10M"), ("b", 0, "chr1", 5, "10M"), ("c", 16, "chr1", 5, "5M5N5M"), ("d", 4, "chr1", 5, "*")], READ).withColumn("ord", F.ascii("qname").cast("long"))
+    tagged = tags.tag_reads(rows, names)
+    got, near = (stats.tag_stats(tagged, approximate=x).first().asDict() for x in (False, True))
+    assert got == near
+    by_hand = [r.asDict() for r in tagged.orderBy("ord").collect()]
+    for t in ("xi", "xb", "xs", "xt", "xc", "x5", "x3"):
+        own = [r[t] for r in by_hand if r[t] is not None]
+        assert (got[f"tagged_{t}"], got[f"unique_{t}"], got[f"example_{t}"]) == (len(own), len(set(own)), own[0])
+    assert (got["total_reads"], got["processed_reads"], got["single_exon_reads"]) == (4, 3, 2)
+    assert "example_xi" not in stats.tag_stats(tagged, None).columns
+    none = stats.tag_stats(tagged.limit(0)).first()
+    assert none.total_reads == none.unique_xi == 0 and none.example_xi is None
