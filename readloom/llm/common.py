@@ -72,6 +72,8 @@ def looked_up(lines: list[str], look: Callable[[list[str]], list[bytes]]) -> lis
     ends = np.cumsum(each)
     every = np.frombuffer(b"".join(found), dtype="<u4")[np.repeat(first[which] - ends + each, each) + np.arange(ends[-1])]
     bounds = np.concatenate([[0], ends])[parts.offsets.to_numpy()].tolist()
+    del parts, words
+    pa.default_memory_pool().release_unused()
     return [every[a:b] for a, b in zip(bounds, bounds[1:])]
 
 

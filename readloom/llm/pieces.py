@@ -59,7 +59,11 @@ class Vocabulary:
     def encoder(self) -> Encoder:
         """One for each copy of the vocabulary: what it remembers outlives a task, and goes with the worker's broadcast."""
         if self.own is None:
+            # One vocabulary at a time: what was remembered for an earlier one goes now, not when the collector comes by.
+            for other in _in_use:
+                other.forget()
             self.own = Encoder(self)
+            _in_use[:] = [self.own]
         return self.own
 
     def merged(self, spelled: str) -> list[str]:
@@ -308,14 +312,25 @@ _BETWEEN = "\x03"
 _STRETCH = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
+#: The encoder that a worker uses.
+_in_use: list[Encoder] = []
+
+
 class Encoder:
     """Encodes texts through one stream; short stretches between blanks are remembered."""
 
-    def __init__(self, vocabulary: Vocabulary, remember: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, remember: int = 700_000):
         """remember: words and stretches in memory, a third of them words; two generations of each."""
         self.v, self.stream = vocabulary, Stream(vocabulary)
         self.large, self.small = ([{}, {}, max(1, remember // k)] for k in (6, 3))
 
+    def forget(self) -> None:
+        """Drops all that is remembered; it is made again when asked for."""
+        for memory in (self.large, self.small):
+            memory[:2] = {}, {}
+        self.v.pairs.clear()
+        self.v.own = None
+
     def _streamed(self, spelled: str, part: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a text that is already spelled as the vocabulary does, and where each begins."""
         ids, at, stream = [], [], self.stream
@@ -384,8 +399,7 @@ class Encoder:
             found[k] = ids
         if len(young) + len(gaps) > limit:
             memory[:2] = {}, young
-        if len(gaps) <= limit:
-            memory[0].update((parts[k], found[k]) for k in gaps if len(parts[k]) <= 64)
+        memory[0].update((parts[k], found[k]) for k in gaps[:limit] if len(parts[k]) <= 64)
         return found
 
 
