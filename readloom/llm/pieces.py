@@ -56,13 +56,13 @@ class Vocabulary:
     def __getstate__(self):
         return self.__dict__ | {"trie": None, "raw": None, "own": None, "pairs": {}}
 
-    def encoder(self) -> Encoder:
+    def encoder(self, remember: int = 700_000) -> Encoder:
         """One for each copy of the vocabulary: what it remembers outlives a task, and goes with the worker's broadcast."""
         if self.own is None:
             # One vocabulary at a time: what was remembered for an earlier one goes now, not when the collector comes by.
             for other in _in_use:
                 other.forget()
-            self.own = Encoder(self)
+            self.own = Encoder(self, remember)
             _in_use[:] = [self.own]
         return self.own
 

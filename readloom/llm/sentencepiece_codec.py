@@ -22,6 +22,8 @@ from readloom.llm.pieces import Vocabulary, decode
 
 #: Bytes of text that are encoded at once, which bounds what a worker needs besides its memory of words.
 TEXTS = 2 << 20
+#: Words and stretches that a worker remembers where encoding is its only work, as in ``query``.
+REMEMBER = 1_800_000
 
 
 def load(path: str | None = None) -> Vocabulary:
@@ -80,7 +82,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, shared = table(spark, sf_dir, "documents").select("doc_id", "text"), spark.sparkContext.broadcast(load())
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, texts = shared.value.encoder(), batch.column(1).to_pylist()
+        own, texts = shared.value.encoder(REMEMBER), batch.column(1).to_pylist()
         ids = [None if t is None else x for t, x in zip(texts, own.encode_all(texts))]
         back = [None if x is None else decode(own.v, x.tolist()) for x in ids]
         return pa.RecordBatch.from_arrays(
@@ -94,4 +96,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"],
         )
 
-    return map_slices(docs, step, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean", limit=TEXTS)
+    return map_slices(docs, step, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, round_trip boolean")
