@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def floor_div(value: Column, size: int) -> Column:
-    return ((value - F.pmod(value, F.lit(size))) / size).cast("long")
+    return F.call_function("div", value - F.pmod(value, F.lit(size)), F.lit(size))
 
 
 def down(value: Column, size: int) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from readloom.functions.folds import emitting
+from readloom.functions.folds import appended, either, emitting
 
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
@@ -13,7 +15,7 @@ EXONS = "array<struct<start:bigint,end:bigint>>"
 def operations(cigar: Column) -> Column:
     """array<struct<n, o>>; anything that is no operation is passed over; ``*``, empty and null have none."""
     found = F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHP=X])"), F.lit(1))
-    parsed = F.transform(found, lambda x: F.struct(x.substr(F.lit(1), F.length(x) - 1).cast("long").alias("n"), F.right(x, F.lit(1)).alias("o")))
+    parsed = F.transform(found, lambda x: F.struct(x.substr(F.lit(1), F.length(x) - 1).cast("long").alias("n"), F.substring(x, -1, 1).alias("o")))
     return F.coalesce(parsed, F.array().cast("array<struct<n:bigint,o:string>>"))
 
 
@@ -28,16 +30,15 @@ def exons(pos: Column, ops: Column) -> Column:
     begin = {"cur": pos, "at": pos, "open": F.lit(True)}
 
     def closed(a: Column) -> Column:
-        return F.concat(a["out"], F.array(F.struct(a["at"].alias("start"), (a["cur"] - 1).alias("end"))))
+        return appended(a["out"], F.struct(a["at"].alias("start"), (a["cur"] - 1).alias("end")))
 
     def step(a: Column, x: Column) -> Column:
-        match, skip = x["o"].isin("M", "=", "X"), x["o"] == "N"
-        return F.struct(
-            F.when(match | skip | (x["o"] == "D"), a["cur"] + x["n"]).otherwise(a["cur"]).alias("cur"),
-            F.when(match & ~a["open"], a["cur"]).otherwise(a["at"]).alias("at"),
-            (match | (a["open"] & ~skip)).alias("open"),
-            F.when(skip & a["open"], closed(a)).otherwise(a["out"]).alias("out"),
-        )
+        # Folds are interpreted, so the frequent operations come first, and each makes one struct.
+        o, to = x["o"], (a["cur"] + x["n"]).alias("cur")
+        match = F.struct(to, either(a["open"], a["at"], a["cur"]).alias("at"), F.lit(True).alias("open"), a["out"].alias("out"))
+        skip = F.struct(to, a["at"].alias("at"), F.lit(False).alias("open"), either(a["open"], closed(a), a["out"]).alias("out"))
+        gone = F.struct(to, a["at"].alias("at"), a["open"].alias("open"), a["out"].alias("out"))
+        return either(o == "M", match, either(o == "N", skip, either(o.isin("=", "X"), match, either(o == "D", gone, a))))
 
     return F.when(ops.isNotNull(), emitting(ops, begin, EXONS, step, lambda a: F.when(a["open"] & (a["at"] < a["cur"]), closed(a)).otherwise(a["out"])))
 
@@ -65,5 +66,10 @@ def junctions(value: Column) -> Column:
     return F.when(F.size(value) > 1, F.flatten(pairs)).otherwise(F.array().cast("array<bigint>"))
 
 
+def junction_texts(value: Column, text: Callable[[Column], Column], sep: str) -> Column:
+    """For each intron the texts of its end and start, joined; empty for fewer than two exons."""
+    return F.transform(F.slice(value, 2, F.greatest(F.size(value) - 1, F.lit(0))), lambda e, i: F.concat(text(F.get(value, i)["end"]), F.lit(sep), text(e["start"])))
+
+
 def to_hex(value: Column) -> Column:
-    return F.when(value < 0, F.concat(F.lit("-"), F.lower(F.hex(-value)))).otherwise(F.lower(F.hex(value)))
+    return either(value < 0, F.concat(F.lit("-"), F.lower(F.hex(-value))), F.lower(F.hex(value)))

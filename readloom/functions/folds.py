@@ -34,6 +34,16 @@ def emitting(items: Column, state: dict[str, Column], out: str, step: Callable[[
     return let(items, whole)
 
 
+def appended(items: Column, item: Column) -> Column:
+    """``items`` with one more at its end; ``concat`` makes a second array and a lazy list of both first."""
+    return F.array_append(items, item)
+
+
+def either(condition: Column, yes: Column, no: Column) -> Column:
+    """``when``, ``otherwise`` in the steps of folds: an interpreted CASE WHEN walks a list for each of its branches."""
+    return F.call_function("if", condition, yes, no)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

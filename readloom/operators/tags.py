@@ -46,7 +46,7 @@ def joined(*parts: Column) -> Column:
 
 
 def xi_serial() -> Column:
-    return joined(F.col("chr32"), F.col("strand"), F.transform("exons", lambda e: F.concat_ws(":", e["start"].cast("string"), e["end"].cast("string"))))
+    return joined(F.col("chr32"), F.col("strand"), F.transform("exons", lambda e: F.concat(e["start"].cast("string"), F.lit(":"), e["end"].cast("string"))))
 
 
 def sign() -> Column:
@@ -60,8 +60,8 @@ def xb_value() -> Column:
 
 def xs_value() -> Column:
     """Null for a read of one exon."""
-    j = cigar.junctions(F.col("exons"))
-    return F.when(F.size("exons") > 1, F.concat(F.col("chr8"), sign(), F.lit("."), F.array_join(F.transform(j, cigar.to_hex), ".")))
+    j = cigar.junction_texts(F.col("exons"), cigar.to_hex, ".")
+    return F.when(F.size("exons") > 1, F.concat(F.col("chr8"), sign(), F.lit("."), F.array_join(j, ".")))
 
 
 def xt_serial(c: TagConfig) -> Column:
@@ -72,7 +72,7 @@ def xt_serial(c: TagConfig) -> Column:
         bins.cluster_position(start, end, F.col("strand"), c.clustermode, c.position_quantum).cast("string"),
         bins.nearest(cigar.total_length(e), c.exon_quantum).cast("string"),
         bins.nearest(end - start, c.span_quantum).cast("string"),
-        cigar.junctions(e).cast("array<string>"),
+        cigar.junction_texts(e, lambda x: x.cast("string"), "|"),
     )
 
 
