@@ -19,6 +19,11 @@ def test_no_filter_or_join_makes_the_cigar_anew(spark, name):
     assert not [x for x in plan.splitlines() if re.search(r"^\W*(Filter|\w*Join) ", x) and "lambda" in x]
 
 
+def test_variant_counts_makes_no_tags_of_structure(spark):
+    plan = registry.QUERIES["variant_counts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_serial" not in plan
+
+
 def test_candidates_of_short_reads_are_those_of_the_sorted_way(spark):
     draw = random.Random(3)
     rows = []
