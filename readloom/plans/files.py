@@ -29,7 +29,7 @@ HEADER = "@HD\tVN:1.6\tSO:unsorted\n" + "\n".join(f"@SQ\tSN:chr{k}\tLN:400000000
 
 def alignments(spark, sf_dir):
     """The reads of the orders with every field of a record."""
-    reads = reads_from_orders(spark, sf_dir)
+    reads = reads_from_orders(spark, sf_dir, even=False)
     none = {c: F.lit(None).cast(t) for c, t in (("mapq", "int"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("qual", "string"))}
     md = F.when(F.col("md").isNotNull(), F.create_map(F.lit("MD"), F.struct(F.lit("Z").alias("type"), F.col("md").alias("value"))))
     return reads.withColumns(none | {"tags": md})

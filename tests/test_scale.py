@@ -39,3 +39,8 @@ def test_candidates_of_short_reads_are_those_of_the_sorted_way(spark):
     for k, pos, text, seq, tag in rows:
         if seq != "*":
             assert few[k] == [tuple(v) for v in spec.variants(pos, spec.ops(text), seq, tag)]
+
+
+def test_reads_stay_in_as_many_partitions_as_a_shuffle_has(spark):
+    used = registry.QUERIES["vrs_ids"](spark, SMALL).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used == int(spark.conf.get("spark.sql.shuffle.partitions"))
