@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -22,6 +22,15 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", re.sub("^file:/(?=[^/])", "file:///", path)))
 
 
+def in_order(rows: DataFrame, by: Column | str, *keys: str) -> DataFrame:
+    """rows in ranges of ``by``, each sorted by ``keys`` (or by ``by``), for writing part by part.
+
+    An orderBy has its ranges put together by AQE up to a size in compressed bytes. Reads compress tenfold and more, so a
+    task would sort ten times as much, in fewer tasks than there are cores; a number that is named stays as it is."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, by).sortWithinPartitions(*(keys or (by,)))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names in spark.checkpoint.dir. Only a local session without one gets its own."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom import __version__
+from readloom.sources.files import in_order
 
 FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
 TYPES = {"flag": "int", "pos": "bigint", "mapq": "int", "pnext": "bigint", "tlen": "bigint"}
@@ -59,5 +60,6 @@ def write_sam(reads: DataFrame, path: str, header: DataFrame | None = None, orde
     body = reads.select(F.col(order).alias("ord"), to_line(reads.columns).alias("value"), F.lit(1).alias("k"))
     if header is not None:
         body = header.select("ord", F.col("line").alias("value"), F.lit(0).alias("k")).unionByName(body)
-    body = body.coalesce(1).sortWithinPartitions("k", "ord") if single else body.orderBy("k", "ord")
+    # Header lines have one key, which no two ranges share.
+    body = body.coalesce(1).sortWithinPartitions("k", "ord") if single else in_order(body, F.when(F.col("k") == 1, F.col("ord")), "k", "ord")
     body.select("value").write.mode("overwrite").text(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar, md
 from readloom.plans import registry
+from readloom.sources import sam
 from tests import spec
 
 SMALL = "/root/testdata/sf0.001"
@@ -44,3 +45,13 @@ def test_candidates_of_short_reads_are_those_of_the_sorted_way(spark):
 def test_reads_stay_in_as_many_partitions_as_a_shuffle_has(spark):
     used = registry.QUERIES["vrs_ids"](spark, SMALL).select(F.spark_partition_id().alias("p")).distinct().count()
     assert used == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sorted_writing_keeps_its_ranges_and_the_header_in_the_first(spark, tmp_path):
+    fields = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
+    reads = spark.range(40).select(*[F.lit("7").alias(x) for x in fields], (F.col("id") * 7 % 40).alias("ord")).withColumn("qname", F.col("ord").cast("string"))
+    header = spark.createDataFrame([(f"@CO\t{k}", k) for k in range(30)], "line string, ord bigint")
+    sam.write_sam(reads, str(tmp_path / "x"), header)
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "x").glob("part-*"))]
+    assert [x for p in parts for x in p if x[0] != "@"] == ["\t".join([str(k)] + ["7"] * 10) for k in range(40)]
+    assert len(parts) > 3 and [x[0] for x in parts[0]].count("@") == 30 and parts[0][:30] == [f"@CO\t{k}" for k in range(30)]
