@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from readloom.sources.files import filesystem
+from readloom.sources.files import filesystem, in_order
 
 SCHEMA = "qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen bigint, seq string, qual string, tags map<string,struct<type:string,value:string>>, file string, ord bigint"
-SPLIT_BYTES = 32 << 20
+SPLIT_BYTES, LEAST_SPLIT = 32 << 20, 1 << 20
 _OPS, _BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 #: Bases to the digits of their codes and back; anything else is N.
 _FROM_HEX = str.maketrans("0123456789abcdef", _BASES)
@@ -464,9 +464,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamDataSource)
 
 
-def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, columns: list[str] | None = None):
+def even_split(size: int, cores: int) -> int:
+    """Bytes for each task: ``SPLIT_BYTES``, or less, so that every core has several tasks of about one size."""
+    return min(SPLIT_BYTES, max(LEAST_SPLIT, -(-size // (4 * cores))))
+
+
+def read_bam(spark: SparkSession, path: str, split_bytes: int | None = None, columns: list[str] | None = None):
     """Reads of a file or a folder; with ``columns`` only these are decoded."""
     register(spark)
+    split_bytes = split_bytes or even_split(sum(n for _, n in list_files(path)), spark.sparkContext.defaultParallelism)
     kinds = {x.split(" ", 1)[0]: x for x in re.split(r", (?=\w+ )", SCHEMA)}
     return spark.read.format("bam").schema(", ".join(kinds[c] for c in columns or kinds)).option("split_bytes", split_bytes).load(path)
 
@@ -484,5 +490,5 @@ def write_bam(reads, path: str, header: str, order: str | None = "ord", single:
         raise ValueError("reads are added to a folder of parts, not to one file")
     register(reads.sparkSession)
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")][:12]
-    ordered = reads.orderBy(order) if order else reads
+    ordered = in_order(reads, order) if order else reads
     ordered.select(*names).write.format("bam").mode("append" if append else "overwrite").option("header", header).option("single", str(single).lower()).save(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import cigar, md
 from readloom.plans import registry
-from readloom.sources import sam
+from readloom.sources import bam, sam
 from tests import spec
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,3 +55,8 @@ def test_sorted_writing_keeps_its_ranges_and_the_header_in_the_first(spark, tmp_
     parts = [p.read_text().splitlines() for p in sorted((tmp_path / "x").glob("part-*"))]
     assert [x for p in parts for x in p if x[0] != "@"] == ["\t".join([str(k)] + ["7"] * 10) for k in range(40)]
     assert len(parts) > 3 and [x[0] for x in parts[0]].count("@") == 30 and parts[0][:30] == [f"@CO\t{k}" for k in range(30)]
+
+
+def test_one_bam_file_gives_every_core_several_tasks():
+    assert bam.even_split(500 << 20, 12) == -(-(500 << 20) // 48) < bam.SPLIT_BYTES
+    assert bam.even_split(1 << 40, 12) == bam.SPLIT_BYTES and bam.even_split(0, 12) == bam.LEAST_SPLIT
