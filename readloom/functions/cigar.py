@@ -71,5 +71,9 @@ def junction_texts(value: Column, text: Callable[[Column], Column], sep: str) ->
     return F.transform(F.slice(value, 2, F.greatest(F.size(value) - 1, F.lit(0))), lambda e, i: F.concat(text(F.get(value, i)["end"]), F.lit(sep), text(e["start"])))
 
 
+def upper_hex(value: Column) -> Column:
+    return either(value < 0, F.concat(F.lit("-"), F.hex(-value)), F.hex(value))
+
+
 def to_hex(value: Column) -> Column:
-    return either(value < 0, F.concat(F.lit("-"), F.lower(F.hex(-value))), F.lower(F.hex(value)))
+    return F.lower(upper_hex(value))

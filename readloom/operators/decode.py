@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar
+from readloom.functions.folds import either, let
 from readloom.operators.joins import apart
 
 #: Names of a mapping that may be broadcast.
 BROADCAST_NAMES = 200_000
 _HEX = "^-?[0-9a-f]+$"
+#: The numbers of a whole tag, after chromosome and strand: each of them then is one of _HEX.
+_ALL_HEX = r"^-?[0-9a-f]+(\.-?[0-9a-f]+)*+$"
 
 
 def from_hex(value: Column) -> Column:
     """A whole number; an error for anything that isn't hexadecimal."""
     wrong = F.raise_error(F.concat(F.lit("not hexadecimal: "), F.coalesce(value, F.lit("null")))).cast("bigint")
-    size = F.conv(F.regexp_replace(value, "^-", ""), 16, 10).cast("bigint")
-    return F.when(~F.coalesce(value.rlike(_HEX), F.lit(False)), wrong).when(value.startswith("-"), -size).otherwise(size)
+    return F.when(~F.coalesce(value.rlike(_HEX), F.lit(False)), wrong).otherwise(_plain_hex(value))
+
+
+def _plain_hex(value: Column) -> Column:
+    """``from_hex`` of what is known to be hexadecimal."""
+    size = lambda x: F.conv(x, 16, 10).cast("bigint")
+    return either(value.startswith("-"), -size(F.substring(value, 2, 1 << 30)), size(value))
+
+
+def numbers(tag: Column) -> Column:
+    """The numbers of a tag, which is looked at once; where one is wrong, they are taken one by one, for the error."""
+    rest = F.substring(tag, 11, 1 << 30)
+    return let(rest, lambda text: let(F.split(text, r"\."), lambda parts: either(text.rlike(_ALL_HEX), F.transform(parts, _plain_hex), F.transform(parts, from_hex))))
 
 
 def is_single(xs: Column) -> Column:
@@ -30,8 +44,9 @@ def is_single_text(xs: str | None) -> bool:
 
 def boundary(xb: Column) -> Column:
     """struct(chr8, strand, left, right)."""
-    part = F.split(F.substring(xb, 11, 1 << 30), "[.]")
-    return F.when(xb.isNotNull(), F.struct(F.substring(xb, 1, 8).alias("chr8"), _strand(xb).alias("strand"), from_hex(F.get(part, F.lit(0))).alias("left"), from_hex(F.get(part, F.lit(1))).alias("right")))
+    at = lambda part, k: from_hex(F.get(part, F.lit(k)))
+    ends = let(F.split(F.substring(xb, 11, 1 << 30), r"\."), lambda part: F.struct(F.substring(xb, 1, 8).alias("chr8"), _strand(xb).alias("strand"), at(part, 0).alias("left"), at(part, 1).alias("right")))
+    return F.when(xb.isNotNull(), ends)
 
 
 def _strand(tag: Column) -> Column:
@@ -40,17 +55,17 @@ def _strand(tag: Column) -> Column:
 
 def splice(xs: Column) -> Column:
     """struct(chr8, strand, coords); null for a read of one exon."""
-    coords = F.transform(F.split(F.substring(xs, 11, 1 << 30), "[.]"), from_hex)
-    return F.when(~is_single(xs), F.struct(F.substring(xs, 1, 8).alias("chr8"), _strand(xs).alias("strand"), coords.alias("coords")))
+    return F.when(~is_single(xs), F.struct(F.substring(xs, 1, 8).alias("chr8"), _strand(xs).alias("strand"), numbers(xs).alias("coords")))
 
 
 def exons(bounds: Column, spliced: Column) -> Column:
     """Exons from decoded tags."""
     c = spliced["coords"]
-    at = lambda k: F.filter(c, lambda _, i: i % 2 == k)
-    pairs = F.arrays_zip(F.concat(F.array(bounds["left"]), at(1)).alias("start"), F.concat(at(0), F.array(bounds["right"])).alias("end"))
+    last = F.shiftright(F.size(c) + 1, 1)
     one = F.array(F.struct(bounds["left"].alias("start"), bounds["right"].alias("end")))
-    return F.when(spliced.isNull(), one).otherwise(F.transform(pairs, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"))))
+    # An odd coordinate too many leaves the last exon without a start.
+    start, end = lambda i: either(i == 0, bounds["left"], F.get(c, i * 2 - 1)), lambda i: either(i == last, bounds["right"], F.get(c, i * 2))
+    return F.when(spliced.isNull(), one).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(start(i).alias("start"), end(i).alias("end"))))
 
 
 def chromosome_names(mapping: DataFrame) -> DataFrame:

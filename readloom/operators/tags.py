@@ -60,8 +60,8 @@ def xb_value() -> Column:
 
 def xs_value() -> Column:
     """Null for a read of one exon."""
-    j = cigar.junction_texts(F.col("exons"), cigar.to_hex, ".")
-    return F.when(F.size("exons") > 1, F.concat(F.col("chr8"), sign(), F.lit("."), F.array_join(j, ".")))
+    j = cigar.junction_texts(F.col("exons"), cigar.upper_hex, ".")
+    return F.when(F.size("exons") > 1, F.concat(F.col("chr8"), sign(), F.lit("."), F.lower(F.array_join(j, "."))))
 
 
 def xt_serial(c: TagConfig) -> Column:

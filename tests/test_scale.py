@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.functions import cigar, md
+from readloom.operators import decode
 from readloom.plans import registry
 from readloom.sources import bam, sam
 from tests import spec
@@ -20,6 +21,32 @@ def test_no_filter_or_join_makes_the_cigar_anew(spark, name):
     assert not [x for x in plan.splitlines() if re.search(r"^\W*(Filter|\w*Join) ", x) and "lambda" in x]
 
 
+def test_a_tag_is_taken_apart_and_looked_at_once(spark):
+    plan = registry.QUERIES["roundtrip_check"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    # One split of XB and one of XS, numbers without a text made anew, exons without filters.
+    assert plan.count("split(") == 2 and "^-, " not in plan and "arrays_zip" not in plan
+
+
+def test_decoded_tags_are_those_of_plain_python(spark):
+    draw = random.Random(5)
+    number = lambda: draw.choice((-1, 1, 1)) * draw.randrange(1 << draw.choice((1, 8, 40, 62)))
+    rows = []
+    for k in range(300):
+        ends, coords = [number() for _ in range(draw.choice((2, 2, 3)))], [number() for _ in range(draw.randint(0, 9))]
+        rows.append((k, ends, coords))
+    rows.append((300, [1, 2], list(range(6001))))
+    text = lambda values: "aKF498dAp." + ".".join(f"{v:x}" for v in values)
+    frame = spark.createDataFrame([(k, text(e), text(c) if c else "single") for k, e, c in rows], "k int, xb string, xs string")
+    got = {r.k: (r.junction_coords, [tuple(x) for x in r.exons]) for r in frame.select("k", decode.splice(F.col("xs")).alias("s"), decode.boundary(F.col("xb")).alias("b")).select("k", "s.coords", decode.exons(F.col("b"), F.col("s")).alias("exons")).select("k", F.coalesce("coords", F.array().cast("array<bigint>")).alias("junction_coords"), "exons").collect()}
+    for k, (left, right, *_), c in rows:
+        starts, stops = [left] + c[1::2], c[0::2] + [right]
+        starts += [None] * (len(stops) - len(starts))
+        assert got[k] == (c, list(zip(starts, stops)))
+    for xb, xs in (("aKF498dAp.1", None), ("aKF498dAp.1.2", "aKF498dAp.1..2"), ("aKF498dAp.1.2", "aKF498dAp.1.2g"), ("aKF498dAp.1.2", "aKF498dAp.-.1")):
+        with pytest.raises(Exception, match="not hexadecimal"):
+            decode.decode_tags(spark.createDataFrame([(xb, xs)], "xb string, xs string")).collect()
+
+
 def test_variant_counts_makes_no_tags_of_structure(spark):
     plan = registry.QUERIES["variant_counts"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "_serial" not in plan
